@@ -1,0 +1,58 @@
+"""A Parquet table replaced as a whole, one version folder per change.
+
+Readers take the newest version that a finished write has marked, so they never
+see half of one and a job may read the table it is about to replace.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class SnapshotTable:
+    """Versions ``v=<n>`` under ``path``; one writer at a time."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int = 2):
+        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
+        self._root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Finished versions, oldest first."""
+        if not self._fs.exists(self._root):
+            return []
+        found = []
+        for entry in self._fs.listStatus(self._root):
+            name = entry.getPath().getName()
+            if name.startswith("v=") and self._fs.exists(self._child(name, "_SUCCESS")):
+                found.append(int(name[2:]))
+        return sorted(found)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        if version is None:
+            found = self.versions()
+            if not found:
+                return self.spark.createDataFrame([], self.schema)
+            version = found[-1]
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
+
+    def change(self, step: Callable[[DataFrame], DataFrame], version: int | None = None) -> int:
+        """Replace the table by ``step(table)`` and return the version written.
+
+        With an explicit ``version`` (a stream's batch number) a repeat of a batch
+        that was already applied does nothing.
+        """
+        found = self.versions()
+        if version is None:
+            version = found[-1] + 1 if found else 0
+        elif found and found[-1] >= version:
+            return found[-1]
+        step(self.read()).write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        for old in found[: max(0, len(found) + 1 - self.keep)]:
+            self._fs.delete(self._child(f"v={old}"), True)
+        return version
+
+    def _child(self, *parts: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
