@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ordermill.session import conf_scope
+
 YMD = ("year", "month", "day")
 
 
@@ -17,14 +19,17 @@ def write_dataset(
     """Write and return the row count, without running the plan a second time.
 
     Partitioned writes are rebalanced on the partition columns: rows of a folder
-    meet in few tasks (few files), while a folder holding a large share of the rows is
-    split by AQE into pieces of the advisory size.
+    meet in one task (one file), while a folder holding a large share of the rows is
+    split by AQE into pieces of the advisory size. Small shuffle partitions are not
+    merged there: that would not save a file, only put many folders into one task.
     """
-    if partition_by:
-        frame = frame.hint("rebalance", *[F.col(c) for c in partition_by])
     written = Observation()
-    writer = frame.observe(written, F.count(F.lit(1)).alias("rows")).write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return written.get.get("rows", 0)
+    counted = F.count(F.lit(1)).alias("rows")
+    if not partition_by:
+        frame.observe(written, counted).write.mode(mode).parquet(path)
+    else:
+        spread = frame.hint("rebalance", *[F.col(c) for c in partition_by])
+        with conf_scope(frame.sparkSession, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+            # Observed on top: below the hint an empty plan would lose the metric.
+            spread.observe(written, counted).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    return written.get["rows"]

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-NOT_READABLE = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+NO_DATA_FILES = "UNABLE_TO_INFER_SCHEMA"
 
 
 def read_dataset(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -21,10 +21,13 @@ def find_dataset(spark: SparkSession, path: str) -> DataFrame | None:
     Other failures (permissions, network) are raised: taking them for "missing"
     would let a full load overwrite good data.
     """
+    folder, fs = _folder(spark, path)
+    if not fs.exists(folder):
+        return None
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() in NOT_READABLE:
+        if error.getCondition() == NO_DATA_FILES:
             return None
         raise
 
@@ -33,6 +36,12 @@ def dataset_exists(spark: SparkSession, path: str) -> bool:
     return find_dataset(spark, path) is not None
 
 
+def _folder(spark: SparkSession, path: str):
+    """Hadoop path and file system of ``path``."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def newest_partitions(
     spark: SparkSession, path: str, columns: tuple[str, ...], limit: int
 ) -> list[str]:
@@ -40,9 +49,7 @@ def newest_partitions(
 
     Lists one folder per level instead of every file of the dataset.
     """
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root, fs = _folder(spark, path)
 
     def descend(folder, remaining: tuple[str, ...]) -> Iterator[str]:
         entries = list(fs.listStatus(folder))
