@@ -1,0 +1,160 @@
+from datetime import date, datetime
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from ordermill.config import Layout
+from ordermill.operators.latest import latest_per_key
+from ordermill.plans import gold, pipeline, reports, silver
+
+T1, T2 = datetime(2024, 1, 1), datetime(2024, 1, 2)
+
+
+def stamp():
+    return F.lit(datetime(2024, 6, 1))
+
+
+def test_latest_per_key_prefers_the_newest_and_settles_ties(spark):
+    frame = spark.createDataFrame(
+        [("a", T1, 1), ("a", T2, 2), ("a", T2, 3), ("b", None, 4), (None, T1, 5), (None, T2, 6)],
+        "k STRING, t TIMESTAMP, v INT",
+    )
+    latest = latest_per_key(frame, ["k"], [F.col("t").desc(), F.col("v").desc()])
+    assert rows(latest, "k", "v") == [("a", 3), ("b", 4), (None, 6)]
+
+
+def test_latest_per_key_limits_groups_before_the_shuffle(spark, capsys):
+    frame = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    latest_per_key(frame, ["k"], [F.col("v").desc()]).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("WindowGroupLimit") == 2
+    assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def bronze_details(spark):
+    return spark.createDataFrame(
+        [(1, "o", 7, 3, T1), (2, "o", 7, 5, T1), (3, "o", 8, None, T1), (4, "o", None, 2, T1)],
+        "id INT, order_id STRING, product_id INT, quantity INT, bronze_ingestion_time TIMESTAMP",
+    )
+
+
+def test_details_quantity_policies(spark):
+    constant = silver.clean_order_details(bronze_details(spark), stamp())
+    assert rows(constant, "id", "product_id", "quantity") == [(2, 7, 1), (3, 8, 1), (4, None, 1)]
+    preserve = silver.clean_order_details(bronze_details(spark), stamp(), "preserve")
+    assert rows(preserve, "id", "quantity") == [(2, 5), (3, 1), (4, 2)]
+    with pytest.raises(ValueError):
+        silver.clean_order_details(bronze_details(spark), stamp(), "drop")
+
+
+def test_orders_rename_created_at_when_present(spark):
+    plain = spark.createDataFrame([("a", T1, T1)], "id STRING, timestamp TIMESTAMP, bronze_ingestion_time TIMESTAMP")
+    assert "order_created_at" not in silver.clean_orders(plain, stamp()).columns
+    renamed = silver.clean_orders(plain.withColumn("created_at", F.col("timestamp")), stamp())
+    assert {"order_id", "order_created_at"} <= set(renamed.columns)
+
+
+def test_fact_orders_counts_and_defaults(spark):
+    orders = spark.createDataFrame(
+        [("a", 1, 2, 3, T1), ("b", 1, 2, None, None)],
+        "order_id STRING, customer_id INT, payment_method_id INT, num_products INT, timestamp TIMESTAMP",
+    )
+    details = spark.createDataFrame(
+        [("a", 7, 2), ("a", None, 1), ("z", 1, 1)], "order_id STRING, product_id INT, quantity INT"
+    )
+    fact = gold.fact_orders(orders, details, stamp())
+    assert rows(
+        fact, "order_id", "order_date_id", "product_count", "expected_products", "quantity_ordered",
+        "total_amount", "order_status",
+    ) == [("a", 20240101, 1, 3, 3, 0.0, "completed"), ("b", None, 0, 0, 0, 0.0, "completed")]
+
+
+def test_fact_orders_time_column_by_presence(spark):
+    details = spark.createDataFrame([], "order_id STRING, product_id INT, quantity INT")
+    base = spark.createDataFrame([("a", 1, 2, 3)], "order_id STRING, customer_id INT, payment_method_id INT, num_products INT")
+    created = base.withColumn("order_created_at", F.lit(T2))
+    assert rows(gold.fact_orders(created, details, stamp()), "order_date_id", "created_timestamp") == [(20240102, T2)]
+    assert rows(gold.fact_orders(base, details, stamp()), "order_date_id") == [(20240601,)]
+
+
+def test_fact_orders_with_unknown_day_survives_storage(spark, folder):
+    from ordermill.sinks.datasets import write_dataset
+
+    frame = spark.createDataFrame([("a", 20240101), ("b", None)], "order_id STRING, order_date_id INT")
+    assert write_dataset(frame, folder + "/f", "overwrite", ("order_date_id",)) == 2
+    assert rows(spark.read.parquet(folder + "/f"), "order_id", "order_date_id") == [("a", 20240101), ("b", None)]
+
+
+def test_payment_types(spark):
+    methods = spark.createDataFrame(
+        [(1, "Credit Card", None), (2, "Debit", None), (3, "Cash on delivery", None), (4, "credit", None), (5, "bank transfer", "B")],
+        "id INT, method_name STRING, bank STRING",
+    )
+    strict = gold.dim_payment_method(methods, stamp())
+    assert [r[1] for r in rows(strict, "payment_method_id", "payment_type")] == [
+        "Credit Card", "Debit Card", "Cash", "Other", "Other"]
+    loose = gold.dim_payment_method(methods, stamp(), normalize=True)
+    assert [r[1] for r in rows(loose, "payment_method_id", "payment_type")] == [
+        "Credit Card", "Debit Card", "Cash", "Credit Card", "Other"]
+
+
+def test_dim_product_keeps_a_null_product_without_a_name(spark):
+    products = gold.dim_product(bronze_details(spark), stamp())
+    assert rows(products, "product_id", "product_name", "category", "price") == [
+        (7, "Product_7", "General", 0.0), (8, "Product_8", "General", 0.0), (None, None, "General", 0.0)]
+
+
+def test_dim_date_matches_the_calendar(spark):
+    expected = []
+    day = date(2024, 1, 1)
+    while day <= date(2027, 12, 31):
+        expected.append(
+            (int(day.strftime("%Y%m%d")), day, day.year, (day.month + 2) // 3, day.month, day.strftime("%B"),
+             day.day, day.isoweekday(), day.strftime("%A"), int(day.isoweekday() > 5), 0, day.isocalendar()[1])
+        )
+        day = date.fromordinal(day.toordinal() + 1)
+    assert len(expected) == 1461
+    assert [tuple(r) for r in gold.dim_date(spark).orderBy("date").collect()] == expected
+
+
+def test_prices_leave_unknown_products_at_zero(spark):
+    from decimal import Decimal
+
+    details = spark.createDataFrame([("a", 1, 2), ("a", 9, 1)], "order_id STRING, product_id INT, quantity INT")
+    books = spark.createDataFrame([(1, Decimal("2.50"))], "id INT, unit_price DECIMAL(10,2)")
+    lines = gold.price_lines(gold.fact_order_products(details, stamp()), books)
+    assert rows(lines, "product_id", "unit_price", "line_total") == [
+        (1, Decimal("2.50"), Decimal("5.00")), (9, Decimal("0.00"), Decimal("0.00"))]
+    orders = spark.createDataFrame([("a", 0.0), ("b", 0.0)], "order_id STRING, total_amount DOUBLE")
+    assert rows(gold.price_orders(orders, lines)) == [("a", Decimal("5.00")), ("b", Decimal("0.00"))]
+
+
+def test_sellable_products(spark):
+    books = spark.createDataFrame([(3, "c", 1.0), (1, "a", 1.0), (2, None, 1.0), (4, "d", None)], "id INT, title STRING, unit_price DOUBLE")
+    assert [r.id for r in reports.sellable_products(books, 2).collect()] == [1, 3]
+
+
+def test_all_layers_then_an_increment(spark, folder):
+    order_schema = "id STRING, timestamp TIMESTAMP, customer_id INT, store_id INT, payment_method_id INT, num_products INT"
+    detail_schema = "id INT, order_id STRING, product_id INT, quantity INT"
+    tables = {
+        "orders": spark.createDataFrame([("a", T1, 1, 1, 1, 2), ("b", T1, 2, 1, 2, 1)], order_schema),
+        "order_details": spark.createDataFrame([(1, "a", 7, 2), (2, "a", 8, 1), (3, "b", 7, 1)], detail_schema),
+        "customers": spark.createDataFrame(
+            [(1, "A", "1", "gold", T1), (2, "B", "2", "base", T1)],
+            "id INT, name STRING, phone_number STRING, tier STRING, updated_at TIMESTAMP"),
+        "payment_method": spark.createDataFrame([(1, "cash", None), (2, "credit", None)], "id INT, method_name STRING, bank STRING"),
+    }
+    layout = Layout.under(folder)
+    counts = pipeline.run_all(spark, tables.__getitem__, layout)
+    assert counts["gold"] == {
+        "dim_customer": 2, "dim_payment_method": 2, "dim_product": 2, "dim_date": 1461,
+        "fact_orders": 2, "fact_order_products": 3}
+
+    tables["orders"] = tables["orders"].unionByName(spark.createDataFrame([("c", T2, 1, 1, 1, 1)], order_schema))
+    counts = pipeline.run_all(spark, tables.__getitem__, layout)
+    assert counts["bronze"] == {"orders": 1, "order_details": 3, "customers": 0, "payment_method": 2}
+    fact = spark.read.parquet(layout.fact("fact_orders"))
+    assert rows(fact, "order_id", "order_date_id", "product_count") == [
+        ("a", 20240101, 2), ("b", 20240101, 1), ("c", 20240102, 0)]
