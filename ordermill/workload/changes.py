@@ -64,7 +64,7 @@ def cdc_apply_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cdc_replicate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events landed as files and applied by a stream."""
     folder = scratch_dir(spark, "replica")
-    samples.order_change_messages(spark, sf_dir).write.parquet(f"{folder}/in")
+    _land(samples.order_change_messages(spark, sf_dir), f"{folder}/in")
     replica = SnapshotTable(spark, f"{folder}/table", schemas.ORDER_IMAGE)
     messages = landed_topic(spark, f"{folder}/in")
     writer = replication.replicate(messages, replica, schemas.ORDER_IMAGE, "id", f"{folder}/checkpoint")
@@ -135,15 +135,20 @@ def completed_orders_first_reach_both(spark: SparkSession, sf_dir: str) -> DataF
     return _replayed(spark, sf_dir, "both")
 
 
+def _land(messages: DataFrame, path: str) -> None:
+    """Small row groups, so that one landed file can be decoded by several tasks."""
+    messages.write.option("parquet.block.size", 4 << 20).parquet(path)
+
+
 def _streamed(spark: SparkSession, sf_dir: str, trigger_on: str) -> DataFrame:
     folder = scratch_dir(spark, "completion")
-    samples.order_messages(spark, sf_dir).write.parquet(f"{folder}/orders")
-    samples.detail_messages(spark, sf_dir).write.parquet(f"{folder}/details")
+    _land(samples.order_messages(spark, sf_dir), f"{folder}/orders")
+    _land(samples.detail_messages(spark, sf_dir), f"{folder}/details")
     events = live.completion_events(
         envelopes.order_events(landed_topic(spark, f"{folder}/orders")),
         envelopes.detail_events(landed_topic(spark, f"{folder}/details")),
     )
-    completed = live.completed_orders(events, trigger_on, REPLAY_LIFE, buckets=1024)
+    completed = live.completed_orders(events, trigger_on, REPLAY_LIFE, buckets=128)
     return live.run_available(spark, completed, f"{folder}/out", f"{folder}/checkpoint")
 
 

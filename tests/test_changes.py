@@ -9,7 +9,12 @@ from ordermill.operators import quality
 from ordermill.sinks.snapshots import SnapshotTable
 from ordermill.sources.topics import MESSAGE, landed_topic
 from ordermill.streaming.envelopes import decode
-from ordermill.streaming.replication import apply_changes, net_changes, replicate
+from ordermill.streaming.replication import (
+    apply_changes,
+    apply_few_changes,
+    net_changes,
+    replicate,
+)
 
 
 def change(op, pos, before=None, after=None, file="bin.000001"):
@@ -30,7 +35,16 @@ def test_net_changes_follow_the_log_not_the_arrival(spark):
     net = net_changes(decoded, "id")
     assert rows(net, "key", "after.num_products") == [("a", 2), ("b", None), ("c", 7)]
     current = spark.createDataFrame([("b", 1), ("z", 9)], "id STRING, num_products INT")
-    assert rows(apply_changes(current, net, "id")) == [("a", 2), ("c", 7), ("z", 9)]
+    for apply in (apply_changes, apply_few_changes):
+        assert rows(apply(current, net, "id")) == [("a", 2), ("c", 7), ("z", 9)]
+
+
+def test_each_message_is_parsed_once(spark, capsys):
+    from ordermill.streaming.envelopes import accepted, order_events
+
+    messages = spark.range(3).selectExpr("CAST(id AS STRING) AS value", "id AS seq")
+    accepted(order_events(messages)).explain()
+    assert capsys.readouterr().out.count("from_json(") == 1
 
 
 def test_replica_follows_the_stream_over_restarts(spark, folder):
