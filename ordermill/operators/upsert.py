@@ -51,23 +51,21 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, update: Sequence[s
     return joined.select(*[merged(c).alias(c) for c in current.columns])
 
 
-def assign_ids(frame: DataFrame, key: str, id_column: str, buckets: int = 1024) -> DataFrame:
-    """Fill null ids of rows with a unique ``key`` by consecutive numbers above the largest id.
+def number_rows(frame: DataFrame, key: str, id_column: str, base: DataFrame, buckets: int = 8192) -> DataFrame:
+    """``(key, id)`` with consecutive ids for rows of a unique key, above the one value of ``base``.
 
-    Numbers run over hash buckets, then keys, so no task has to see all new rows:
-    only the per-bucket counts meet in one place.
+    Numbers run over hash buckets, then keys, so no task has to see all rows: only the
+    counts of the buckets meet in one place.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
-    fresh = frame.where(F.col(id_column).isNull()).withColumn("_bucket", bucket)
-    sizes = fresh.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    spread = frame.select(key, bucket.alias("_bucket"))
+    sizes = spread.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    base = frame.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("bigint").alias("_base"))
-    starts = offsets.join(base).select("_bucket", (F.col("_before") + F.col("_base")).alias("_start"))
+    above = F.coalesce(base.scalar(), F.lit(0)).cast("bigint")
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
-    numbered = (
-        fresh.withColumn("_place", place)
-        .join(starts, "_bucket")
-        .withColumn(id_column, (F.col("_start") + F.col("_place")).cast(frame.schema[id_column].dataType))
+    return (
+        spread.withColumn("_place", place)
+        .join(offsets, "_bucket")
+        .select(key, (above + F.col("_before") + F.col("_place")).alias(id_column))
     )
-    return frame.where(F.col(id_column).isNotNull()).unionByName(numbered.select(*frame.columns))

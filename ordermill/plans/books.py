@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ordermill.functions.catalogue import joined_head, steady_price, work_key
 from ordermill.operators.quality import expect_not_empty
-from ordermill.operators.upsert import assign_ids, collapse_batch, upsert
+from ordermill.operators.upsert import collapse_batch, number_rows, upsert
 from ordermill.sinks.snapshots import SnapshotTable
 
 log = logging.getLogger(__name__)
@@ -59,9 +59,12 @@ def upsert_books(current: DataFrame, batch: DataFrame, stamp: Column | None = No
     """
     places = [F.col("page_start"), F.col("position")]
     collapsed = collapse_batch(batch, "work_key", places, UPDATED_COLUMNS).drop("page_start", "position")
-    merged = upsert(current, collapsed, "work_key", UPDATED_COLUMNS)
-    created = F.coalesce("created_at", F.current_timestamp() if stamp is None else stamp)
-    return assign_ids(merged.withColumn("created_at", created), "work_key", "id").select(*current.columns)
+    # Only keys of the batch that the table lacks are numbered; the table itself is joined once.
+    fresh = collapsed.select("work_key").join(current.select("work_key"), "work_key", "left_anti")
+    ids = number_rows(fresh, "work_key", "id", current.agg(F.max("id")))
+    created = F.current_timestamp() if stamp is None else stamp
+    incoming = collapsed.join(ids, "work_key", "left").withColumn("created_at", created)
+    return upsert(current, incoming, "work_key", UPDATED_COLUMNS)
 
 
 def apply_pages(table: SnapshotTable, pages: DataFrame, version: int | None = None) -> int:
