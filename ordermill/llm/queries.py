@@ -1,4 +1,4 @@
 """Importing this module registers every query of the subpackage."""
 
-from . import mixing, packing, token_count  # noqa: F401
+from . import language, mixing, packing, token_count, toxicity  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
