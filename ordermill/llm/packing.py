@@ -8,7 +8,8 @@ to the two unpacked pieces that fill the widened gap more tightly, if there are
 Groups lose at most their last bin each, so their number follows from the piece count.
 
 The tokenizer drops white space and never joins across it, so ids are found word by word
-and kept in a memo of bounded size; new words of a batch are encoded in one call.
+and kept in a memo of bounded size; new words of a batch are encoded in one call and told apart by
+the word ends that the vocabulary marks (words of letters) or by a special token put between them.
 
 Defined results: a null or empty text is the one piece that holds the end id alone; rows that share
 a doc_id are packed each; an empty table gives no rows; other columns are ignored.
@@ -32,6 +33,8 @@ from .registry import query
 
 TOKENIZER = "word_bpe_49k.json"
 SEPARATOR = "<|endoftext|>"
+WORD_END = "</w>"
+MARKS = (b".", b",")
 END_ID = 1
 MAX_TOKENS = 4096
 #: Pieces packed together in one task. A group wastes one bin at most, some 20,000 being filled.
@@ -63,6 +66,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.memo: dict[bytes, bytes] = {}
 
     def ids(self, text: bytes) -> np.ndarray:
@@ -70,21 +76,44 @@ class WordEncoder:
         return np.array(found, dtype="<u4")
 
     def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words: plain ones joined by a special token into one call, others one by one."""
-        found = {word: self.ids(word).tobytes() for word in missing if b"<|" in word or len(word) > MEMO_BYTES}
-        plain = sorted(missing.difference(found))
-        for run in by_bytes(plain, CHUNK_BYTES):
-            ids = self.ids(f"\n{SEPARATOR}\n".encode().join(run))
-            cuts = np.flatnonzero(ids == self.separator)
-            starts = np.concatenate(([0], cuts + 1)).tolist()
-            ends = np.concatenate((cuts, [len(ids)])).tolist()
+        """Ids of new words. A mark after a letter starts a token of its own, so words are encoded without it."""
+        found, letters, others, marked = {}, set(), [], []
+        for word in missing:
+            core = word[:-1] if word[-1:] in MARKS else word
+            if len(word) > MEMO_BYTES or b"<|" in word:
+                found[word] = self.ids(word).tobytes()
+            elif core.decode("utf-8", "replace").lower().isalpha():
+                letters.add(core)
+                if core is not word:
+                    marked.append(word)
+            else:
+                others.append(word)
+        known = self.runs(sorted(letters), b"\n", lambda ids: np.flatnonzero(self.ends_word[ids]) + 1, 0)
+        tails = {mark: self.ids(mark).tobytes() for mark in MARKS}
+        found.update((word, known[word[:-1]] + tails[word[-1:]]) for word in marked)
+        found.update(known)
+        between = f"\n{SEPARATOR}\n".encode()
+        found.update(self.runs(others, between, lambda ids: np.append(np.flatnonzero(ids == self.separator), len(ids)), 1))
+        return found
+
+    def runs(self, words: list[bytes], between: bytes, ends_of, gap: int) -> dict[bytes, bytes]:
+        """Encode words by the run: joined, then cut where ``ends_of`` says that one ends, ``gap`` ids apart."""
+        found = {}
+        for run in by_bytes(words, CHUNK_BYTES):
+            ids = self.ids(between.join(run))
+            ends = ends_of(ids)
+            if len(ends) != len(run):  # not one word end each after all
+                found.update((word, self.ids(word).tobytes()) for word in run)
+                continue
+            starts = np.concatenate(([0], ends[:-1] + gap)).tolist()
             raw = ids.tobytes()
-            found.update((word, raw[4 * s : 4 * e]) for word, s, e in zip(run, starts, ends, strict=True))
+            found.update((word, raw[4 * s : 4 * e]) for word, s, e in zip(run, starts, ends.tolist()))
         return found
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         for run in by_bytes(texts, CHUNK_BYTES):
-            split = [text.split() for text in run]
+            # the tokenizer works in lower case but for its special tokens
+            split = [(text if b"<|" in text else text.lower()).split() for text in run]
             missing = set().union(*split).difference(self.memo)
             if len(self.memo) + len(missing) > MEMO_WORDS:
                 self.memo = {}
