@@ -1,4 +1,4 @@
 """Importing this module registers every query of the subpackage."""
 
-from . import language, mixing, ngram_lm, packing, simhash, token_count, toxicity  # noqa: F401
+from . import language, mixing, neighbours, ngram_lm, packing, simhash, token_count, toxicity  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
