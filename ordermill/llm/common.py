@@ -26,9 +26,38 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
-def document_text(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the text as UTF-8 bytes, a null as no bytes."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+def document_text(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id``, the text as UTF-8 bytes, a null as no bytes, and further columns."""
+    text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *more)
+
+
+def whole_rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """Every row as one struct ``_row`` beside further columns, so that no name of the table can clash with these."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *more)
+
+
+def digest(docs: DataFrame) -> Column:
+    """A 64-bit digest of a whole row."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def filtered(docs: DataFrame, wanted, *arguments: Column) -> DataFrame:
+    """The rows for which ``wanted`` says so: a function of the ``arguments`` as Arrow arrays that returns a mask.
+
+    Rows pass through the Python worker whole, so no join is needed to find them again.
+    """
+    names = [f"_{k}" for k in range(len(arguments))]
+    rows = whole_rows(docs, *[a.alias(n) for a, n in zip(arguments, names)])
+    shape = rows.select("_row").schema
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                mask = pa.array(wanted(*part.columns[1:]), pa.bool_())
+                yield part.select([0]).filter(mask)
+
+    return rows.mapInArrow(chosen, shape).select("_row.*")
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -21,10 +21,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, bounded_batches, crc32_mod, table
+from .common import batch, bounded_batches, crc32_mod, filtered, table
 from .registry import query
 
 #: Expected documents per language in the sample that is learned from, and the longest of them in bytes.
@@ -150,15 +150,31 @@ class ContextTrees:
         return out
 
 
+    def predictions(self, texts: pa.Array, letters: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and score of lower-case texts, given which of them hold a letter."""
+        if not self.languages or not len(texts):
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        raw = texts.to_pylist()
+        fair = letters.to_numpy(zero_copy_only=False).astype(bool)
+        bits = self.code_lengths(raw)
+        best = bits.argmin(axis=1)
+        evidence = np.minimum(1.0, EVIDENCE_BYTES / np.maximum(1, [len(t) for t in raw]))
+        odds = np.exp2(-(bits - bits.min(axis=1, keepdims=True)) * evidence[:, None])
+        names = [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, fair)]
+        return names, np.where(fair, odds.max(axis=1) / odds.sum(axis=1), 0.0)
+
+
 def slot(codes: np.ndarray, probe: int, bits: int) -> np.ndarray:
     mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)
     return (mixed.astype(np.int64) + probe) & ((1 << bits) - 1)
 
 
-def lowered(docs: DataFrame, *more) -> DataFrame:
-    """doc_id, the text in lower case as bytes, and whether it holds a letter."""
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
-    return docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("text"), letters, *more)
+def lower_text() -> Column:
+    return F.lower(F.coalesce("text", F.lit(""))).cast("binary")
+
+
+def has_letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
 def learn(docs: DataFrame, allowed) -> ContextTrees:
@@ -171,7 +187,7 @@ def learn(docs: DataFrame, allowed) -> ContextTrees:
     share = F.lit(0.0)
     for name, count in languages:
         share = F.when(F.col("lang") == name, F.lit(SAMPLE_DOCUMENTS / count)).otherwise(share)
-    sample = lowered(known.where(draw < share), "lang").select("lang", "text")
+    sample = known.where(draw < share).select("lang", lower_text().alias("text"))
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,21 +216,24 @@ def identify(docs: DataFrame, model: ContextTrees) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
         for rows in batches:
-            texts = rows.column(1).to_pylist()
-            fair = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            if not trees.languages or not len(texts):
-                yield batch(schema, rows.column(0), [UNDETERMINED] * len(texts), [0.0] * len(texts))
-                continue
-            bits = trees.code_lengths(texts)
-            best = bits.argmin(axis=1)
-            evidence = np.minimum(1.0, EVIDENCE_BYTES / np.maximum(1, [len(t) for t in texts]))
-            odds = np.exp2(-(bits - bits.min(axis=1, keepdims=True)) * evidence[:, None])
-            names = [trees.languages[b] if ok else UNDETERMINED for b, ok in zip(best, fair)]
-            yield batch(schema, rows.column(0), names, np.where(fair, odds.max(axis=1) / odds.sum(axis=1), 0.0))
-
-    return lowered(docs).mapInArrow(predicted, "doc_id long, lang_pred string, score double")
+            yield batch(schema, rows.column(0), *shared.value.predictions(*rows.columns[1:3]))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower_text().alias("text"), has_letter().alias("letters"))
+    return rows.mapInArrow(predicted, "doc_id long, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: ContextTrees, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of which the language can be told, with all their columns: neither ``und`` nor below the least score."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def told(texts: pa.Array, letters: pa.Array) -> list[bool]:
+        names, scores = shared.value.predictions(texts, letters)
+        return [name != UNDETERMINED and score >= least for name, score in zip(names, scores)]
+
+    return filtered(docs, told, lower_text(), has_letter())
 
 
 def learned(docs: DataFrame) -> ContextTrees:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, words, written
+from .common import digest, table, whole_rows, words, written
 from .registry import query
 
 #: Source weights in code-point order, repeating; the share of all sizes that the mix holds; the most epochs.
@@ -121,15 +121,14 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, **options
 
     Rows meet the plan by doc_id and a digest of the row; equal rows share their takes in turn.
     """
-    columns = docs.columns
-    digest = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
-    plan = mix(docs.withColumn("_digest", digest), quality, keep=("_digest",), **options)
-    takes = plan.groupBy(F.col("doc_id").alias("_id"), F.col("_digest").alias("_of")).agg(F.sort_array(F.collect_list("times"), False).alias("_takes"))
-    keys = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of"))
-    joined = docs.withColumn("_digest", digest).join(takes, keys)
-    place = F.row_number().over(Window.partitionBy("_id", "_of").orderBy("_id"))
+    tagged = docs.select("doc_id", "source", "text", digest(docs).alias("_tag"))
+    plan = mix(tagged, quality, keep=("_tag",), **options)
+    takes = plan.groupBy(F.col("doc_id").alias("_id"), "_tag").agg(F.sort_array(F.collect_list("times"), False).alias("_takes"))
+    rows = whole_rows(docs, F.col("doc_id").alias("_own"), digest(docs).alias("_digest"))
+    joined = rows.join(takes, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_tag")))
+    place = F.row_number().over(Window.partitionBy("_id", "_tag").orderBy("_digest"))
     counted = joined.withColumn("_times", F.element_at("_takes", place).cast("int")).where("_times > 0")
-    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[f"`{c}`" for c in columns])
+    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 SQL = r"""

@@ -31,11 +31,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch, bounded_batches, document_text, table, written
+from .common import batch, bounded_batches, digest, document_text, table, whole_rows, written
 from .registry import query
 
 SHINGLE_WORDS = 4
@@ -74,17 +74,18 @@ def fingerprint(text: bytes, size: int = SHINGLE_WORDS) -> int:
     return int(majority.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, tag: Column | None = None) -> DataFrame:
+    """``doc_id``, ``fp``, the fingerprint as a signed long, and a long of the caller's."""
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("tag", pa.int64())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             found = np.array([fingerprint(t) for t in rows.column(1).to_pylist()], dtype=np.uint64)
-            yield batch(schema, rows.column(0), found.view(np.int64))
+            yield batch(schema, rows.column(0), found.view(np.int64), rows.column(2))
 
-    return document_text(docs).mapInArrow(hashed, "doc_id long, fp long")
+    tagged = docs.select("doc_id", "text", (F.lit(0) if tag is None else tag).cast("long").alias("tag"))
+    return document_text(tagged, "tag").mapInArrow(hashed, "doc_id long, fp long, tag long")
 
 
 @dataclass(frozen=True)
@@ -245,25 +246,26 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(small, "links")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Every row with its ``fp`` and its ``component_id``, the smallest doc_id it is linked to."""
-    hashed = written(fingerprints(docs), "simhash")
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tag: Column | None = None) -> DataFrame:
+    """Every row with its ``fp``, its group's ``root`` fingerprint, its ``component_id`` (the smallest doc_id of the group) and its tag."""
+    hashed = written(fingerprints(docs, tag), "simhash")
     distinct = written(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots = components(links(distinct, radius))
     named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     named = named.select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return hashed.join(named.join(smallest, "root").select("fp", "component_id"), "fp")
+    return hashed.join(named.join(smallest, "root").select("fp", "root", "component_id"), "fp")
 
 
 def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each group of near duplicates: of the smallest doc_id, the row whose text has the least digest."""
-    found = near_duplicates(docs, radius)
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")))
-    order = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
-    ranked = kept.withColumn("_place", F.row_number().over(order))
-    return ranked.where("_place = 1").select(*[f"`{c}`" for c in docs.columns])
+    """One row of each group of near duplicates, with all its columns: of the smallest doc_id, the row with the least digest."""
+    found = near_duplicates(docs, radius, digest(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag"))
+    chosen = found.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.tag").alias("_tag"))
+    rows = whole_rows(docs, F.col("doc_id").alias("_own"), digest(docs).alias("_digest"))
+    kept = rows.join(chosen, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_tag")))
+    place = F.row_number().over(Window.partitionBy("_id", "_tag").orderBy("_digest"))  # equal rows: one
+    return kept.withColumn("_place", place).where("_place = 1").select("_row.*")
 
 
 @query()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, bounded_batches, crc32_mod, document_text, table
+from .common import batch, bounded_batches, crc32_mod, document_text, filtered, table
 from .registry import query
 
 #: Documents of either label that a model is fitted on, and the longest of them in bytes.
@@ -43,6 +43,7 @@ HASH_BITS = 17
 DIMENSIONS = 8
 WINDOW = 16
 STRIDE = 8
+#: Passes over the windows in each round.
 EPOCHS = (2, 2, 2)
 BATCH_WINDOWS = 512
 RATE = 0.3
@@ -111,6 +112,18 @@ class Toxicity:
     def score(self, margin: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40))))
 
+    def scores(self, texts: list[bytes], memo: dict[bytes, float]) -> list[float]:
+        """Scores of whole texts; ``memo`` keeps the values of words between calls, MEMO_WORDS at most."""
+        split = [plain(t) for t in texts]
+        missing = list(set().union(*split).difference(memo))
+        if len(memo) + len(missing) > MEMO_WORDS:
+            memo.clear()
+            missing = list(set().union(*split))
+        if missing:
+            memo.update(zip(missing, self.word_values(missing).tolist()))
+        look = memo.__getitem__
+        return [self.score(self.margin(np.fromiter(map(look, w), np.float64, len(w)))) for w in split]
+
 
 class _Sample:
     """Training windows as words, and words as n-gram rows, both in compressed rows."""
@@ -255,23 +268,26 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frozen, memo = shared.value, {}
+        memo: dict[bytes, float] = {}
         for rows in batches:
-            split = [plain(t) for t in rows.column(1).to_pylist()]
-            missing = list(set().union(*split).difference(memo))
-            if len(memo) + len(missing) > MEMO_WORDS:
-                memo = {}
-                missing = list(set().union(*split))
-            if missing:
-                memo.update(zip(missing, frozen.word_values(missing).tolist()))
-            look = memo.__getitem__
-            margins = [frozen.margin(np.fromiter(map(look, w), np.float64, len(w))) for w in split]
-            yield batch(SCORES, rows.column(0), [frozen.score(m) for m in margins])
+            yield batch(SCORES, rows.column(0), shared.value.scores(rows.column(1).to_pylist(), memo))
 
     out = document_text(docs).mapInArrow(scored, "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def without_toxic(docs: DataFrame, model: Toxicity) -> DataFrame:
+    """The rows that the model does not predict as toxic, with all their columns."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def clean(texts: pa.Array) -> list[bool]:
+        return [s < THRESHOLD for s in shared.value.scores(texts.to_pylist(), {})]
+
+    return filtered(docs, clean, F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> Toxicity:
     """The model of the registered query: labels of two thirds of the ids."""
     return fit(*training_sample(docs, labels, crc32_mod("doc_id", 3) != 1))
