@@ -112,7 +112,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, keep: tuple[str, ...]
     more = (F.col("rest") > 0) & (end - F.col("size") / 2 <= F.col("rest"))
     times = F.col("epochs") + more.cast("long")
     return rows.select(
-        "doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"), *keep
+        "doc_id", "source", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"), *keep
     )
 
 

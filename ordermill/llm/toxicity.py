@@ -33,7 +33,7 @@ from .registry import query
 
 #: Documents of either label that a model is fitted on, and the longest of them in bytes.
 SAMPLE_TOXIC = 1_000
-SAMPLE_CLEAN = 2_500
+SAMPLE_CLEAN = 5_000
 SAMPLE_BYTES = 30_000
 #: One document in CALIBRATE of the sample is kept for the last step.
 CALIBRATE = 5
@@ -46,6 +46,8 @@ STRIDE = 8
 #: Passes over the windows in each round.
 EPOCHS = (2, 2, 2)
 BATCH_WINDOWS = 512
+#: Of the windows of clean documents, one in so many is also shown cut short.
+SHORT_EVERY = 4
 RATE = 0.3
 THRESHOLD = 0.7
 MEMO_WORDS = 1_000_000
@@ -136,8 +138,13 @@ class _Sample:
             ids = [number.setdefault(w, len(number)) for w in plain(text)]
             self.words.extend(ids)
             for start in range(0, len(ids), WINDOW):
-                cuts.append((at + start, at + min(start + WINDOW, len(ids))))
+                end = min(start + WINDOW, len(ids))
+                cuts.append((at + start, at + end))
                 self.doc.append(i)
+                if not labels[i] and start % (SHORT_EVERY * WINDOW) == 0:
+                    # short windows must be known to be clean too: without them a text of a word or two is at the mercy of the bias
+                    cuts.append((at + start, at + start + 1 + i % (end - start)))
+                    self.doc.append(i)
             at += len(ids)
         self.words = np.array(self.words, dtype=np.int64)
         self.cuts = np.array(cuts, dtype=np.int64).reshape(-1, 2)
