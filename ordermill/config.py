@@ -17,13 +17,13 @@ class JdbcConnection:
 
     @classmethod
     def from_env(cls) -> "JdbcConnection":
-        # Variable names and defaults of the source database.
+        # Variable names and defaults of the source database; the password has no default.
         host = os.environ.get("MYSQL_HOST", "mysql")
         database = os.environ.get("MYSQL_DATABASE", "project_db")
         return cls(
             url=f"jdbc:mysql://{host}:3306/{database}",
             user=os.environ.get("MYSQL_USER", "admin"),
-            password=os.environ.get("MYSQL_PASSWORD", "admin"),
+            password=os.environ["MYSQL_PASSWORD"],
         )
 
 

@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, TimestampType
 
 from ordermill.config import TableSpec
 from ordermill.functions.calendar import ymd_columns
-from ordermill.sinks.datasets import YMD, write_dataset
-from ordermill.sources.datasets import find_dataset, newest_partitions
+from ordermill.sinks.datasets import YMD, write_measured
+from ordermill.sources.datasets import find_dataset, holds_files, newest_partitions, read_text, write_text
+
+
+MARK_FILE = "_mark"
 
 
 @dataclass(frozen=True)
 class IngestResult:
     action: str  # full | increment | unchanged | reload
     rows: int
-    frame: DataFrame
+    read: Callable[[], DataFrame]
+
+    @property
+    def frame(self) -> DataFrame:
+        """The target as it is now; listed and read only when asked for."""
+        return self.read()
 
 
 def first_present(frame: DataFrame, candidates: tuple[str, ...]) -> str | None:
@@ -38,19 +48,37 @@ def add_load_columns(source: DataFrame, spec: TableSpec, load_time: Column) -> D
     )
 
 
-def current_mark(spark: SparkSession, path: str, existing: DataFrame, mark: str, spec: TableSpec) -> str | None:
+def _text(moment: Column, kind: DataType) -> Column:
+    """A mark as text that reads the same in any time zone."""
+    return (F.unix_micros(moment) if isinstance(kind, TimestampType) else moment).cast("string")
+
+
+def _literal(text: str, kind: DataType) -> Column:
+    return F.timestamp_micros(F.lit(int(text))) if isinstance(kind, TimestampType) else F.lit(text).cast(kind)
+
+
+def current_mark(spark: SparkSession, path: str, mark: str, spec: TableSpec) -> str | None:
     """Largest value of the mark column, as text; None when there is none.
 
-    Where the partitions are days of the mark itself only the two newest are read
-    (two, so that a changed session time zone cannot hide the largest value);
-    otherwise one column of the dataset is.
+    The last finished load has left it beside the data. Where none has, it is taken from the
+    data: from the two newest days if the partitions are days of the mark itself (two, so that a changed
+    session time zone cannot hide the largest value), from one column of the dataset otherwise.
     """
-    scope = existing
-    if first_present(existing, spec.partition_candidates) == mark:
-        leaves = newest_partitions(spark, path, YMD, 2)
-        if leaves:
-            scope = spark.read.option("basePath", path).parquet(*leaves)
-    return scope.agg(F.max(mark).cast("string")).first()[0]
+    recorded = read_text(spark, f"{path}/{MARK_FILE}")
+    if recorded is not None:
+        name, _, value = recorded.partition("=")
+        if name == mark:
+            return value or None
+    leaves = newest_partitions(spark, path, YMD, 2)
+    scope = None
+    if leaves:
+        scope = spark.read.option("basePath", path).parquet(*leaves)
+        if first_present(scope, spec.partition_candidates) != mark:
+            scope = None
+    scope = find_dataset(spark, path) if scope is None else scope
+    if scope is None or mark not in scope.columns:
+        return None
+    return scope.agg(_text(F.max(mark), scope.schema[mark].dataType)).first()[0]
 
 
 def newer_than(source: DataFrame, mark: str, value: str, overlap: timedelta | None = None) -> DataFrame:
@@ -58,7 +86,7 @@ def newer_than(source: DataFrame, mark: str, value: str, overlap: timedelta | No
 
     The bound is a literal of the column's own type, so it reaches the source.
     """
-    bound = F.lit(value).cast(source.schema[mark].dataType)
+    bound = _literal(value, source.schema[mark].dataType)
     if overlap is None:
         return source.where(F.col(mark) > bound)
     margin = F.make_dt_interval(secs=F.lit(overlap.total_seconds()).cast("decimal(18,6)"))
@@ -80,24 +108,35 @@ def ingest(
     """
     spark = source.sparkSession
     load_time = F.current_timestamp() if load_time is None else load_time
-    existing = find_dataset(spark, path)
     mark = first_present(source, spec.high_water_candidates)
+    exists = holds_files(spark, path)
 
-    rows, action = source, "full"
-    if existing is not None and mark is None:
+    rows, action, value = source, "full", None
+    if exists and mark is None:
         action = "reload"
-    elif existing is not None:
-        value = current_mark(spark, path, existing, mark, spec)
+    elif exists:
+        value = current_mark(spark, path, mark, spec)
         if value is not None:
             rows, action = newer_than(source, mark, value, overlap), "increment"
 
+    loaded = add_load_columns(rows, spec, load_time)
     mode = "append" if action == "increment" else "overwrite"
+    measures = {} if mark is None else {"mark": _text(F.max(mark), source.schema[mark].dataType)}
+    # Partitioned by the load time, all rows of a load fall into one folder.
+    one_folder = first_present(source, spec.partition_candidates) is None
     # An empty increment adds no file, so the source is not probed before the write.
-    count = write_dataset(add_load_columns(rows, spec, load_time), path, mode, YMD)
-    if action == "increment" and count == 0:
+    seen = write_measured(loaded, path, mode, YMD, one_folder, **measures)
+    if mark is not None:
+        # Only a finished write moves the mark: a load that dies half-way is read again from the old one,
+        # and what it has left twice is one row per key again in silver.
+        newest = seen["mark"] if action != "increment" or seen["rows"] else value
+        write_text(spark, f"{path}/{MARK_FILE}", f"{mark}={value if newest is None else newest}" if newest or value else f"{mark}=")
+    if action == "increment" and seen["rows"] == 0:
         action = "unchanged"
-    # Read back: the caller's next step must not run the source query again.
-    written = find_dataset(spark, path)
-    if written is None:
-        written = add_load_columns(rows, spec, load_time).limit(0)
-    return IngestResult(action, count, written)
+
+    def read() -> DataFrame:
+        # Read back: the caller's next step must not run the source query again.
+        written = find_dataset(spark, path)
+        return loaded.limit(0) if written is None else written
+
+    return IngestResult(action, seen["rows"], read)

@@ -56,6 +56,29 @@ def foreign_key(
     )
 
 
+def foreign_keys(child: DataFrame, table: str, parents: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Orphan rows of several foreign keys, the child read once.
+
+    Every row gives one (column, value) pair per key, counted before the shuffle; what meets the parents is one row
+    per distinct value.
+    """
+    names = list(parents)
+    kind = "string"
+    pairs = F.array(*[F.struct(F.lit(n).alias("c"), F.col(n).cast(kind).alias("v")) for n in names])
+    sizes = child.select(F.explode(pairs).alias("p")).select("p.c", "p.v").where("v IS NOT NULL").groupBy("c", "v").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    known = reduce(
+        DataFrame.unionByName,
+        [p.select(F.lit(n).alias("c"), F.col(key).cast(kind).alias("v")) for n, (p, key) in parents.items()],
+    )
+    orphans = sizes.join(known, ["c", "v"], "left_anti").agg(
+        *[F.coalesce(F.sum(F.when(F.col("c") == n, F.col("n"))), F.lit(0)).alias(n) for n in names]
+    )
+    rows = F.array(*[F.struct(F.lit(f"foreign_key:{n}").alias("check"), F.col(n).alias("violations")) for n in names])
+    return orphans.select(F.explode(rows).alias("p")).select("p.check", F.lit(table).alias("table"), "p.violations")
+
+
 def report(checks: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 

@@ -51,21 +51,21 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, update: Sequence[s
     return joined.select(*[merged(c).alias(c) for c in current.columns])
 
 
-def number_rows(frame: DataFrame, key: str, id_column: str, base: DataFrame, buckets: int = 8192) -> DataFrame:
-    """``(key, id)`` with consecutive ids for rows of a unique key, above the one value of ``base``.
+def number_rows(frame: DataFrame, key: str, id_column: str, above: int = 0, buckets: int = 8192) -> DataFrame:
+    """``(key, id)`` with consecutive ids, from ``above`` + 1, for rows of a unique key.
 
     Numbers run over hash buckets, then keys, so no task has to see all rows: only the
-    counts of the buckets meet in one place.
+    counts of the buckets meet in one place. A bucket is sorted in one task: take as many buckets as keep
+    its share of ``frame`` (one batch of new keys) in the low millions.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
     spread = frame.select(key, bucket.alias("_bucket"))
     sizes = spread.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    above = F.coalesce(base.scalar(), F.lit(0)).cast("bigint")
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
     return (
         spread.withColumn("_place", place)
         .join(offsets, "_bucket")
-        .select(key, (above + F.col("_before") + F.col("_place")).alias(id_column))
+        .select(key, (F.lit(above).cast("bigint") + F.col("_before") + F.col("_place")).alias(id_column))
     )

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import logging
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ordermill import schemas
 from ordermill.functions.catalogue import joined_head, steady_price, work_key
 from ordermill.operators.quality import expect_not_empty
 from ordermill.operators.upsert import collapse_batch, number_rows, upsert
-from ordermill.sinks.snapshots import SnapshotTable
+from ordermill.sinks.keyed import KeyedTable
 
 log = logging.getLogger(__name__)
 
@@ -52,29 +54,49 @@ def normalize(documents: DataFrame) -> DataFrame:
     )
 
 
-def upsert_books(current: DataFrame, batch: DataFrame, stamp: Column | None = None) -> DataFrame:
-    """``current`` after inserting the ``batch`` rows in page order.
+def books_table(spark: SparkSession, path: str, **options) -> KeyedTable:
+    """The catalogue by work key; the manifest keeps the last id given."""
+    return KeyedTable(spark, path, schemas.BOOKS, "work_key", largest=("id",), **options)
+
+
+def collapse(batch: DataFrame) -> DataFrame:
+    """One row per work of a batch, as inserting its rows in page order would leave it."""
+    places = [F.col("page_start"), F.col("position")]
+    return collapse_batch(batch, "work_key", places, UPDATED_COLUMNS).drop("page_start", "position")
+
+
+def upsert_books(current: DataFrame, collapsed: DataFrame, last_id: int = 0, stamp: Column | None = None) -> DataFrame:
+    """``current`` after a collapsed batch; ids of new works go on from ``last_id``.
 
     New works get an id and a creation time; known ones change four columns only.
     """
-    places = [F.col("page_start"), F.col("position")]
-    collapsed = collapse_batch(batch, "work_key", places, UPDATED_COLUMNS).drop("page_start", "position")
-    # Only keys of the batch that the table lacks are numbered; the table itself is joined once.
     fresh = collapsed.select("work_key").join(current.select("work_key"), "work_key", "left_anti")
-    ids = number_rows(fresh, "work_key", "id", current.agg(F.max("id")))
+    ids = number_rows(fresh, "work_key", "id", last_id)
     created = F.current_timestamp() if stamp is None else stamp
     incoming = collapsed.join(ids, "work_key", "left").withColumn("created_at", created)
     return upsert(current, incoming, "work_key", UPDATED_COLUMNS)
 
 
-def apply_pages(table: SnapshotTable, pages: DataFrame, version: int | None = None) -> int:
+def apply_pages(table: KeyedTable, pages: DataFrame, stream: str | None = None, batch: int | None = None) -> int:
     """Upsert one batch of pages into the table."""
-    batch = normalize(page_documents(pages))
-    return table.change(lambda current: upsert_books(current, batch), version)
+    collapsed = collapse(normalize(page_documents(pages.where("docs IS NOT NULL")))).persist()
+    try:
+        return table.change(
+            collapsed, lambda rows, was: upsert_books(rows, collapsed, was.largest.get("id", 0)), stream, batch
+        )
+    finally:
+        collapsed.unpersist()
+
+
+def set_aside(pages: DataFrame, path: str) -> None:
+    """Write the text of pages that cannot be read."""
+    unreadable_pages(pages).select("start", "_corrupt_record").drop("start").write.mode("overwrite").parquet(path)
 
 
-def run_books(table: SnapshotTable, pages: DataFrame) -> int:
-    """Ingest pages, then fail if the table is empty."""
+def run_books(table: KeyedTable, pages: DataFrame) -> int:
+    """Ingest pages, set unreadable ones aside, then fail if the table is empty."""
+    load = uuid.uuid4().hex
+    set_aside(pages, f"{table.dead_letters()}/load={load}")
     version = apply_pages(table, pages)
     expect_not_empty(table.read(), "books")
     log.info("books: version %d", version)

@@ -190,3 +190,16 @@ def run_gold(
         layout.fact("fact_order_products"),
     )
     return counts
+
+
+def run_pricing(spark: SparkSession, layout: Layout, books: DataFrame) -> dict[str, int]:
+    """The facts with the catalogue's prices, beside the unpriced ones, which ``run_gold`` rebuilds."""
+    lines = price_lines(read_dataset(spark, layout.fact("fact_order_products")), books)
+    orders = read_dataset(spark, layout.fact("fact_orders"))
+    counts = {"fact_order_products_priced": write_dataset(lines, layout.fact("fact_order_products_priced"))}
+    priced = read_dataset(spark, layout.fact("fact_order_products_priced"))
+    target = layout.fact("fact_orders_priced")
+    counts["fact_orders_priced"] = write_dataset(price_orders(orders, priced), target, "overwrite", ("order_date_id",))
+    for name, rows in counts.items():
+        log.info("gold %s: %d rows", name, rows)
+    return counts

@@ -19,9 +19,12 @@ QUANTITY_POLICIES = ("constant", "preserve")
 
 
 def _newest_load_first(frame: DataFrame, ties: Sequence[str]) -> list[Column]:
-    """Load time, then the tie-breakers that are present, all descending."""
+    """Load time, then the tie-breakers that are present, all descending, then a digest of the row.
+
+    With the digest the survivor never depends on the order of tasks, whatever columns a source lacks.
+    """
     names = ["bronze_ingestion_time", *[c for c in ties if c in frame.columns]]
-    return [F.col(c).desc() for c in names]
+    return [*[F.col(c).desc() for c in names], F.xxhash64(*frame.columns)]
 
 
 def _stamped(frame: DataFrame, stamp: Column | None) -> DataFrame:
@@ -69,13 +72,14 @@ def run_silver(
     layout: Layout,
     stamp: Column | None = None,
     quantity_policy: str = "constant",
+    detail_ties: Sequence[str] = ("id",),
 ) -> dict[str, int]:
     def bronze(name: str) -> DataFrame:
         return read_dataset(spark, layout.bronze_table(name))
 
     tables = {
         "orders": lambda: clean_orders(bronze("orders"), stamp),
-        "order_details": lambda: clean_order_details(bronze("order_details"), stamp, quantity_policy),
+        "order_details": lambda: clean_order_details(bronze("order_details"), stamp, quantity_policy, detail_ties),
         "customers": lambda: clean_customers(bronze("customers"), stamp),
         "payment_method": lambda: clean_payment_method(bronze("payment_method"), stamp),
     }

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ordermill.session import conf_scope
-
 YMD = ("year", "month", "day")
 
 
@@ -15,21 +13,32 @@ def write_dataset(
     path: str,
     mode: str = "overwrite",
     partition_by: tuple[str, ...] = (),
+    one_folder: bool = False,
 ) -> int:
-    """Write and return the row count, without running the plan a second time.
+    """Write and return the row count, without running the plan a second time."""
+    return write_measured(frame, path, mode, partition_by, one_folder)["rows"]
+
+
+def write_measured(
+    frame: DataFrame,
+    path: str,
+    mode: str = "overwrite",
+    partition_by: tuple[str, ...] = (),
+    one_folder: bool = False,
+    **measures: Column,
+) -> dict:
+    """Write and return ``rows`` and further aggregates of what was written.
 
     Partitioned writes are rebalanced on the partition columns: rows of a folder
     meet in one task (one file), while a folder holding a large share of the rows is
-    split by AQE into pieces of the advisory size. Small shuffle partitions are not
-    merged there: that would not save a file, only put many folders into one task.
+    split by AQE into pieces of the advisory size. ``one_folder`` says that all rows have the same
+    partition values: they are then spread evenly, since a shuffle on a constant would send them all to one task.
     """
-    written = Observation()
-    counted = F.count(F.lit(1)).alias("rows")
-    if not partition_by:
-        frame.observe(written, counted).write.mode(mode).parquet(path)
-    else:
-        spread = frame.hint("rebalance", *[F.col(c) for c in partition_by])
-        with conf_scope(frame.sparkSession, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
-            # Observed on top: below the hint an empty plan would lose the metric.
-            spread.observe(written, counted).write.mode(mode).partitionBy(*partition_by).parquet(path)
-    return written.get["rows"]
+    seen = Observation()
+    spread = frame
+    if partition_by:
+        spread = frame.hint("rebalance", *([] if one_folder else [F.col(c) for c in partition_by]))
+    # Observed on top: below the hint an empty plan would lose the metric.
+    writer = spread.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in measures.items()]).write.mode(mode)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return seen.get

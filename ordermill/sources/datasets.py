@@ -36,6 +36,37 @@ def dataset_exists(spark: SparkSession, path: str) -> bool:
     return find_dataset(spark, path) is not None
 
 
+def holds_files(spark: SparkSession, path: str) -> bool:
+    """Whether the folder holds data, found without listing all of it."""
+    if newest_partitions(spark, path, ("year", "month", "day"), 1):
+        return True
+    return dataset_exists(spark, path)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file, or None if there is none."""
+    file, fs = _folder(spark, path)
+    if not fs.exists(file):
+        return None
+    stream = fs.open(file)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small text file: written beside it, then renamed."""
+    file, fs = _folder(spark, path)
+    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(file, False)
+    if not fs.rename(draft, file):
+        raise OSError(f"cannot write {path}")
+
+
 def _folder(spark: SparkSession, path: str):
     """Hadoop path and file system of ``path``."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -50,6 +81,8 @@ def newest_partitions(
     Lists one folder per level instead of every file of the dataset.
     """
     root, fs = _folder(spark, path)
+    if not fs.exists(root):
+        return []
 
     def descend(folder, remaining: tuple[str, ...]) -> Iterator[str]:
         entries = list(fs.listStatus(folder))

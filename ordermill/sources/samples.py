@@ -21,18 +21,22 @@ def _payment_id() -> Column:
     return F.substring("o_orderpriority", 1, 1).cast("int")
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders; ``num_products`` counts the order's lines."""
-    sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.count(F.lit(1)).cast("int").alias("num_products")
-    )
-    heads = table(spark, sf_dir, "orders").select(
+def order_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without their sizes."""
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderdate").alias("timestamp"),
         F.col("o_custkey").alias("customer_id"),
         _payment_id().alias("payment_method_id"),
     )
-    return heads.join(sizes, "id", "left")
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders; ``num_products`` counts the order's lines."""
+    sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.count(F.lit(1)).cast("int").alias("num_products")
+    )
+    return order_heads(spark, sf_dir).join(sizes, "id", "left")
 
 
 def order_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +157,25 @@ def order_change_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
+def later_change_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes after ``order_change_messages``: orders in status O re-paid, in a log file whose number has gained a
+    digit; the create events of all orders once more, now out of date; and messages nothing can be done with, by priority."""
+    heads = table(spark, sf_dir, "orders")
+    image, repaid = _order_image(_payment_id()), _order_image(_payment_id() % 5 + 1)
+    none = F.when(F.lit(False), image)
+    anonymous = image.withField("id", F.lit(None).cast("string"))
+
+    def events(rows: DataFrame, after: Column, before: Column, op: str, file: str) -> DataFrame:
+        text = _message(after, before, F.lit(op), F.lit(file), F.col("o_orderkey"), "orders")
+        return rows.select(text.alias("value"), F.col("o_orderkey").alias("seq"))
+
+    late = events(heads.where("o_orderstatus = 'O'"), repaid, image, "u", "mysql-bin.1000000")
+    stale = events(heads, image, none, "c", "mysql-bin.000001")
+    nameless = events(heads.where(_payment_id() == 1), anonymous, none, "c", "mysql-bin.000009")
+    torn = heads.where(_payment_id() == 2).select(F.lit("{").alias("value"), F.col("o_orderkey").alias("seq"))
+    return late.unionByName(stale).unionByName(nameless).unionByName(torn)
+
+
 def broken_order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Create events spoiled in one of four ways, or not at all, by priority."""
     heads = table(spark, sf_dir, "orders")
@@ -202,6 +225,17 @@ def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents as landed pages of up to 100."""
+    return pages_of(part_documents(spark, sf_dir))
+
+
+def pages_of(documents: DataFrame) -> DataFrame:
+    placed = F.sort_array(F.collect_list(F.struct("position", "doc")))
+    pages = documents.groupBy(F.col("page_start").alias("start")).agg(placed.alias("placed"))
+    return pages.select("start", F.col("placed.doc").alias("docs"))
+
+
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue documents whose title and author list are whole texts."""
     return table(spark, sf_dir, "documents").select(

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ordermill import schemas
 from ordermill.operators import completion, quality
-from ordermill.plans import books
+from ordermill.plans import books, checks
 from ordermill.session import scratch_dir
-from ordermill.sinks.snapshots import SnapshotTable
+from ordermill.sinks.keyed import KeyedTable
 from ordermill.sinks.topics import as_messages
 from ordermill.sources import samples
 from ordermill.sources.pages import read_pages, stream_pages
@@ -55,9 +55,19 @@ _REPLICA = f"""SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS INTEG
 def cdc_apply_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Create, update and delete events applied to an empty copy."""
     decoded = envelopes.decode(samples.order_change_messages(spark, sf_dir), schemas.ORDER_IMAGE)
-    empty = spark.createDataFrame([], schemas.ORDER_IMAGE)
-    replica = replication.apply_changes(empty, replication.net_changes(decoded, "id"), "id")
-    return replica.select("id", "customer_id", "payment_method_id")
+    changes = replication.net_changes(replication.judged_changes(decoded, "id"), "id")
+    return replication.live_rows(changes).select("id", "customer_id", "payment_method_id")
+
+
+def _replica(spark: SparkSession, folder: str) -> KeyedTable:
+    return KeyedTable(spark, f"{folder}/table", replication.replica_schema(schemas.ORDER_IMAGE), "id", buckets=16)
+
+
+def _apply(spark: SparkSession, folder: str, topic: str, table: KeyedTable, files_per_batch: int | None = None) -> None:
+    """Apply a landed topic; each topic has a checkpoint of its own."""
+    messages = landed_topic(spark, f"{folder}/{topic}", files_per_batch)
+    writer = replication.replicate(messages, table, schemas.ORDER_IMAGE, f"{folder}/{topic}-checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 @query(_REPLICA)
@@ -65,11 +75,40 @@ def cdc_replicate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events landed as files and applied by a stream."""
     folder = scratch_dir(spark, "replica")
     _land(samples.order_change_messages(spark, sf_dir), f"{folder}/in")
-    replica = SnapshotTable(spark, f"{folder}/table", schemas.ORDER_IMAGE)
-    messages = landed_topic(spark, f"{folder}/in")
-    writer = replication.replicate(messages, replica, schemas.ORDER_IMAGE, "id", f"{folder}/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return replica.read().select("id", "customer_id", "payment_method_id")
+    replica = _replica(spark, folder)
+    _apply(spark, folder, "in", replica)
+    return replication.live_rows(replica.read()).select("id", "customer_id", "payment_method_id")
+
+
+def _replicated_twice(spark: SparkSession, sf_dir: str) -> KeyedTable:
+    """A stream over several micro-batches, then another one, with a new checkpoint, on the same table."""
+    folder = scratch_dir(spark, "replica")
+    _land(samples.order_change_messages(spark, sf_dir).repartition(4), f"{folder}/first")
+    _land(samples.later_change_messages(spark, sf_dir).repartition(3), f"{folder}/second")
+    replica = _replica(spark, folder)
+    _apply(spark, folder, "first", replica, files_per_batch=1)
+    _apply(spark, folder, "second", replica, files_per_batch=1)
+    return replica
+
+
+@query(
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS INTEGER) AS customer_id,
+      {m.PAYMENT_ID} % 5 + 1 AS payment_method_id FROM orders WHERE o_orderstatus <> 'F'"""
+)
+def cdc_replicate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes dealt over micro-batches without regard to their order; later, late and stale ones by a second stream."""
+    replica = _replicated_twice(spark, sf_dir)
+    return replication.live_rows(replica.read()).select("id", "customer_id", "payment_method_id")
+
+
+@query(
+    f"""SELECT CAST(o_orderkey AS BIGINT) AS seq, CASE {m.PAYMENT_ID} WHEN 1 THEN 'no_key' ELSE 'corrupt' END AS rejected
+    FROM orders WHERE {m.PAYMENT_ID} < 3"""
+)
+def replica_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second stream could not apply."""
+    replica = _replicated_twice(spark, sf_dir)
+    return spark.read.parquet(replica.dead_letters()).select("seq", "rejected")
 
 
 # --- completion -------------------------------------------------------------
@@ -240,8 +279,8 @@ def books_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first crawl, then a second that changes known works and adds others."""
     documents = samples.part_documents(spark, sf_dir)
     empty = spark.createDataFrame([], schemas.BOOKS)
-    first = books.upsert_books(empty, books.normalize(documents))
-    second = books.upsert_books(first, books.normalize(_second_crawl(documents)))
+    first = books.upsert_books(empty, books.collapse(books.normalize(documents)))
+    second = books.upsert_books(first, books.collapse(books.normalize(_second_crawl(documents))))
     return _comparable(second.drop("id", "created_at"))
 
 
@@ -252,10 +291,9 @@ def books_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def books_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids given over two crawls run from one without gaps or repeats."""
     documents = samples.part_documents(spark, sf_dir)
-    table = SnapshotTable(spark, scratch_dir(spark, "books"), schemas.BOOKS)
+    table = books.books_table(spark, scratch_dir(spark, "books"), buckets=16)
     for crawl in (documents, _second_crawl(documents)):
-        batch = books.normalize(crawl)
-        table.change(lambda current, batch=batch: books.upsert_books(current, batch))
+        books.apply_pages(table, samples.pages_of(crawl))
     return table.read().agg(
         F.count(F.lit(1)).alias("books"),
         F.count_distinct("id").alias("distinct_ids"),
@@ -266,28 +304,49 @@ def books_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PART_BOOKS} SELECT * FROM part_books")
 def books_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed JSON pages streamed into the table."""
+    """Landed JSON pages of 100 documents streamed into the table."""
     folder = scratch_dir(spark, "books")
-    pages = samples.part_documents(spark, sf_dir).select(
-        F.col("page_start").alias("start"), F.array("doc").alias("docs")
-    )
+    table = books.books_table(spark, f"{folder}/table", buckets=16)
+    _stream_pages(spark, folder, samples.part_pages(spark, sf_dir), table)
+    return _comparable(quality.expect_not_empty(table.read(), "books").drop("id", "created_at"))
+
+
+def _stream_pages(spark: SparkSession, folder: str, pages: DataFrame, table: KeyedTable, files_per_batch: int = 1000) -> None:
     pages.write.json(f"{folder}/pages")
-    table = SnapshotTable(spark, f"{folder}/table", schemas.BOOKS)
-    writer = catalogue.ingest_pages(
-        stream_pages(spark, f"{folder}/pages"), table, f"{folder}/checkpoint", f"{folder}/unreadable"
-    )
+    writer = catalogue.ingest_pages(stream_pages(spark, f"{folder}/pages", files_per_batch), table, f"{folder}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return _comparable(quality.expect_not_empty(table.read(), "books").drop("id", "created_at"))
+
+
+@query(_UPSERTED)
+def books_batch_then_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first crawl as a batch, in several changes of the table, then a second one as a stream of several micro-batches."""
+    folder = scratch_dir(spark, "books")
+    documents = samples.part_documents(spark, sf_dir)
+    table = books.books_table(spark, f"{folder}/table", buckets=16)
+    for part in range(3):
+        pages = samples.pages_of(documents.where(F.col("page_start") / 100 % 3 == part))
+        books.apply_pages(table, pages)
+    _stream_pages(spark, folder, samples.pages_of(_second_crawl(documents)).repartition(3), table, files_per_batch=1)
+    return _comparable(table.read().drop("id", "created_at"))
+
+
+@query("""SELECT '{broken ' || CAST(p_partkey AS VARCHAR) AS "value" FROM part WHERE p_partkey % 100 = 0""")
+def pages_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that cannot be read are set aside by a batch load; the others are in the table."""
+    folder = scratch_dir(spark, "books")
+    samples.part_pages(spark, sf_dir).select(F.to_json(F.struct("start", "docs")).alias("value")).write.text(f"{folder}/pages")
+    torn = samples.table(spark, sf_dir, "part").where("p_partkey % 100 = 0")
+    torn.select(F.concat(F.lit("{broken "), F.col("p_partkey").cast("string")).alias("value")).write.mode("append").text(f"{folder}/pages")
+    table = books.books_table(spark, f"{folder}/table", buckets=16)
+    books.run_books(table, read_pages(spark, f"{folder}/pages"))
+    return spark.read.parquet(table.dead_letters()).select(F.col("_corrupt_record").alias("value"))
 
 
 @query(f"WITH {_PART_BOOKS} SELECT * FROM part_books")
 def books_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed JSON pages read as a batch."""
     folder = scratch_dir(spark, "pages")
-    pages = samples.part_documents(spark, sf_dir).select(
-        F.col("page_start").alias("start"), F.array("doc").alias("docs")
-    )
-    pages.write.json(folder)
+    samples.part_pages(spark, sf_dir).write.json(folder)
     rows = books.normalize(books.page_documents(read_pages(spark, folder)))
     return _comparable(rows.drop("page_start", "position"))
 
@@ -311,18 +370,12 @@ def books_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHERE order_id IS NOT NULL AND order_id NOT IN (SELECT id FROM src_orders)"""
 )
 def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, details = samples.orders(spark, sf_dir), samples.order_details(spark, sf_dir)
-    customers, methods = samples.customers(spark, sf_dir), samples.payment_method(spark, sf_dir)
-    return quality.report(
-        [
-            quality.not_null(orders, "orders", ["num_products", "customer_id"]),
-            quality.not_null(details, "order_details", ["product_id"]),
-            quality.unique_key(orders, "orders", ["id"]),
-            quality.unique_key(details, "order_details", ["order_id", "product_id"]),
-            quality.foreign_key(orders, "orders", "customer_id", customers, "id"),
-            quality.foreign_key(orders, "orders", "payment_method_id", methods, "id"),
-            quality.foreign_key(details, "order_details", "order_id", orders, "id"),
-        ]
+    return checks.model_checks(
+        samples.orders(spark, sf_dir),
+        samples.order_details(spark, sf_dir),
+        samples.customers(spark, sf_dir),
+        samples.payment_method(spark, sf_dir),
+        order_key="id",
     )
 
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ordermill.config import CUSTOMERS, ORDER_DETAILS, ORDERS, PAYMENT_METHOD, Layout
 from ordermill.operators.ingest import ingest
-from ordermill.plans import gold, pipeline, reports
+from ordermill.plans import bronze, gold, pipeline, reports
 from ordermill.session import scratch_dir
 from ordermill.sinks.datasets import write_dataset
 from ordermill.sources import samples
-from ordermill.sources.csvfiles import read_csv
+from ordermill.sources.csvfiles import read_csv, usable
 from ordermill.workload import model as m
 from ordermill.workload.registry import query
 
@@ -112,7 +112,7 @@ def csv_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, "csv")
     samples.customers(spark, sf_dir).write.option("header", True).csv(folder)
     schema = "id BIGINT, name STRING, phone_number STRING, tier STRING, updated_at TIMESTAMP_NTZ"
-    return read_csv(spark, folder, schema)
+    return usable(read_csv(spark, folder, schema))
 
 
 @query(f"WITH {m.SQL_PAYMENTS} SELECT * FROM src_payments")
@@ -121,7 +121,24 @@ def csv_payment_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, "csv")
     methods = samples.payment_method(spark, sf_dir)
     methods.write.option("header", True).option("nullValue", "null").csv(folder)
-    return read_csv(spark, folder, "id INT, method_name STRING, bank STRING")
+    return usable(read_csv(spark, folder, "id INT, method_name STRING, bank STRING"))
+
+
+@query(
+    """SELECT CAST(c_custkey AS VARCHAR) || 'x,"' || c_name || chr(10) || 'again",' || c_mktsegment AS "value"
+    FROM customer WHERE c_custkey % 3 = 0"""
+)
+def csv_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id is no number are set aside as they came; all names are broken over two lines."""
+    folder = scratch_dir(spark, "csv")
+    key = F.col("c_custkey")
+    number = F.when(key % 3 == 0, F.concat(key.cast("string"), F.lit("x"))).otherwise(key.cast("string"))
+    name = F.concat("c_name", F.lit("\nagain"))
+    rows = samples.table(spark, sf_dir, "customer").select(number.alias("id"), name.alias("name"), F.col("c_mktsegment").alias("tier"))
+    rows.write.option("header", True).csv(f"{folder}/in")
+    layout = Layout.under(folder)
+    bronze.load_csv(spark, f"{folder}/in", "id INT, name STRING, tier STRING", CUSTOMERS, layout, m.at(m.FIRST_LOAD))
+    return spark.read.parquet(bronze.csv_dead_letters(layout, CUSTOMERS)).select("value")
 
 
 # --- silver -----------------------------------------------------------------
@@ -274,8 +291,8 @@ def fact_orders_priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT d.year, d.month, c.tier AS customer_segment, count(*) AS order_count,
       CAST(sum(product_count) AS BIGINT) AS product_count,
       CAST(sum(quantity_ordered) AS BIGINT) AS quantity_ordered
-    FROM fact_orders f JOIN dim_date d ON d.date_id = f.order_date_id
-    JOIN silver_customers c ON c.id = f.customer_id GROUP BY ALL"""
+    FROM fact_orders f LEFT JOIN dim_date d ON d.date_id = f.order_date_id
+    LEFT JOIN silver_customers c ON c.id = f.customer_id GROUP BY ALL"""
 )
 def orders_by_month_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = gold.dim_customer(m.silver_customers(spark, sf_dir), m.at(m.STAMP))
@@ -286,11 +303,12 @@ def orders_by_month_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""{_FACT}, {m.SQL_PAYMENTS}, {m.SQL_CALENDAR}
     SELECT d.day_of_week, d.day_name, d.is_weekend,
-      CASE WHEN method_name ILIKE '%Credit%' THEN 'Credit Card' WHEN method_name ILIKE '%Debit%' THEN 'Debit Card'
+      CASE WHEN p.id IS NULL THEN NULL
+           WHEN method_name ILIKE '%Credit%' THEN 'Credit Card' WHEN method_name ILIKE '%Debit%' THEN 'Debit Card'
            WHEN method_name ILIKE '%Cash%' THEN 'Cash' ELSE 'Other' END AS payment_type,
       count(*) AS order_count, CAST(sum(quantity_ordered) AS BIGINT) AS quantity_ordered
-    FROM fact_orders f JOIN dim_date d ON d.date_id = f.order_date_id
-    JOIN src_payments p ON p.id = f.payment_method_id GROUP BY ALL"""
+    FROM fact_orders f LEFT JOIN dim_date d ON d.date_id = f.order_date_id
+    LEFT JOIN src_payments p ON p.id = f.payment_method_id GROUP BY ALL"""
 )
 def sales_by_weekday_payment(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = gold.dim_payment_method(m.silver_payments(spark, sf_dir), m.at(m.STAMP), normalize=True)
@@ -314,7 +332,7 @@ def product_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {m.sql_dim_date('2024-01-01 00:00:00', '2027-12-31 00:00:00')}
     SELECT d.week_of_year, d.day_name, event_type, count(*) AS event_count,
       CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum
-    FROM events JOIN dim_date d ON d."date" = CAST(ts AS DATE) GROUP BY ALL"""
+    FROM events LEFT JOIN dim_date d ON d."date" = CAST(ts AS DATE) GROUP BY ALL"""
 )
 def events_by_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table against the default calendar, with a JSON property summed."""
@@ -327,7 +345,7 @@ def events_by_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("k").alias("k")
     )
     return (
-        daily.join(gold.dim_date(spark).select("date", "week_of_year", "day_name"), "date")
+        daily.join(gold.dim_date(spark).select("date", "week_of_year", "day_name"), "date", "left")
         .groupBy("week_of_year", "day_name", "event_type")
         .agg(F.sum("n").alias("event_count"), F.sum("k").alias("k_sum"))
     )
@@ -341,7 +359,10 @@ def events_by_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def order_customer_payment_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.recent_orders(
-        samples.orders(spark, sf_dir), samples.customers(spark, sf_dir), samples.payment_method(spark, sf_dir)
+        samples.order_heads(spark, sf_dir),
+        samples.customers(spark, sf_dir),
+        samples.payment_method(spark, sf_dir),
+        lines=samples.order_details(spark, sf_dir),
     )
 
 
@@ -350,7 +371,7 @@ def order_customer_payment_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     ORDER BY "timestamp" DESC, id DESC LIMIT 1"""
 )
 def latest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.latest_order_of(samples.orders(spark, sf_dir), 42)
+    return reports.latest_order_of(samples.order_heads(spark, sf_dir), 42, samples.order_details(spark, sf_dir))
 
 
 @query(

