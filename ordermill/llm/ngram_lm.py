@@ -12,15 +12,15 @@ all successors of a context meet in one shard, at most CLASSES of them for any c
 
 One pass over the texts sends each shard, per block of documents, its sorted distinct keys with training counts and
 the documents they occur in. The shard adds up the counts, builds its part of the trie, looks up the keys of all blocks and
-returns sums per document. Texts are never shuffled, and no task holds a whole level.
+answers each block with sums per document, which are added up per block. Texts are never shuffled, and no task holds a whole level.
 
 The trie of a shard: contexts, pointers to their ranges of successors, and successors, each an Elias-Fano sequence in a memory-mapped
 temporary file without a name. A successor w of the context (u, v) is stored relative to the context, as its rank among the
 seen successors of v, and found by a successor search in that sequence. Probabilities are quantised
 to 16 bits of log10.
 
-Words are known by a 64-bit hash. Each document's row has a key of its own (its place in the scan), so
-repeated rows and null ids are scored apart.
+Words are known by a 64-bit hash. Rows are told apart by their place in a block, so repeated rows and null ids
+are scored each.
 
 Defined results: a null or empty text is the end token alone; with nothing to learn from all classes are
 equally likely, the base is 0, and so is n_known; an empty table gives no rows; other columns are ignored.
@@ -262,10 +262,21 @@ def spread(values: np.ndarray, shards: int) -> np.ndarray:
 
 
 SUMS = pa.schema(
-    [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+    [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
      ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 )
-SUMS_DDL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+SUMS_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+MESSAGE = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("message", pa.binary())])
+MESSAGE_DDL = "shard int, block long, message binary"
+
+
+def message(*content) -> bytes:
+    return zlib.compress(pickle.dumps(content), 1)
+
+
+def opened(messages: pa.ChunkedArray) -> Iterator[tuple]:
+    for value in messages:
+        yield pickle.loads(zlib.decompress(value.as_py()))
 
 
 def block(documents: list[tuple], lower: LowerOrders, shards: int) -> list[bytes]:
@@ -294,9 +305,7 @@ def block(documents: list[tuple], lower: LowerOrders, shards: int) -> list[bytes
     key_doc = np.repeat(number, sizes + 1)
     tails = packed(words, train[word_doc], word_doc, spread(words, shards), shards)
     trigrams = packed(keys, train[key_doc], key_doc, spread(keys // CLASSES, shards), shards)
-    return [
-        zlib.compress(pickle.dumps((len(documents), meta if k == 0 else None, tails[k], trigrams[k])), 1) for k in range(shards)
-    ]
+    return [message(len(documents), meta if k == 0 else None, tails[k], trigrams[k]) for k in range(shards)]
 
 
 def totals(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -307,30 +316,40 @@ def totals(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     return values, counts, np.split(of, np.cumsum([len(p[0]) for p in parts])[:-1])
 
 
-def answer(blocks: list[tuple[int, bytes]], lower: LowerOrders) -> Iterator[tuple]:
-    """Columns of SUMS for one shard's (first row, message) of every block."""
-    opened = [(row, *pickle.loads(zlib.decompress(message))) for row, message in blocks]
-    tails = [unpacked(b[3]) for b in opened]
-    trigrams = [unpacked(b[4]) for b in opened]
+def answer(asked: list[tuple], lower: LowerOrders) -> Iterator[tuple]:
+    """For each block's message to one shard: the documents in it and their sums, or of all documents with what the
+    block itself knows of them."""
+    tails = [unpacked(b[2]) for b in asked]
+    trigrams = [unpacked(b[3]) for b in asked]
     _, counts, tail_of = totals(tails)
     base, tail_log = lower.base(counts), np.log10((counts + 1) / lower.tail_total)
     keys, seen, key_of = totals(trigrams)
     trie = ShardTrie(keys[seen > 0], seen[seen > 0], lower)
     log = trie.log(keys, lower)
-    for (row, n, meta, *_), tail, t_of, trigram, k_of in zip(opened, tails, tail_of, trigrams, key_of):
+    for (n, meta, *_), tail, t_of, trigram, k_of in zip(asked, tails, tail_of, trigrams, key_of):
+
         def per_document(part, values):
-            return np.bincount(part[3], weights=np.repeat(values, part[2]), minlength=n)
+            return np.bincount(part[3], weights=np.repeat(values, part[2]), minlength=n).astype(np.float64)
 
-        sums = [per_document(tail, counts[t_of] > 0), per_document(tail, base[t_of]), per_document(tail, tail_log[t_of])]
-        sums[2] += per_document(trigram, log[k_of])
+        known = per_document(tail, counts[t_of] > 0).astype(np.int64)
+        base_sum = per_document(tail, base[t_of])
+        log_sum = per_document(tail, tail_log[t_of]) + per_document(trigram, log[k_of])
+        chosen = np.arange(n) if meta else np.unique(np.concatenate((tail[3], trigram[3])))
         if meta:
-            ids, held, size, known, own = meta
-            sums[0], sums[1] = sums[0] + known, sums[1] + own
-            chosen = np.arange(n)
-        else:
-            chosen = np.unique(np.concatenate((tail[3], trigram[3])))
-            ids, held, size = [None] * len(chosen), [None] * len(chosen), [None] * len(chosen)
-        yield (row + chosen, ids, held, size, sums[0][chosen].astype(np.int64), sums[1][chosen], sums[2][chosen])
+            known, base_sum = known + meta[3], base_sum + meta[4]
+        yield n, meta[:3] if meta else None, chosen, known[chosen], base_sum[chosen], log_sum[chosen]
+
+
+def combined(answers: list[tuple]) -> tuple:
+    """Columns of SUMS for one block, from the answers of all shards."""
+    n = answers[0][0]
+    known, base, log = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n)
+    about = None
+    for _, meta, chosen, *sums in answers:
+        about = meta or about
+        for total, part in zip((known, base, log), sums):
+            total[chosen] += part
+    return (*about, known, base, log)
 
 
 def score(docs: DataFrame, train) -> DataFrame:
@@ -343,12 +362,10 @@ def score(docs: DataFrame, train) -> DataFrame:
     shards = max(1, math.ceil(model.tokens / SHARD_TOKENS))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int32()), ("row", pa.int64()), ("message", pa.binary())])
-        row, held, size = TaskContext.get().partitionId() << 40, [], 0
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def flush():
-            messages = block(held, lower.value, shards)
-            return batch(schema, range(shards), [row] * shards, messages)
+            return batch(MESSAGE, range(shards), [number] * shards, block(held, lower.value, shards))
 
         for rows in batches:
             for document in split_documents(rows):
@@ -356,25 +373,24 @@ def score(docs: DataFrame, train) -> DataFrame:
                 size += len(document[2]) + 1
                 if size >= BLOCK_TOKENS or len(held) >= BLOCK_DOCUMENTS:
                     yield flush()
-                    row, held, size = row + len(held), [], 0
+                    number, held, size = number + 1, [], 0
         if held:
             yield flush()
 
     def answered(group: pa.Table) -> pa.Table:
-        found = answer(list(zip(group.column("row").to_pylist(), group.column("message").to_pylist())), lower.value)
-        return pa.Table.from_batches([batch(SUMS, *columns) for columns in found], schema=SUMS)
-
-    messages = texts.mapInArrow(sent, "shard int, row long, message binary")
-    sums = messages.groupBy("shard").applyInArrow(answered, SUMS_DDL)
-    return sums.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        F.sum("base_score").alias("base_score"),
-        F.sum("score").alias("score"),
-    ).drop("row")
+        found = [message(*columns) for columns in answer(list(opened(group.column("message"))), lower.value)]
+        return pa.table([pa.nulls(len(found), pa.int32()), group.column("block"), pa.array(found, pa.binary())], schema=MESSAGE)
+
+    def gathered(group: pa.Table) -> pa.Table:
+        # a floating sum depends on the order of its parts, so these get one that a rerun repeats
+        answers = sorted(opened(group.column("message")), key=lambda a: (a[1] is None, len(a[2]), float(a[5].sum())))
+        return pa.Table.from_batches([batch(SUMS, *combined(answers))], schema=SUMS)
+
+    messages = texts.mapInArrow(sent, MESSAGE_DDL)
+    answers = messages.groupBy("shard").applyInArrow(answered, MESSAGE_DDL)
+    sums = answers.groupBy("block").applyInArrow(gathered, SUMS_DDL)
+    tokens = F.lit(model.tokens).cast("long").alias("train_tokens")
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", tokens, "base_score", "score")
 
 
 @query()
