@@ -1,0 +1,115 @@
+"""Fingerprints bit by bit, links and components against all pairs."""
+
+import helpers
+import numpy as np
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ordermill.llm import simhash
+
+
+def slow_fingerprint(text):
+    w = helpers.words(helpers.lower_ascii(text))
+    shingles = [" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(items):
+    """Smallest id reachable, by all pairs; items are (id, fingerprint)."""
+    values = np.array([f for _, f in items], dtype=np.uint64)
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 4
+    out = []
+    for start in range(len(items)):
+        seen, todo = {start}, [start]
+        while todo:
+            new = set(np.flatnonzero(near[todo.pop()]).tolist()) - seen
+            seen |= new
+            todo.extend(new)
+        out.append(min((items[k][0] for k in seen if items[k][0] is not None), default=None))
+    return out
+
+
+def copies(seed, groups, size):
+    """Texts of which many differ in a few words."""
+    random = np.random.default_rng(seed)
+    out = []
+    for _ in range(groups):
+        base = [f"w{x}" for x in random.integers(0, 5_000, 400)]
+        for _ in range(size):
+            text = list(base)
+            for at in random.integers(0, len(text), random.integers(0, 4)):
+                text[at] = f"v{random.integers(0, 5_000)}"
+            out.append(" ".join(text))
+    return [(k, t, "en", "s") for k, t in enumerate(out)]
+
+
+def check(found, rows):
+    got = sorted(((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in found.collect()), key=repr)
+    items = [(r[0], slow_fingerprint(r[1])) for r in rows]
+    expected = [(i, f, c) for (i, f), c in zip(items, slow_components(items))]
+    assert got == sorted(expected, key=repr)
+
+
+def test_odd_documents(spark):
+    check(simhash.near_duplicates(helpers.edge(spark)), helpers.EDGE)
+
+
+def test_groups_of_near_copies(spark):
+    rows = copies(3, 12, 25)
+    check(simhash.near_duplicates(helpers.frame(spark, rows)), rows)
+
+
+def test_query_on_the_sample(spark):
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op1_simhash(spark, helpers.SF).collect()}
+    items = [(i, slow_fingerprint(t)) for i, t in helpers.texts().items()]
+    assert got == {i: (f"{f:016x}", c) for (i, f), c in zip(items, slow_components(items))}
+
+
+def test_representatives(spark):
+    docs = helpers.edge(spark)
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    roots = {r["root"] for r in simhash.near_duplicates(docs).collect()}
+    assert kept.count() == len(roots)
+    assert sorted(r["doc_id"] for r in kept.where("doc_id = 5").collect()) == [5]
+    alone = helpers.frame(spark, [(None, "one text without an id here", "en", "a"), (None, "and quite another one as well", "en", "a")])
+    assert simhash.representatives(alone).count() == 2
+
+
+def test_no_documents(spark):
+    assert simhash.near_duplicates(helpers.none(spark)).count() == 0
+    assert simhash.representatives(helpers.none(spark)).count() == 0
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, 6))
+def test_trees_lose_no_pair(seed, depth):
+    """Every pair within the radius meets in a shard where one of the two lives."""
+    random = np.random.default_rng(seed)
+    values = random.integers(0, 2**63, 300).astype(np.uint64)
+    flips = np.uint64(1) << random.integers(0, 64, (300, 4)).astype(np.uint64)
+    near = values.copy()
+    for k in range(4):
+        near ^= np.where(random.random(300) < 0.7, flips[:, k], np.uint64(0))
+    values = np.unique(np.concatenate((values, near)))
+    met = set()
+    for mask in simhash.block_masks():
+        tree = simhash.grow(values, mask, depth)
+        at, leaf, own = tree.route(values, simhash.RADIUS // simhash.BLOCKS)
+        assert np.bincount(at[own], minlength=len(values)).tolist() == [1] * len(values)
+        for number in np.unique(leaf):
+            home, other = at[(leaf == number) & own], at[(leaf == number) & ~own]
+            for a in home:
+                for b in np.concatenate((home, other)):
+                    if a != b and np.bitwise_count(values[a] ^ values[b]) <= simhash.RADIUS:
+                        met.add((min(a, b), max(a, b)))
+    a, b = np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= simhash.RADIUS)
+    assert met == {(x, y) for x, y in zip(a, b) if x < y}
+
+
+def test_components_of_long_chains(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{k: 0 for k in range(1, 41)}, 101: 100, 103: 100}
