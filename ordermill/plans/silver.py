@@ -18,7 +18,7 @@ log = logging.getLogger(__name__)
 QUANTITY_POLICIES = ("constant", "preserve")
 
 
-def _newest_load_first(frame: DataFrame, ties: Sequence[str]) -> list[Column]:
+def newest_load_first(frame: DataFrame, ties: Sequence[str]) -> list[Column]:
     """Load time, then the tie-breakers that are present, all descending, then a digest of the row.
 
     With the digest the survivor never depends on the order of tasks, whatever columns a source lacks.
@@ -32,7 +32,7 @@ def _stamped(frame: DataFrame, stamp: Column | None) -> DataFrame:
 
 
 def clean_orders(bronze: DataFrame, stamp: Column | None = None) -> DataFrame:
-    order = _newest_load_first(bronze, ("updated_at", "created_at", "timestamp", "payment_method_id"))
+    order = newest_load_first(bronze, ("updated_at", "created_at", "timestamp", "payment_method_id"))
     cleaned = latest_per_key(bronze, ["id"], order).withColumnRenamed("id", "order_id")
     # Renaming a column that is absent changes nothing.
     return _stamped(cleaned.withColumnRenamed("created_at", "order_created_at"), stamp)
@@ -50,7 +50,7 @@ def clean_order_details(
     """
     if quantity_policy not in QUANTITY_POLICIES:
         raise ValueError(f"quantity_policy must be one of {QUANTITY_POLICIES}")
-    order = _newest_load_first(bronze, ties)
+    order = newest_load_first(bronze, ties)
     cleaned = latest_per_key(bronze, ["order_id", "product_id"], order)
     one = F.lit(1)
     quantity = one if quantity_policy == "constant" else F.coalesce("quantity", one)
@@ -58,12 +58,12 @@ def clean_order_details(
 
 
 def clean_customers(bronze: DataFrame, stamp: Column | None = None) -> DataFrame:
-    order = _newest_load_first(bronze, ("updated_at", "name", "tier", "phone_number"))
+    order = newest_load_first(bronze, ("updated_at", "name", "tier", "phone_number"))
     return _stamped(latest_per_key(bronze, ["id"], order), stamp)
 
 
 def clean_payment_method(bronze: DataFrame, stamp: Column | None = None) -> DataFrame:
-    order = _newest_load_first(bronze, ("method_name", "bank"))
+    order = newest_load_first(bronze, ("method_name", "bank"))
     return _stamped(latest_per_key(bronze, ["id"], order), stamp)
 
 

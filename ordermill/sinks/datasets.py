@@ -14,9 +14,10 @@ def write_dataset(
     mode: str = "overwrite",
     partition_by: tuple[str, ...] = (),
     one_folder: bool = False,
+    only_partitions: bool = False,
 ) -> int:
     """Write and return the row count, without running the plan a second time."""
-    return write_measured(frame, path, mode, partition_by, one_folder)["rows"]
+    return write_measured(frame, path, mode, partition_by, one_folder, only_partitions)["rows"]
 
 
 def write_measured(
@@ -25,6 +26,7 @@ def write_measured(
     mode: str = "overwrite",
     partition_by: tuple[str, ...] = (),
     one_folder: bool = False,
+    only_partitions: bool = False,
     **measures: Column,
 ) -> dict:
     """Write and return ``rows`` and further aggregates of what was written.
@@ -33,6 +35,7 @@ def write_measured(
     meet in one task (one file), while a folder holding a large share of the rows is
     split by AQE into pieces of the advisory size. ``one_folder`` says that all rows have the same
     partition values: they are then spread evenly, since a shuffle on a constant would send them all to one task.
+    ``only_partitions`` overwrites the folders that have rows and leaves the others.
     """
     seen = Observation()
     spread = frame
@@ -40,5 +43,6 @@ def write_measured(
         spread = frame.hint("rebalance", *([] if one_folder else [F.col(c) for c in partition_by]))
     # Observed on top: below the hint an empty plan would lose the metric.
     writer = spread.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in measures.items()]).write.mode(mode)
+    writer = writer.option("partitionOverwriteMode", "dynamic" if only_partitions else "static")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return seen.get

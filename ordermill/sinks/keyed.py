@@ -70,6 +70,12 @@ class KeyedTable:
         manifest = self.manifest(version)
         return self._of(manifest, manifest.buckets)
 
+    def read_for(self, keys: DataFrame) -> DataFrame:
+        """The rows of the buckets that hold some keys; the frame needs the key column."""
+        manifest = self.manifest()
+        touched = {str(r[0]) for r in keys.select(self._bucket(manifest.bucket_count)).distinct().collect()}
+        return self._of(manifest, [b for b in manifest.buckets if b in touched])
+
     def dead_letters(self) -> str:
         """Folder for input that could not be applied."""
         return f"{self.path}/{DEAD_LETTERS}"

@@ -67,6 +67,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"cannot write {path}")
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder, fs = _folder(spark, path)
+    fs.delete(folder, True)
+
+
 def _folder(spark: SparkSession, path: str):
     """Hadoop path and file system of ``path``."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

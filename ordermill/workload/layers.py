@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ordermill.config import CUSTOMERS, ORDER_DETAILS, ORDERS, PAYMENT_METHOD, Layout
 from ordermill.operators.ingest import ingest
-from ordermill.plans import bronze, gold, pipeline, reports
+from ordermill.plans import bronze, gold, increment, pipeline, reports, silver
 from ordermill.session import scratch_dir
 from ordermill.sinks.datasets import write_dataset
+from ordermill.sinks.keyed import KeyedTable
 from ordermill.sources import samples
 from ordermill.sources.csvfiles import read_csv, usable
 from ordermill.workload import model as m
@@ -383,6 +384,47 @@ def sellable_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("unit_price", F.col("unit_price").cast("double"))
 
 
+# --- increments ---
+
+def _order_loads(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The two bronze loads of orders, cleaned each by itself."""
+    loads = m.bronze_orders(spark, sf_dir)
+    return [
+        silver.clean_orders(loads.where(F.col("bronze_ingestion_time") == m.at(moment)), m.at(m.STAMP))
+        for moment in (m.FIRST_LOAD, m.SECOND_LOAD)
+    ]
+
+
+def _silver_orders(spark: SparkSession, folder: str, loads: list[DataFrame]) -> KeyedTable:
+    return increment.silver_table(spark, f"{folder}/silver-orders", loads[0], buckets=16)
+
+
+@query(f"WITH {m.SQL_SILVER_ORDERS} SELECT * FROM silver_orders")
+def silver_orders_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver orders after one load, then after the orders of a second one alone."""
+    loads = _order_loads(spark, sf_dir)
+    table = _silver_orders(spark, scratch_dir(spark, "increment"), loads)
+    for load in loads:
+        increment.apply_load(table, load, ["order_id"])
+    return table.read()
+
+
+@query(f"{_FACT} SELECT * FROM fact_orders")
+def fact_orders_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored fact after a first load, then only the days of the second load's orders written again."""
+    folder = scratch_dir(spark, "increment")
+    loads = _order_loads(spark, sf_dir)
+    orders = _silver_orders(spark, folder, loads)
+    lines = m.silver_details(spark, sf_dir)
+    details = increment.silver_table(spark, f"{folder}/silver-details", lines, buckets=16)
+    increment.apply_load(details, lines, ["order_id", "product_id"], samples.DETAIL_TIES)
+    for load in loads:
+        increment.apply_load(orders, load, ["order_id"])
+        changed = increment.changed_orders([load])
+        increment.refresh_fact_orders(f"{folder}/fact", orders, details, changed, m.at(m.STAMP))
+    return spark.read.parquet(f"{folder}/fact")
+
+
 # --- the whole pipeline -----------------------------------------------------
 
 @query(
@@ -418,3 +460,37 @@ def medallion_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = pipeline.run_all(spark, lambda name: sources[name](spark, sf_dir), layout, m.at(m.STAMP))
     rows = [(layer, name, n) for layer, tables in counts.items() for name, n in tables.items()]
     return spark.createDataFrame(rows, "layer STRING, table STRING, row_count BIGINT")
+
+
+def _medallion_twice(spark: SparkSession, sf_dir: str) -> Layout:
+    """All layers, run before and after a cut in the orders, whose times are months here (a folder each)."""
+    monthly = samples.orders(spark, sf_dir).withColumn("timestamp", F.date_trunc("month", "timestamp").cast("timestamp_ntz"))
+    layout = Layout.under(scratch_dir(spark, "medallion"))
+    for orders in (monthly.where(F.col("timestamp") < m.at(CUT)), monthly):
+        sources = {
+            "orders": orders,
+            "order_details": samples.order_details(spark, sf_dir),
+            "customers": samples.customers(spark, sf_dir),
+            "payment_method": samples.payment_method(spark, sf_dir),
+        }
+        pipeline.run_all(spark, sources.__getitem__, layout, m.at(m.STAMP), samples.DETAIL_TIES)
+    return layout
+
+
+@query(
+    f"""WITH {m.SQL_ORDERS}, {m.sql_silver_details()},
+    silver_orders AS (SELECT * REPLACE (date_trunc('month', "timestamp") AS "timestamp"), id AS order_id FROM src_orders),
+    {m.SQL_FACT_ORDERS} SELECT * FROM fact_orders"""
+)
+def medallion_fact_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order fact that the whole pipeline has written after an increment."""
+    return spark.read.parquet(_medallion_twice(spark, sf_dir).fact("fact_orders"))
+
+
+@query(
+    f"""WITH {m.sql_silver_details()} SELECT * REPLACE (TIMESTAMP '{m.STAMP}' AS bronze_ingestion_time, 2024 AS year, 3 AS month, 1 AS day)
+    FROM silver_details"""
+)
+def medallion_silver_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order lines that the whole pipeline has written to silver after an increment."""
+    return spark.read.parquet(_medallion_twice(spark, sf_dir).silver_table("order_details"))

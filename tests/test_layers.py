@@ -158,3 +158,65 @@ def test_all_layers_then_an_increment(spark, folder):
     fact = spark.read.parquet(layout.fact("fact_orders"))
     assert rows(fact, "order_id", "order_date_id", "product_count") == [
         ("a", 20240101, 2), ("b", 20240101, 1), ("c", 20240102, 0)]
+
+
+def test_a_changed_order_moves_between_days_of_the_fact(spark, folder):
+    import os
+
+    from ordermill.plans import increment
+
+    def load(moment, *orders):
+        return silver.clean_orders(
+            spark.createDataFrame(
+                [(i, 1, 2, n, t, moment) for i, n, t in orders],
+                "id STRING, customer_id INT, payment_method_id INT, num_products INT, timestamp TIMESTAMP, bronze_ingestion_time TIMESTAMP",
+            ),
+            stamp(),
+        )
+
+    def lines(moment, *items):
+        return silver.clean_order_details(
+            spark.createDataFrame([(*i, 1, moment) for i in items], "id INT, order_id STRING, product_id INT, quantity INT, bronze_ingestion_time TIMESTAMP"),
+            stamp(),
+        )
+
+    days = [datetime(2024, 3, d) for d in range(1, 5)]
+    loads = [load(T1, ("a", 1, days[0]), ("b", 1, days[1]), ("c", 1, days[1])), load(T2, ("a", 2, days[2]))]
+    items = [lines(T1, (1, "a", 7), (2, "b", 7), (3, "b", 8)), lines(T2, (4, "c", 9))]
+    orders = increment.silver_table(spark, f"{folder}/orders", loads[0], buckets=4)
+    details = increment.silver_table(spark, f"{folder}/details", items[0], buckets=4)
+    fact, read = f"{folder}/fact", ("order_id", "order_date_id", "product_count", "expected_products")
+
+    increment.apply_load(orders, loads[0], ["order_id"])
+    increment.apply_load(details, items[0], ["order_id", "product_id"], ("id",))
+    changed = increment.changed_orders([loads[0], items[0]])
+    assert increment.refresh_fact_orders(fact, orders, details, changed, stamp()) == [20240301, 20240302]
+    untouched = os.listdir(f"{fact}/order_date_id=20240302")
+
+    # order a moves to a third day and leaves its first day empty; nobody touches the second
+    increment.apply_load(orders, loads[1], ["order_id"])
+    assert increment.refresh_fact_orders(fact, orders, details, loads[1].select("order_id"), stamp()) == [20240301, 20240303]
+    assert not os.path.exists(f"{fact}/order_date_id=20240301") and os.listdir(f"{fact}/order_date_id=20240302") == untouched
+    # a new line of order c
+    increment.apply_load(details, items[1], ["order_id", "product_id"], ("id",))
+    assert increment.refresh_fact_orders(fact, orders, details, items[1].select("order_id"), stamp()) == [20240302]
+    got = spark.read.parquet(fact)
+    assert rows(got, *read) == [("a", 20240303, 1, 2), ("b", 20240302, 2, 1), ("c", 20240302, 1, 1)]
+    rebuilt = gold.fact_orders(orders.read(), details.read(), stamp())
+    assert rows(got.select(*rebuilt.columns)) == rows(rebuilt)
+
+
+def test_rows_outside_the_calendar_and_of_unknown_customers_count(spark):
+    fact = spark.createDataFrame(
+        [(1, 20240101, 2, 1, 3), (9, 20240101, 2, 1, 3), (1, None, 2, 1, 3), (1, 19000101, 7, 1, 3), (None, 20240101, 2, 2, 4)],
+        "customer_id INT, order_date_id INT, payment_method_id INT, product_count BIGINT, quantity_ordered BIGINT")
+    customers = spark.createDataFrame([(1, "gold")], "customer_id INT, customer_segment STRING")
+    methods = spark.createDataFrame([(2, "Cash")], "payment_method_id INT, payment_type STRING")
+    dates = gold.dim_date(spark)
+    by_month = reports.orders_by_month_segment(fact, customers, dates)
+    assert rows(by_month, "year", "month", "customer_segment", "order_count", "quantity_ordered") == sorted(
+        [(2024, 1, "gold", 1, 3), (2024, 1, None, 2, 7), (None, None, "gold", 2, 6)], key=repr)
+    by_day = reports.sales_by_weekday_payment(fact, methods, dates)
+    assert sum(r["order_count"] for r in by_day.collect()) == 5
+    assert rows(by_day, "day_name", "payment_type", "order_count") == sorted(
+        [("Monday", "Cash", 3), (None, "Cash", 1), (None, None, 1)], key=repr)
