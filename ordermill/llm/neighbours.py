@@ -242,14 +242,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RE
     parts = max(1, math.ceil(TREES * about["n"] / PART_ROWS))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("leaf", pa.int32()), ("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+        # vectors travel in the type they came in
         for part in batches:
             points = matrix(part.column(1))
             if len(points):
                 for tree, leaf in enumerate(shared.value.route(points)):
-                    yield batch(schema, leaf + tree * shared.value.leaves, part.column(0), list(points))
+                    leaf = pa.array(leaf + tree * shared.value.leaves, pa.int32())
+                    yield pa.RecordBatch.from_arrays([leaf, *part.columns], names=["leaf", "vec_id", "embedding"])
 
-    placed = index.mapInArrow(routed, "leaf int, vec_id long, embedding array<double>")
+    kind = index.schema["embedding"].dataType.simpleString()
+    placed = index.mapInArrow(routed, f"leaf int, vec_id long, embedding {kind}")
     counted = placed.groupBy("leaf").count().collect()  # one row per leaf, their number set by the sample
     sizes = np.zeros(leaves, dtype=np.int64)
     sizes[[r["leaf"] for r in counted]] = [r["count"] for r in counted]
@@ -261,10 +263,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RE
     enough = budget(forest, sizes, points, true_neighbours(index, points, ids, k), recall)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("part", pa.int32()), ("query_id", pa.int64()), ("vector", pa.list_(pa.float64())), ("leaves", pa.list_(pa.int32()))]
-        )
         for rows_ in batches:
+            kind = rows_.column(1).type
+            schema = pa.schema([("part", pa.int32()), ("query_id", pa.int64()), ("vector", kind), ("leaves", pa.list_(pa.int32()))])
             out = []
             for own, one in zip(rows_.column(0).to_pylist(), matrix(rows_.column(1))):
                 met, chosen = 0, []
@@ -283,7 +284,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RE
         tables = [batch(FOUND, [q] * len(ids_), ids_, scores) for q, ids_, scores in found]
         return pa.Table.from_batches(tables, schema=FOUND)
 
-    questions = asking.mapInArrow(opened, "part int, query_id long, vector array<double>, leaves array<int>")
+    questions = asking.mapInArrow(opened, f"part int, query_id long, vector {kind}, leaves array<int>")
     index_parts = placed.withColumn("part", F.col("leaf") % parts)
     found = index_parts.groupBy("part").cogroup(questions.groupBy("part")).applyInArrow(searched, FOUND_DDL)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
