@@ -16,7 +16,10 @@ _SELECT = np.argsort(1 - _BYTES, axis=1, kind="stable").astype(np.uint8)
 
 
 class MappedFile:
-    """An unnamed temporary file that arrays are moved into and mapped from; it goes when its maps do."""
+    """An unnamed temporary file that arrays are moved into and mapped from; it goes when its maps do.
+
+    It serves the task that makes it and no other; a retried task makes its own.
+    """
 
     def __init__(self):
         self._file = tempfile.TemporaryFile()
