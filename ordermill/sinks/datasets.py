@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ordermill.session import conf_scope
+
 YMD = ("year", "month", "day")
 
 
@@ -33,16 +35,20 @@ def write_measured(
 
     Partitioned writes are rebalanced on the partition columns: rows of a folder
     meet in one task (one file), while a folder holding a large share of the rows is
-    split by AQE into pieces of the advisory size. ``one_folder`` says that all rows have the same
+    split by AQE into pieces of the advisory size. Small shuffle partitions are not merged there: that
+    would not save a file, only put many folders into one task. ``one_folder`` says that all rows have the same
     partition values: they are then spread evenly, since a shuffle on a constant would send them all to one task.
     ``only_partitions`` overwrites the folders that have rows and leaves the others.
     """
     seen = Observation()
-    spread = frame
+    spread, settings = frame, {}
     if partition_by:
         spread = frame.hint("rebalance", *([] if one_folder else [F.col(c) for c in partition_by]))
+        if not one_folder:
+            settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
     # Observed on top: below the hint an empty plan would lose the metric.
     writer = spread.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in measures.items()]).write.mode(mode)
     writer = writer.option("partitionOverwriteMode", "dynamic" if only_partitions else "static")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with conf_scope(frame.sparkSession, settings):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return seen.get

@@ -409,11 +409,22 @@ def silver_orders_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
-@query(f"{_FACT} SELECT * FROM fact_orders")
+_MONTHLY = m.SQL_FACT_ORDERS.replace("silver_orders o", "monthly o")
+
+
+@query(
+    f"""WITH {m.SQL_SILVER_ORDERS}, {m.sql_silver_details()},
+    monthly AS (SELECT * REPLACE (date_trunc('month', "timestamp") AS "timestamp") FROM silver_orders), {_MONTHLY}
+    SELECT * FROM fact_orders"""
+)
 def fact_orders_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored fact after a first load, then only the days of the second load's orders written again."""
+    """The stored fact after a first load, then only the days of the second load's orders written again.
+
+    The orders of a month share its first day here, so that the folders are few.
+    """
     folder = scratch_dir(spark, "increment")
-    loads = _order_loads(spark, sf_dir)
+    month = F.date_trunc("month", "timestamp").cast("timestamp_ntz")
+    loads = [load.withColumn("timestamp", month) for load in _order_loads(spark, sf_dir)]
     orders = _silver_orders(spark, folder, loads)
     lines = m.silver_details(spark, sf_dir)
     details = increment.silver_table(spark, f"{folder}/silver-details", lines, buckets=16)
