@@ -129,7 +129,8 @@ def _as_row(completed: DataFrame) -> DataFrame:
 )
 def completed_orders_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = samples.orders(spark, sf_dir).withColumnRenamed("id", "order_id")
-    return _as_row(completion.complete_orders(orders, samples.order_details(spark, sf_dir)))
+    details = samples.order_details(spark, sf_dir)
+    return _as_row(completion.complete_orders(orders, details, completion.large_order_ids(details)))
 
 
 def _replay_sql(moment: str) -> str:
@@ -161,7 +162,7 @@ _ON_BOTH = f"""SELECT id, min(eseq) AS eseq FROM ({_ON_DETAIL} UNION ALL
 def _replayed(spark: SparkSession, sf_dir: str, trigger_on: str) -> DataFrame:
     orders = samples.completion_orders(spark, sf_dir)
     details = samples.completion_details(spark, sf_dir)
-    return _as_row(completion.replay_completion(orders, details, trigger_on))
+    return _as_row(completion.replay_completion(orders, details, trigger_on, completion.large_order_ids(details)))
 
 
 @query(_replay_sql(_ON_DETAIL))
@@ -211,7 +212,8 @@ def completed_order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completed orders as the JSON messages that are published."""
     orders = samples.completion_orders(spark, sf_dir)
     details = samples.completion_details(spark, sf_dir)
-    return as_messages(completion.replay_completion(orders, details), "order_id")
+    completed = completion.replay_completion(orders, details, large=completion.large_order_ids(details))
+    return as_messages(completed, "order_id")
 
 
 # --- catalogue --------------------------------------------------------------
