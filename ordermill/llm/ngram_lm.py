@@ -1,29 +1,29 @@
 """Language-model scores from an Elias-Fano n-gram trie (operator 10).
 
-The model is a class trigram model over words. Each of the most frequent training words is a class of its own, the end of a
-text is one, and all other words, unseen ones included, share the tail class:
+The model is a trigram model over all training words and the end of a text:
 
-    P(word | two before) = P3(class | two classes before) * P(word | class)
+    P(word | two before) = interpolated absolute discounting over P3, P2, P1
 
-P3 and P2 subtract a fixed discount from seen counts and give it to the next lower order; P1 and P(word | tail) add one to each
-count. The classes bound the lower orders (at most CLASSES^2 pairs), which go to every task. Words of the tail and trigrams
-grow with the corpus and are sharded: words by hash, trigrams by the hash of their context, so that
-all successors of a context meet in one shard, at most CLASSES of them for any context.
+P3 and P2 subtract a fixed discount from seen counts and give it to the next lower order; P1 adds one to each count. Every
+order grows with the corpus: every training word, pair and triple of words is counted, stored and looked up.
 
-One pass over the texts sends each shard, per block of documents, its sorted distinct keys with training counts and
-the documents they occur in. The shard adds up the counts, builds its part of the trie, looks up the keys of all blocks and
-answers each block with sums per document, which are added up per block. Texts are never shuffled, and no task holds a whole level.
+Each place of a text (two marks before it and its end included) begins a path of three words. A shard holds a trie of paths:
+all that begin with the words dealt to it by hash; the marks' paths are dealt out by their second and third word, and what
+several shards know of such a context adds up.
 
-The trie of a shard: contexts, pointers to their ranges of successors, and successors, each an Elias-Fano sequence in a memory-mapped
-temporary file without a name. A successor w of the context (u, v) is stored relative to the context, as its rank among the
-seen successors of v, and found by a successor search in that sequence. Probabilities are quantised
-to 16 bits of log10.
+One pass over the texts sends each shard, per block of documents, its distinct paths, once each, with training counts. The
+shard adds up the counts, builds its trie, and answers each block with the counts of its words, pairs and triples. The block's
+own tokens go through the first shard and meet the answers in the block's group, where documents are scored.
+
+The trie of a shard: words, pairs and triples, each an Elias-Fano sequence with monotone pointers into the next one, in a
+memory-mapped temporary file without a name. A follower w of the node at place i is stored as i times the shard's number of words,
+plus w, and found by a successor search. A node's number of followers is the difference of its pointers.
 
 Words are known by a 64-bit hash. Rows are told apart by their place in a block, so repeated rows and null ids
 are scored each.
 
-Defined results: a null or empty text is the end token alone; with nothing to learn from all classes are
-equally likely, the base is 0, and so is n_known; an empty table gives no rows; other columns are ignored.
+Defined results: a null or empty text is the end token alone; a word not seen in training has count 0; with nothing to learn from
+the end and an unseen word are equally likely, the base is 0, and so is n_known; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,20 +41,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, bounded_batches, crc32_mod, table, written
+from .common import batch, bounded_batches, crc32_mod, table
 from .eliasfano import EliasFano, MappedFile
 from .registry import query
 
-#: Class numbers: the tail, the end, the begin (a context only), then the head words.
-CLASSES = 1_024
+#: Numbers of contexts that are split over shards: none, the start (also the end, which nothing follows), the begin, then hot words.
+#: Not a limit on words of the model.
+CLASSES = 1 << 20
 TAIL, END, BEGIN, FIRST_HEAD = range(4)
 DISCOUNT = 0.75
-#: Tokens of a block of documents, and tokens whose keys a shard receives.
-BLOCK_TOKENS = 1 << 20
+#: Tokens of a block of documents, and tokens whose paths a shard receives.
+BLOCK_TOKENS = 1 << 21
 BLOCK_DOCUMENTS = 60_000
 SHARD_TOKENS = 4_000_000
-#: Quantisation step of log10 probabilities.
-STEP = 1 / 4_096
+#: Bits of a word's hash that decide on its shard.
+TAG_BITS = 24
+#: What stands before a text (twice, told apart) and after it; no word has a blank in it.
+MARKS = np.array([xxhash.xxh64_intdigest(mark) for mark in (b" start", b" begin", b" end")], dtype=np.uint64)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -62,115 +65,139 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def quantised(log: np.ndarray) -> np.ndarray:
-    return np.minimum(np.rint(-log / STEP), 65_535).astype(np.uint16)
+def found_in(values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the asked in sorted values, and whether they are there."""
+    at = np.searchsorted(values, asked)
+    seen = at < len(values)
+    seen[seen] = values[at[seen]] == asked[seen]
+    return np.where(seen, at, 0), seen
 
 
 @dataclass(frozen=True)
 class LowerOrders:
-    """What every task knows: head words and all statistics of one and two classes."""
+    """What every task knows: training totals, and the contexts that are split over shards with their counts."""
 
-    heads: np.ndarray  # sorted hashes
+    heads: np.ndarray  # sorted hashes of hot words and marks
     head_class: np.ndarray
-    head_count: np.ndarray  # by class
+    head_count: np.ndarray
     tokens: int
     types: int
-    tail_total: int  # training tokens and words of the tail, and one for the unseen
-    pairs: np.ndarray  # sorted keys v * CLASSES + w
-    pair_code: np.ndarray
-    pair_start: np.ndarray  # by v
-    unigram: np.ndarray  # log10 P1 by class
-    leave: np.ndarray  # log10 weight of P1 after v
+    ends: int
+    pairs: np.ndarray  # sorted keys v * CLASSES + w of hot pairs
+    pair_count: np.ndarray
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.heads):
-            return np.full(len(hashes), TAIL, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.heads, hashes), len(self.heads) - 1)
-        return np.where(self.heads[at] == hashes, self.head_class[at], TAIL)
-
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1) / (self.tokens + self.types + 1))
+        at, seen = found_in(self.heads, hashes)
+        return np.where(seen, self.head_class[at], TAIL)
 
-    def pair_log(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 P2 of (v, w) keys, and the rank of w among the seen successors of v, or -1."""
-        v, w = keys // CLASSES, keys % CLASSES
-        at = np.searchsorted(self.pairs, keys)
-        seen = at < len(self.pairs)
-        seen[seen] = self.pairs[at[seen]] == keys[seen]
-        log = self.leave[v] + self.unigram[w]
-        log[seen] = -STEP * self.pair_code[at[seen]]
-        return log, np.where(seen, at - self.pair_start[v], -1)
+    def pair_hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        by_class = self.heads[np.argsort(self.head_class)]  # classes are numbered from END without a gap
+        return by_class[self.pairs // CLASSES - END], by_class[self.pairs % CLASSES - END]
 
 
 def lower_orders(heads: list[tuple[int, int]], tokens: int, types: int, ends: int, pairs: np.ndarray, counts: np.ndarray) -> LowerOrders:
-    """``heads``: (hash, count) of the head words; ``pairs``: sorted keys of seen class pairs with their counts."""
-    hashes = np.array([h for h, _ in heads], dtype=np.int64).view(np.uint64)
+    """``heads``: (hash, count) of the hot words; ``pairs``: sorted keys of pairs of classes with their training counts."""
+    hashes = np.concatenate((MARKS[:2], np.array([h for h, _ in heads], dtype=np.int64).view(np.uint64)))
+    number = np.concatenate(([END, BEGIN], np.arange(FIRST_HEAD, FIRST_HEAD + len(heads))))
+    count = np.concatenate(([ends, ends], np.array([n for _, n in heads], dtype=np.int64)))
     order = np.argsort(hashes)
-    by_class = np.zeros(CLASSES, dtype=np.int64)
-    by_class[END] = ends
-    by_class[FIRST_HEAD : FIRST_HEAD + len(heads)] = [n for _, n in heads]
-    tail_tokens = tokens - int(by_class.sum())
-    tail_types = types - len(heads) - (ends > 0)
-    full = by_class.copy()
-    full[TAIL] = tail_tokens
-    classes_used = FIRST_HEAD + len(heads) - 1  # all but the begin
-    unigram = np.log10((full + 1) / (tokens + classes_used))
-    v = pairs // CLASSES
-    total = np.bincount(v, weights=counts, minlength=CLASSES)
-    kinds = np.bincount(v, minlength=CLASSES)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        leave = np.where(total > 0, np.log10(DISCOUNT * kinds / total), 0.0)
-        log = np.log10((counts - DISCOUNT) / total[v] + 10 ** (leave[v] + unigram[pairs % CLASSES]))
-    return LowerOrders(
-        hashes[order], FIRST_HEAD + order, by_class, tokens, types, tail_tokens + tail_types + 1,
-        pairs, quantised(log), np.searchsorted(pairs, np.arange(CLASSES) * CLASSES), unigram, leave,
-    )
+    words = (pairs // CLASSES >= BEGIN) & (pairs % CLASSES >= FIRST_HEAD)
+    keys = np.concatenate(([END * CLASSES + BEGIN], pairs[words])).astype(np.int64)
+    seen = np.concatenate(([ends], counts[words])).astype(np.int64)
+    return LowerOrders(hashes[order], number[order], count[order], tokens, types, ends, keys, seen)
+
+
+class Paths:
+    """Distinct words, pairs and triples that begin at the places of a block's texts, and the shards of the triples."""
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, tags: np.ndarray, split: tuple, lower: LowerOrders, shards: int):
+        """``words``: of all texts, as places in the sorted vocabulary, which holds the marks too; ``tags``: the first
+        bits of the vocabulary's hashes; ``split``: places of the marks, of hot words and marks, and where these stand in ``lower``."""
+        (start, begin, end), self.hot_word, self.hot_word_is = split
+        first = np.cumsum(sizes + 5) - (sizes + 5)
+        padded = np.full(len(words) + 5 * len(sizes), end, dtype=np.int64)
+        padded[first], padded[first + 1] = start, begin
+        padded[np.arange(len(words)) + np.repeat(5 * np.arange(len(sizes)) + 2, sizes)] = words
+        starts = np.ones(len(padded), dtype=bool)
+        starts[first + sizes + 3] = starts[first + sizes + 4] = False
+        at = np.flatnonzero(starts)
+        self.word_at = padded[at]
+        pairs, self.pair_at = np.unique(padded[at] * len(tags) + padded[at + 1], return_inverse=True)
+        triples, self.triple_at = np.unique(self.pair_at * len(tags) + padded[at + 2], return_inverse=True)
+        self.pair_first, self.pair_second = pairs // len(tags), pairs % len(tags)
+        self.pair_of, self.third = triples // len(tags), triples % len(tags)
+
+        number = np.zeros(len(tags), dtype=np.int64)
+        number[self.hot_word] = lower.head_class[self.hot_word_is]
+        place, hot = found_in(lower.pairs, number[self.pair_first] * CLASSES + number[self.pair_second])
+        self.hot_pair = np.flatnonzero(hot)
+        self.hot_pair_is = place[self.hot_pair]
+        pair_key = tags[self.pair_first]
+        parted = number[self.pair_first] != TAIL
+        pair_key[parted] = mixed(pair_key[parted]) ^ tags[self.pair_second[parted]]
+        key = pair_key[self.pair_of]
+        parted = np.flatnonzero(hot[self.pair_of])
+        key[parted] = mixed(key[parted]) ^ tags[self.third[parted]]
+        shard = spread(key, shards)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        self.parts = [order[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def nodes(self, shard: int) -> tuple[np.ndarray, ...]:
+        """Words, pairs, and triples of a shard, and where the first pair of each word and the first triple of each pair stand."""
+        triples = self.parts[shard]
+        pair = self.pair_of[triples]
+        triple_start = runs(pair)
+        pairs = pair[triple_start]
+        pair_start = runs(self.pair_first[pairs])
+        return self.pair_first[pairs[pair_start]], pairs, triples, pair_start, triple_start
 
 
 class ShardTrie:
-    """The trie of one shard's contexts."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, lower: LowerOrders):
-        """``keys``: sorted (u, v, w) numbers with their training counts, all above zero."""
-        context = keys // CLASSES
-        contexts, start, of = np.unique(context, return_index=True, return_inverse=True)
-        log2, rank = lower.pair_log(keys % CLASSES**2)
-        total = np.bincount(of, weights=counts, minlength=len(contexts))
-        kinds = np.bincount(of, minlength=len(contexts))
-        leave = np.log10(DISCOUNT * kinds / np.maximum(total, 1)) if len(contexts) else total
-        log = np.log10((counts - DISCOUNT) / total[of] + 10 ** (leave[of] + log2))
-        # ranks rise within a context; each context goes on from where the one before it ended
-        last = rank[np.append(start[1:], len(keys)) - 1] if len(contexts) else rank
-        lift = np.concatenate(([0], np.cumsum(last + 1)[:-1])) if len(contexts) else last
+    """The trie of one shard's training paths; words are numbers below ``kinds``."""
+
+    def __init__(self, paths: np.ndarray, pairs: np.ndarray, counts: np.ndarray, kinds: int):
+        """``paths``: sorted place-in-``pairs`` * kinds + word; ``pairs``: sorted word * kinds + word; counts above zero."""
+        used, of = np.unique(paths // kinds, return_inverse=True)
+        pairs = pairs[used]
+        words, word_of = np.unique(pairs // kinds, return_inverse=True)
         store = MappedFile()
-        self.contexts = EliasFano(contexts, store)
-        self.lifts = EliasFano(lift, store)
-        self.ends = EliasFano(lift + last, store)
-        self.successors = EliasFano(rank + lift[of], store)
-        self.codes = store.put(quantised(log))
-        self.leave = store.put(quantised(leave))
-
-    def log(self, keys: np.ndarray, lower: LowerOrders) -> np.ndarray:
-        """log10 P3 of sorted (u, v, w) keys."""
-        out, rank = lower.pair_log(keys % CLASSES**2)
-        context = keys // CLASSES
-        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
-        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-        place, known = self.contexts.successor(context[first])
-        at = np.flatnonzero(known[of])
-        place, of = place[of[at]], of[at]
-        out[at] -= STEP * self.leave[place]
-        lift, end = np.zeros(len(first), dtype=np.int64), np.zeros(len(first), dtype=np.int64)
+        self.kinds = kinds
+        self.words = EliasFano(words, store)
+        self.word_starts = EliasFano(np.append(runs(word_of), len(pairs)), store)
+        self.pairs = EliasFano(word_of * kinds + pairs % kinds, store)
+        self.pair_starts = EliasFano(np.append(runs(of), len(paths)), store)
+        self.triples = EliasFano(of * kinds + paths % kinds, store)
+        totals = np.bincount(of, weights=counts, minlength=len(pairs)).astype(np.int64)
+        self.triple_count = store.put(narrow(counts))
+        self.pair_count = store.put(narrow(totals))
+        self.word_count = store.put(narrow(np.bincount(word_of, weights=totals, minlength=len(words)).astype(np.int64)))
+
+    @staticmethod
+    def _values(place: np.ndarray, known: np.ndarray, counts: np.ndarray, starts: EliasFano | None) -> tuple[np.ndarray, ...]:
+        out = np.zeros((2 if starts else 1, len(place)), dtype=np.int64)
+        met = np.flatnonzero(known)
+        out[0, met] = counts[place[met]]
+        if starts:
+            out[1, met] = starts.access(place[met] + 1).astype(np.int64) - starts.access(place[met]).astype(np.int64)
+        return tuple(out)
+
+    def _follow(self, level: EliasFano, place: np.ndarray, known: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the nodes that ``word`` leads to from the nodes at ``place``, and whether they are there."""
+        out, seen = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=bool)
         met = np.flatnonzero(known)
-        inside, _ = self.contexts.successor(context[first[met]])
-        lift[met] = self.lifts.access(inside).astype(np.int64)
-        end[met] = self.ends.access(inside).astype(np.int64)
-        wanted = lift[of] + rank[at]
-        fair = (rank[at] >= 0) & (wanted <= end[of])
-        at, wanted = at[fair], wanted[fair]
-        found, equal = self.successors.successor(wanted)
-        out[at[equal]] = -STEP * self.codes[found[equal]]
-        return out
+        out[met], seen[met] = level.successor(place[met] * np.int64(self.kinds) + word[met])
+        return out, seen
+
+    def look_up(self, words: np.ndarray, pair_of: np.ndarray, seconds: np.ndarray, triple_of: np.ndarray, thirds: np.ndarray) -> list[np.ndarray]:
+        """Counts and numbers of followers of words and of pairs, and counts of triples; pairs name their word's place among
+        ``words``, triples that of their pair."""
+        place, known = self.words.successor(words)
+        out = [*self._values(place, known, self.word_count, self.word_starts)]
+        place, known = self._follow(self.pairs, place[pair_of], known[pair_of], seconds)
+        out += self._values(place, known, self.pair_count, self.pair_starts)
+        place, known = self._follow(self.triples, place[triple_of], known[triple_of], thirds)
+        return [*out, *self._values(place, known, self.triple_count, None)]
 
 
 def split_documents(rows: pa.RecordBatch) -> Iterator[tuple]:
@@ -221,44 +248,62 @@ def count_keys(texts: DataFrame, keys_of) -> DataFrame:
 
 
 def learn_lower(texts: DataFrame) -> LowerOrders:
-    """Counts of words and of class pairs over all training texts."""
+    """Totals of all training texts, and the words and pairs that are too frequent for one shard."""
     ends = texts.where("train").count()
-    counts = written(count_keys(texts, lambda held: np.concatenate(held).view(np.int64)), "lm-words")
-    size = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = counts.orderBy(F.desc("n"), "key").limit(CLASSES - FIRST_HEAD).collect()  # bounded: one row per class
-    heads = [(r["key"], r["n"]) for r in top]
+    counts = count_keys(texts, lambda held: np.concatenate(held).view(np.int64))
+    size = counts.agg(F.count("*").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     none = np.zeros(0, dtype=np.int64)
-    totals = (int(size[1]) + ends, int(size[0]) + (ends > 0), ends)
-    first = texts.sparkSession.sparkContext.broadcast(lower_orders(heads, *totals, none, none))
-    pairs = count_keys(texts, lambda held: sequences([first.value.classes(h) for h in held]) % CLASSES**2)
-    found = pairs.toPandas().sort_values("key")  # bounded: CLASSES^2 rows at most
-    return lower_orders(heads, *totals, found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
-
-
-def packed(keys: np.ndarray, train: np.ndarray, document: np.ndarray, shard: np.ndarray, shards: int) -> list[tuple]:
-    """Per shard: its distinct keys in order, their training counts and occurrences, and the documents of these."""
-    order = np.lexsort((keys, shard)) if shards > 1 else np.argsort(keys, kind="stable")
-    keys, train, document, shard = keys[order], train[order], document[order], shard[order]
-    cuts = np.searchsorted(shard, np.arange(shards + 1))
-    out = []
-    for a, b in zip(cuts, cuts[1:]):
-        values, first = np.unique(keys[a:b], return_index=True)
-        here = np.diff(np.append(first, b - a)).astype(np.uint32)
-        counts = np.add.reduceat(train[a:b].astype(np.uint32), first) if b > a else here
-        steps = np.diff(values, prepend=values[:1])
-        out.append((values[:1], steps.astype(np.uint32) if not len(steps) or steps.max() < 2**32 else steps, counts, here, document[a:b]))
-    return out
+    return lower_orders([], int(size["tokens"]) + ends, int(size["types"]) + (ends > 0), ends, none, none)
+
+
+def runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, dtype=np.int64)
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    """The same numbers, none below zero, in the fewest bytes."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
+
+
+def planes(values: np.ndarray) -> tuple[int, np.ndarray]:
+    """Numbers byte by byte, lowest bytes first: bytes of equal weight side by side compress well."""
+    values = narrow(values)
+    return values.itemsize, np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+
 
+def unplaned(coded: tuple[int, np.ndarray]) -> np.ndarray:
+    return np.ascontiguousarray(coded[1].T).view(f"u{coded[0]}").ravel()
 
-def unpacked(part: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    first, steps, counts, here, document = part
-    keys = (first[0] + np.cumsum(steps, dtype=first.dtype)) if len(first) else first
-    return keys, counts.astype(np.int64), here, document
+
+def steps(values: np.ndarray) -> tuple[int, np.ndarray]:
+    return planes(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def stepped(coded: tuple[int, np.ndarray]) -> np.ndarray:
+    return np.cumsum(unplaned(coded), dtype=np.uint64)
+
+
+def ranked(values: np.ndarray, kinds: int) -> tuple:
+    """Numbers below ``kinds`` as ranks by frequency, and the frequencies."""
+    counts = np.bincount(values, minlength=kinds)
+    rank = np.empty(kinds, dtype=np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(kinds)
+    return planes(counts), planes(rank[values])
+
+
+def unranked(coded: tuple) -> np.ndarray:
+    counts = unplaned(coded[0]).astype(np.int64)
+    return np.argsort(-counts, kind="stable").astype(np.int32)[unplaned(coded[1])]
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    values = values * np.uint64(0x9E3779B97F4A7C15)
+    return values ^ (values >> np.uint64(29))
 
 
 def spread(values: np.ndarray, shards: int) -> np.ndarray:
-    mixed = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-    return (mixed % np.uint64(shards)).astype(np.int64)
+    return ((mixed(values) >> np.uint64(31)) % np.uint64(shards)).astype(np.int64)
 
 
 SUMS = pa.schema(
@@ -271,7 +316,8 @@ MESSAGE_DDL = "shard int, block long, message binary"
 
 
 def message(*content) -> bytes:
-    return zlib.compress(pickle.dumps(content), 1)
+    packer = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return packer.compress(pickle.dumps(content)) + packer.flush()
 
 
 def opened(messages: pa.ChunkedArray) -> Iterator[tuple]:
@@ -279,77 +325,102 @@ def opened(messages: pa.ChunkedArray) -> Iterator[tuple]:
         yield pickle.loads(zlib.decompress(value.as_py()))
 
 
-def block(documents: list[tuple], lower: LowerOrders, shards: int) -> list[bytes]:
+def block(documents: list[tuple], lower: LowerOrders, shards: int, home: int = 0) -> list[bytes]:
     """What one block of (doc_id, train, hashes) sends to each shard.
 
-    The first shard also gets what the block knows itself: the sums over head words and ends.
+    The shard ``home`` passes on what is needed to score the documents.
     """
     ids, trains, hashes = zip(*documents)
-    classes = [lower.classes(h) for h in hashes]
-    sizes = np.array([len(h) for h in hashes])
-    number = np.arange(len(documents), dtype=np.uint16)
+    sizes = np.array([len(h) for h in hashes], dtype=np.int64)
     train = np.array(trains, dtype=bool)
-
-    own = np.concatenate((*classes, np.full(len(documents), END)))
-    of = np.concatenate((np.repeat(number, sizes), number))
-    head = own != TAIL
-    count = lower.head_count[own[head]]
-    base = np.bincount(of[head], weights=lower.base(count), minlength=len(documents))
-    known = np.bincount(of[head], weights=count > 0, minlength=len(documents)).astype(np.int64)
-    meta = (list(ids), ~train, sizes + 1, known, base)
-
-    rare = ~head[: len(of) - len(documents)]
-    words = np.concatenate(hashes)[rare] if sizes.sum() else np.zeros(0, dtype=np.uint64)
-    word_doc = of[: len(rare)][rare]
-    keys = sequences(classes)
-    key_doc = np.repeat(number, sizes + 1)
-    tails = packed(words, train[word_doc], word_doc, spread(words, shards), shards)
-    trigrams = packed(keys, train[key_doc], key_doc, spread(keys // CLASSES, shards), shards)
-    return [message(len(documents), meta if k == 0 else None, tails[k], trigrams[k]) for k in range(shards)]
-
-
-def totals(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys of several blocks, their training counts, and where each block's keys stand among them."""
-    keys = np.concatenate([p[0] for p in parts])
-    values, of = np.unique(keys, return_inverse=True)
-    counts = np.bincount(of, weights=np.concatenate([p[1] for p in parts]), minlength=len(values)).astype(np.int64)
-    return values, counts, np.split(of, np.cumsum([len(p[0]) for p in parts])[:-1])
+    vocabulary, of = np.unique(np.concatenate((MARKS, *hashes)), return_inverse=True)
+    words = of[len(MARKS) :]
+    tags = vocabulary >> np.uint64(64 - TAG_BITS)
+    place, hot = found_in(lower.heads, vocabulary)
+    split = (np.searchsorted(vocabulary, MARKS), np.flatnonzero(hot), place[hot])
+    meta = (list(ids), train, narrow(sizes), ranked(words, len(vocabulary)), steps(tags), split, lower)
+    paths = Paths(words, sizes, tags, split, lower, shards)
+    counts = np.bincount(paths.triple_at, weights=np.repeat(train, sizes + 3), minlength=len(paths.third)).astype(np.int64)
+    out = []
+    for k in range(shards):
+        firsts, pairs, triples, pair_start, triple_start = paths.nodes(k)
+        seconds, thirds = paths.pair_second[pairs], paths.third[triples]
+        here, at = np.unique(np.concatenate((firsts, seconds, thirds)), return_inverse=True)
+        pair_kinds, triple_kinds = np.diff(np.append(pair_start, len(pairs))), np.diff(np.append(triple_start, len(triples)))
+        refs = (steps(at[: len(firsts)]), ranked(at[len(firsts) :], len(here)))
+        part = (steps(vocabulary[here]), *refs, *map(planes, (pair_kinds, triple_kinds, counts[triples])))
+        out.append(message(k, shards, meta if k == home else None, part))
+    return out
 
 
 def answer(asked: list[tuple], lower: LowerOrders) -> Iterator[tuple]:
-    """For each block's message to one shard: the documents in it and their sums, or of all documents with what the
-    block itself knows of them."""
-    tails = [unpacked(b[2]) for b in asked]
-    trigrams = [unpacked(b[3]) for b in asked]
-    _, counts, tail_of = totals(tails)
-    base, tail_log = lower.base(counts), np.log10((counts + 1) / lower.tail_total)
-    keys, seen, key_of = totals(trigrams)
-    trie = ShardTrie(keys[seen > 0], seen[seen > 0], lower)
-    log = trie.log(keys, lower)
-    for (n, meta, *_), tail, t_of, trigram, k_of in zip(asked, tails, tail_of, trigrams, key_of):
-
-        def per_document(part, values):
-            return np.bincount(part[3], weights=np.repeat(values, part[2]), minlength=n).astype(np.float64)
-
-        known = per_document(tail, counts[t_of] > 0).astype(np.int64)
-        base_sum = per_document(tail, base[t_of])
-        log_sum = per_document(tail, tail_log[t_of]) + per_document(trigram, log[k_of])
-        chosen = np.arange(n) if meta else np.unique(np.concatenate((tail[3], trigram[3])))
-        if meta:
-            known, base_sum = known + meta[3], base_sum + meta[4]
-        yield n, meta[:3] if meta else None, chosen, known[chosen], base_sum[chosen], log_sum[chosen]
+    """For each block's message to one shard: training counts and numbers of followers of its words and pairs, counts of its
+    triples, and the followers that this shard knows of every context split over shards."""
+    tables = [stepped(part[0]) for *_, part in asked]
+    vocabulary, of = np.unique(np.concatenate((*tables, lower.heads)), return_inverse=True)
+    *numbers, heads = np.split(of.astype(np.int32), np.cumsum([len(t) for t in tables]))
+    del tables, of
+    kinds = len(vocabulary)
+    nodes, seen, about = [], [], []
+    while asked:
+        k, shards, meta, (_, firsts, others, pair_kinds, triple_kinds, here) = asked.pop()
+        number = numbers.pop()
+        firsts, others = number[stepped(firsts)], number[unranked(others)]
+        pair_of = np.repeat(np.arange(len(firsts), dtype=np.int32), unplaned(pair_kinds))
+        triple_of = np.repeat(np.arange(len(pair_of), dtype=np.int32), unplaned(triple_kinds))
+        nodes.append((firsts, pair_of, others[: len(pair_of)], triple_of, others[len(pair_of) :]))
+        seen.append(unplaned(here))
+        about.append((k, shards, meta))
+    pairs, pair_is = np.unique(np.concatenate([n[0][n[1]].astype(np.int64) * kinds + n[2] for n in nodes]), return_inverse=True)
+    pair_is = np.split(pair_is, np.cumsum([len(n[1]) for n in nodes])[:-1])
+    paths, path_is = np.unique(np.concatenate([here[n[3]] * kinds + n[4] for here, n in zip(pair_is, nodes)]), return_inverse=True)
+    counts = np.bincount(path_is, weights=np.concatenate(seen), minlength=len(paths)).astype(np.int64)
+    del path_is, pair_is, seen
+    trie = ShardTrie(paths[counts > 0], pairs, counts[counts > 0], kinds)
+    del paths, pairs, counts
+
+    # contexts split over shards: of a word, pairs that are split themselves are counted by the block, once for all shards
+    first, second = (np.searchsorted(vocabulary, h) for h in lower.pair_hashes())
+    one = np.arange(len(first))
+    _, _, pair_count, pair_kinds, _ = trie.look_up(first, one, second, one[:0], one[:0])
+    word_kinds = trie.look_up(heads, one[:0], one[:0], one[:0], one[:0])[1]
+    np.subtract.at(word_kinds, np.searchsorted(vocabulary[heads], vocabulary[first]), pair_count > 0)
+    for known, here in zip(reversed(about), reversed(nodes)):
+        yield *known, [planes(v) for v in trie.look_up(*here)], narrow(word_kinds), narrow(pair_kinds)
 
 
 def combined(answers: list[tuple]) -> tuple:
     """Columns of SUMS for one block, from the answers of all shards."""
-    n = answers[0][0]
-    known, base, log = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n)
-    about = None
-    for _, meta, chosen, *sums in answers:
-        about = meta or about
-        for total, part in zip((known, base, log), sums):
-            total[chosen] += part
-    return (*about, known, base, log)
+    answers = sorted(answers, key=lambda a: a[0])
+    shards = answers[0][1]
+    ids, train, sizes, words, tags, split, lower = next(a[2] for a in answers if a[2])
+    sizes, tags = sizes.astype(np.int64), stepped(tags)
+    paths = Paths(unranked(words), sizes, tags, split, lower, shards)
+    word, pair = np.zeros((2, len(tags)), dtype=np.int64), np.zeros((2, len(paths.pair_first)), dtype=np.int64)
+    triple = np.zeros(len(paths.third), dtype=np.int64)
+    word_kinds, pair_kinds = np.zeros(len(lower.heads), dtype=np.int64), np.zeros(len(lower.pairs), dtype=np.int64)
+    for k, _, _, values, *more in answers:
+        firsts, pairs, triples, *_ = paths.nodes(k)
+        word[0, firsts], word[1, firsts], pair[0, pairs], pair[1, pairs], triple[triples] = map(unplaned, values)
+        word_kinds += more[0]
+        pair_kinds += more[1]
+    np.add.at(word_kinds, np.searchsorted(lower.heads, lower.pair_hashes()[0]), lower.pair_count > 0)
+    word[0, paths.hot_word], word[1, paths.hot_word] = lower.head_count[paths.hot_word_is], word_kinds[paths.hot_word_is]
+    pair[0, paths.hot_pair], pair[1, paths.hot_pair] = lower.pair_count[paths.hot_pair_is], pair_kinds[paths.hot_pair_is]
+
+    # a text of n words begins n + 3 paths; that of its token j begins at j, its pair at j + 1, itself at j + 2
+    document = np.repeat(np.arange(len(sizes)), sizes + 1)
+    at = np.arange(len(document)) + 2 * document
+    count = word[0, paths.word_at[at + 2]]
+    p = (count + 1) / (lower.tokens + 2 + lower.types - (lower.ends > 0))
+    for seen, (total, kinds) in ((pair[0, paths.pair_at[at + 1]], word[:, paths.word_at[at + 1]]), (triple[paths.triple_at[at]], pair[:, paths.pair_at[at]])):
+        p = np.where(total > 0, (np.maximum(seen - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(total, 1), p)
+
+    def per_document(values):
+        return np.bincount(document, weights=values, minlength=len(sizes))
+
+    base = np.log10((count + 1) / (lower.tokens + lower.types + 1))
+    return ids, ~train, sizes + 1, per_document(count > 0).astype(np.int64), per_document(base), per_document(np.log10(p))
 
 
 def score(docs: DataFrame, train) -> DataFrame:
@@ -382,9 +453,7 @@ def score(docs: DataFrame, train) -> DataFrame:
         return pa.table([pa.nulls(len(found), pa.int32()), group.column("block"), pa.array(found, pa.binary())], schema=MESSAGE)
 
     def gathered(group: pa.Table) -> pa.Table:
-        # a floating sum depends on the order of its parts, so these get one that a rerun repeats
-        answers = sorted(opened(group.column("message")), key=lambda a: (a[1] is None, len(a[2]), float(a[5].sum())))
-        return pa.Table.from_batches([batch(SUMS, *combined(answers))], schema=SUMS)
+        return pa.Table.from_batches([batch(SUMS, *combined(list(opened(group.column("message")))))], schema=SUMS)
 
     messages = texts.mapInArrow(sent, MESSAGE_DDL)
     answers = messages.groupBy("shard").applyInArrow(answered, MESSAGE_DDL)

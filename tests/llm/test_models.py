@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ordermill.llm import eliasfano, language, ngram_lm, toxicity
 from ordermill.llm.common import crc32_mod
@@ -247,3 +248,15 @@ def test_shards_of_a_context_hold_all_its_successors():
         return np.concatenate([ngram_lm.combined([a[k] for a in answers])[5] for k in range(len(blocks))]).tolist()
 
     assert scores(7, [0, 13, 14, 60]) == pytest.approx(scores(1, [0, 60]))
+
+
+def test_rare_words_have_pairs_and_triples_of_their_own(spark):
+    """3,000 words of one frequency, each known by the two before it."""
+    text = " ".join(f"w{k}" for k in range(3_000))
+    rows = [(1, text, "en", "a"), (2, text, "en", "a"), (3, text, "en", "a")]
+    got = {r["doc_id"]: r for r in ngram_lm.score(helpers.frame(spark, rows), F.col("doc_id") < 3).collect()}
+    d, p = ngram_lm.DISCOUNT, 3 / (2 * 3_001 + 3_002)
+    for _ in range(2):
+        p = (2 - d + d * p) / 2
+    assert got[3]["held_out"] and got[3]["n_known"] == 3_001
+    assert got[3]["score"] == pytest.approx(3_001 * math.log10(p), rel=1e-6)
