@@ -8,12 +8,13 @@ P3 and P2 subtract a fixed discount from seen counts and give it to the next low
 order grows with the corpus: every training word, pair and triple of words is counted, stored and looked up.
 
 Each place of a text (two marks before it and its end included) begins a path of three words. A shard holds a trie of paths:
-all that begin with the words dealt to it by hash; the marks' paths are dealt out by their second and third word, and what
-several shards know of such a context adds up.
+all that begin with the words dealt to it by hash. Words that begin very many paths (``LowerOrders``; counted by Spark, few
+whatever the corpus) are dealt out by their second word, and their very frequent pairs by the third, so no shard holds
+more of one word than it may. What several shards know of such a context adds up.
 
 One pass over the texts sends each shard, per block of documents, its distinct paths, once each, with training counts. The
 shard adds up the counts, builds its trie, and answers each block with the counts of its words, pairs and triples. The block's
-own tokens go through the first shard and meet the answers in the block's group, where documents are scored.
+own tokens go through one of the shards, another for each block, and meet the answers in the block's group, where documents are scored.
 
 The trie of a shard: words, pairs and triples, each an Elias-Fano sequence with monotone pointers into the next one, in a
 memory-mapped temporary file without a name. A follower w of the node at place i is stored as i times the shard's number of words,
@@ -46,7 +47,7 @@ from .eliasfano import EliasFano, MappedFile
 from .registry import query
 
 #: Numbers of contexts that are split over shards: none, the start (also the end, which nothing follows), the begin, then hot words.
-#: Not a limit on words of the model.
+#: Not a limit on words of the model; a corpus of CLASSES * HOT_TOKENS tokens would use them all.
 CLASSES = 1 << 20
 TAIL, END, BEGIN, FIRST_HEAD = range(4)
 DISCOUNT = 0.75
@@ -54,6 +55,8 @@ DISCOUNT = 0.75
 BLOCK_TOKENS = 1 << 21
 BLOCK_DOCUMENTS = 60_000
 SHARD_TOKENS = 4_000_000
+#: A context seen this often in training is split over the shards.
+HOT_TOKENS = SHARD_TOKENS // 16
 #: Bits of a word's hash that decide on its shard.
 TAG_BITS = 24
 #: What stands before a text (twice, told apart) and after it; no word has a blank in it.
@@ -251,9 +254,22 @@ def learn_lower(texts: DataFrame) -> LowerOrders:
     """Totals of all training texts, and the words and pairs that are too frequent for one shard."""
     ends = texts.where("train").count()
     counts = count_keys(texts, lambda held: np.concatenate(held).view(np.int64))
-    size = counts.agg(F.count("*").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    often = F.collect_list(F.when(F.col("n") >= HOT_TOKENS, F.struct("key", "n"))).alias("heads")  # bounded: all tokens / HOT_TOKENS
+    size = counts.agg(F.count("*").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), often).first()
+    heads = sorted((r["key"], r["n"]) for r in size["heads"])
     none = np.zeros(0, dtype=np.int64)
-    return lower_orders([], int(size["tokens"]) + ends, int(size["types"]) + (ends > 0), ends, none, none)
+    totals = (int(size["tokens"]) + ends, int(size["types"]) + (ends > 0), ends)
+    lower = lower_orders(heads, *totals, none, none)
+    if not heads:
+        return lower
+    first = texts.sparkSession.sparkContext.broadcast(lower)
+
+    def pairs_of(held: list[np.ndarray]) -> np.ndarray:
+        keys = sequences([first.value.classes(h) for h in held]) % CLASSES**2
+        return keys[(keys // CLASSES >= BEGIN) & (keys % CLASSES >= FIRST_HEAD)]
+
+    found = count_keys(texts, pairs_of).where(F.col("n") >= HOT_TOKENS).toPandas().sort_values("key")  # bounded likewise
+    return lower_orders(heads, *totals, found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
 
 
 def runs(values: np.ndarray) -> np.ndarray:
@@ -436,7 +452,7 @@ def score(docs: DataFrame, train) -> DataFrame:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def flush():
-            return batch(MESSAGE, range(shards), [number] * shards, block(held, lower.value, shards))
+            return batch(MESSAGE, range(shards), [number] * shards, block(held, lower.value, shards, (number ^ number >> 32) % shards))
 
         for rows in batches:
             for document in split_documents(rows):

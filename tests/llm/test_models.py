@@ -260,3 +260,22 @@ def test_rare_words_have_pairs_and_triples_of_their_own(spark):
         p = (2 - d + d * p) / 2
     assert got[3]["held_out"] and got[3]["n_known"] == 3_001
     assert got[3]["score"] == pytest.approx(3_001 * math.log10(p), rel=1e-6)
+
+
+def test_frequent_contexts_are_split_over_shards(spark, monkeypatch):
+    """A word that begins a third of all paths and a pair that begins nearly as many: even messages, the same scores."""
+    random = np.random.default_rng(3)
+    texts = [" ".join(f"the of x{k}" for k in random.integers(0, 5_000, random.integers(0, 120))) for _ in range(150)]
+    documents = [(i, t, not held(i)) for i, t in enumerate(texts)]
+    monkeypatch.setattr(ngram_lm, "HOT_TOKENS", 300)
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 4_000)
+    frame = helpers.frame(spark, [(i, t, "en", "a") for i, t, _ in documents])
+    check_scores(ngram_lm.score(frame, crc32_mod("doc_id", 7) != 2), documents)
+
+    lower = ngram_lm.learn_lower(ngram_lm.training_texts(frame, crc32_mod("doc_id", 7) != 2))
+    assert len(lower.heads) == 4 and len(lower.pairs) >= 2
+    block = [(i, t, ngram_lm.word_hashes(s.encode())) for i, s, t in documents]
+    sent = [ngram_lm.block(block, lower, 8, home) for home in range(2)]
+    assert max(map(len, sent[0][1:])) < 1.5 * min(map(len, sent[0][1:]))
+    about = [[next(ngram_lm.opened(pa.array([m])))[2] is not None for m in messages] for messages in sent]
+    assert [a.index(True) for a in about] == [0, 1] and all(sum(a) == 1 for a in about)
