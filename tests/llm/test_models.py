@@ -279,3 +279,11 @@ def test_frequent_contexts_are_split_over_shards(spark, monkeypatch):
     assert max(map(len, sent[0][1:])) < 1.5 * min(map(len, sent[0][1:]))
     about = [[next(ngram_lm.opened(pa.array([m])))[2] is not None for m in messages] for messages in sent]
     assert [a.index(True) for a in about] == [0, 1] and all(sum(a) == 1 for a in about)
+
+
+def test_every_level_of_a_shard_is_a_mapped_elias_fano_sequence():
+    trie = ngram_lm.ShardTrie(np.array([3, 4, 11]), np.array([8, 19]), np.array([2, 1, 5]), 9)
+    for level in (trie.words, trie.word_starts, trie.pairs, trie.pair_starts, trie.triples):
+        assert isinstance(level, eliasfano.EliasFano) and isinstance(level.high, np.memmap)
+    found = trie.look_up(np.array([0, 2, 5]), np.array([0, 1]), np.array([8, 1]), np.array([0, 0, 1, 1]), np.array([3, 4, 2, 3]))
+    assert [v.tolist() for v in found] == [[3, 5, 0], [1, 1, 0], [3, 5], [2, 1], [2, 1, 5, 0]]
