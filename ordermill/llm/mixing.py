@@ -30,6 +30,8 @@ EPOCHS = 2
 #: Weight by label quality; documents without a label have the middle one.
 QUALITY_WEIGHT = {1: 1.0, 0: 0.25}
 UNLABELLED = 0.5
+#: Equal rows that one task writes out.
+PIECE_ROWS = 10_000
 #: Slices of the key range per source. A slice of a source with 10^10 rows holds some 10^6.
 SLICES = 8_192
 
@@ -119,16 +121,25 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, keep: tuple[str, ...]
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
     """The documents of a mix: each row as often as the mix takes it, with the columns of ``docs``.
 
-    Rows meet the plan by doc_id and a digest of the row; equal rows share their takes in turn.
+    Rows meet the plan by doc_id and a digest of the row. Equal rows are one row with the sum of their takes, dealt
+    out in pieces, as many as there are equal rows for: no task gets more of them than PIECE_ROWS.
     """
     tagged = docs.select("doc_id", "source", "text", digest(docs).alias("_tag"))
     plan = mix(tagged, quality, keep=("_tag",), **options)
-    takes = plan.groupBy(F.col("doc_id").alias("_id"), "_tag").agg(F.sort_array(F.collect_list("times"), False).alias("_takes"))
+    piece = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_rows") / PIECE_ROWS).cast("int"))).alias("_piece")
+    sums = plan.groupBy(F.col("doc_id").alias("_id"), "_tag").agg(F.sum("times").alias("_sum"), F.count("*").alias("_rows"))
+    pieces = F.ceil(F.col("_rows") / PIECE_ROWS)
+    parts = sums.where("_sum > 0").select("_id", "_tag", "_sum", pieces.alias("_pieces"), piece)
+    until = [F.floor(F.col("_sum") * upto / F.col("_pieces")) for upto in (F.col("_piece"), F.col("_piece") - 1)]
+    takes = parts.select("_id", "_tag", F.col("_piece").alias("_part"), (until[0] - until[1]).cast("int").alias("_times"))
+
     rows = whole_rows(docs, F.col("doc_id").alias("_own"), digest(docs).alias("_digest"))
-    joined = rows.join(takes, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_tag")))
-    place = F.row_number().over(Window.partitionBy("_id", "_tag").orderBy("_digest"))
-    counted = joined.withColumn("_times", F.element_at("_takes", place).cast("int")).where("_times > 0")
-    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
+    single = rows.groupBy("_own", "_digest").agg(F.first("_row").alias("_row"), F.count("*").alias("_rows"))
+    single = single.select("_own", "_digest", "_row", piece)
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_tag")) & (F.col("_piece") == F.col("_part"))
+    # a broadcast would leave all pieces of a row where the row is
+    taken = single.join(takes.where("_times > 0").hint("merge"), same)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 SQL = r"""

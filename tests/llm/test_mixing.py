@@ -61,3 +61,21 @@ def test_quality_raises_the_chance(spark):
     got = mixing.mix(helpers.frame(spark, rows), mixing.quality_weights(labels), share=0.5).collect()
     taken = Counter((r.doc_id % 2) for r in got if r.times)
     assert taken[1] > 1.5 * taken[0]
+
+
+def test_many_equal_rows_are_counted_and_dealt_out_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE_ROWS", 300)
+    rows = [(1, "one row again", "en", "a")] * 2_000 + [(None, "no id", "en", "a")] * 700 + [(k, f"text {k}", "en", "b") for k in range(2, 900)]
+    docs = helpers.frame(spark, rows)
+    plan = mixing.mix(docs).groupBy("doc_id").agg({"times": "sum"}).collect()
+    got = mixing.mixed_documents(docs)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert Counter(r["doc_id"] for r in got.collect()) == Counter({r[0]: r[1] for r in plan if r[1]})
+    assert {r["text"] for r in got.where("doc_id = 1").collect()} == {"one row again"}
+    # no task holds the group
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = mixing.mixed_documents(docs).where("doc_id = 1").rdd.glom().map(len).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(n > 0 for n in sizes) > 1
