@@ -63,7 +63,7 @@ def rows(frame):
 def sql_rows(sql, sf_dir=SF, **tables):
     """Rows of a SQL text over a folder of tables, columns in order of their names."""
     connection = duckdb.connect()
-    for name in ("documents", "labels", "embeddings"):
+    for name in ("documents", "labels", "embeddings", "conversations", "benchmark"):
         connection.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     cursor = connection.execute(sql)
     names = [d[0] for d in cursor.description]
