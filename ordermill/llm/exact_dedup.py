@@ -88,7 +88,8 @@ def verified_groups(
     members = rows.groupBy(LABEL).agg(first.alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
     apart = F.raise_error(F.lit("different texts share both digests"))
     size = F.when((F.col("_texts") == 1) & (F.col("_rows") == F.col("_size")), F.col("_size")).otherwise(apart.cast("long"))
-    return members.join(classes, LABEL).select(*LABEL, "_keep", size.alias("_size"))
+    # Written, so that the join with the rows stands on two plain shuffles, which may be split at a hot label.
+    return written(members.join(classes, LABEL).select(*LABEL, "_keep", size.alias("_size")), "copy-groups")
 
 
 def decided(
