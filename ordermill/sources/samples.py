@@ -98,6 +98,17 @@ def completion_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Microseconds by which the first announcement of an order lies ahead of its update: thirty days.
+ANNOUNCED_AHEAD = 30 * 86_400 * 1_000_000
+
+
+def announced_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order events: each order is announced ahead with another size, then updated to its own."""
+    own = completion_orders(spark, sf_dir)
+    ahead = own.withColumns({"num_products": F.col("num_products") % 5 + 1, "seq": F.col("seq") - ANNOUNCED_AHEAD})
+    return ahead.unionByName(own)
+
+
 def completion_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item events at their ship day, within a day by line and product."""
     within_day = F.lit(1) + F.col("l_linenumber") * F.lit(8_000_000_000) + F.col("l_partkey")
@@ -127,13 +138,19 @@ def _order_image(payment: Column) -> Column:
     )
 
 
-def order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Create events of all orders, in order time."""
-    image = _order_image(_payment_id())
-    return table(spark, sf_dir, "orders").select(
-        _message(image, F.when(F.lit(False), image), F.lit("c"), F.lit("mysql-bin.000001"), F.col("o_orderkey"), "orders").alias("value"),
-        _micros("o_orderdate").alias("seq"),
-    )
+def order_messages(spark: SparkSession, sf_dir: str, twice: bool = False) -> DataFrame:
+    """Create events of all orders, in order time; ``twice`` as in ``announced_twice``."""
+    image, place = _order_image(_payment_id()), _micros("o_orderdate")
+    none, heads = F.when(F.lit(False), image), table(spark, sf_dir, "orders")
+
+    def messages(after: Column, before: Column, op: str, seq: Column) -> DataFrame:
+        text = _message(after, before, F.lit(op), F.lit("mysql-bin.000001"), F.col("o_orderkey"), "orders")
+        return heads.select(text.alias("value"), seq.alias("seq"))
+
+    if not twice:
+        return messages(image, none, "c", place)
+    ahead = image.withField("num_products", _payment_id() % 5 + 1)
+    return messages(ahead, none, "c", place - ANNOUNCED_AHEAD).unionByName(messages(image, ahead, "u", place))
 
 
 def order_change_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,13 +130,17 @@ def _as_row(completed: DataFrame) -> DataFrame:
 def completed_orders_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = samples.orders(spark, sf_dir).withColumnRenamed("id", "order_id")
     details = samples.order_details(spark, sf_dir)
-    return _as_row(completion.complete_orders(orders, details, completion.large_order_ids(details)))
+    return _as_row(completion.complete_orders(orders, details))
 
 
 def _replay_sql(moment: str) -> str:
-    """``moment``: the place at which an order is emitted, over the running counts ``r``."""
+    """``moment``: the place at which an order is emitted, over the running counts ``r``.
+
+    ``first_n`` and ``first_seq`` are those of an earlier announcement, which only some queries read.
+    """
     return f"""WITH o AS (
-      SELECT o_orderkey AS id, o_custkey AS customer_id, {m.PAYMENT_ID} AS n, epoch_us(o_orderdate) AS oseq
+      SELECT o_orderkey AS id, o_custkey AS customer_id, {m.PAYMENT_ID} AS n, epoch_us(o_orderdate) AS oseq,
+        {m.PAYMENT_ID} % 5 + 1 AS first_n, epoch_us(o_orderdate) - {samples.ANNOUNCED_AHEAD} AS first_seq
       FROM orders),
     d AS (SELECT l_orderkey AS id, l_partkey AS product_id,
         epoch_us(l_shipdate) + 1 + l_linenumber * 8000000000 + l_partkey AS seq FROM lineitem),
@@ -162,7 +166,7 @@ _ON_BOTH = f"""SELECT id, min(eseq) AS eseq FROM ({_ON_DETAIL} UNION ALL
 def _replayed(spark: SparkSession, sf_dir: str, trigger_on: str) -> DataFrame:
     orders = samples.completion_orders(spark, sf_dir)
     details = samples.completion_details(spark, sf_dir)
-    return _as_row(completion.replay_completion(orders, details, trigger_on, completion.large_order_ids(details)))
+    return _as_row(completion.replay_completion(orders, details, trigger_on))
 
 
 @query(_replay_sql(_ON_DETAIL))
@@ -188,7 +192,7 @@ def _streamed(spark: SparkSession, sf_dir: str, trigger_on: str) -> DataFrame:
         envelopes.order_events(landed_topic(spark, f"{folder}/orders")),
         envelopes.detail_events(landed_topic(spark, f"{folder}/details")),
     )
-    completed = live.completed_orders(events, trigger_on, REPLAY_LIFE, buckets=128)
+    completed = live.completed_orders(events, trigger_on, REPLAY_LIFE)
     return live.run_available(spark, completed, f"{folder}/out", f"{folder}/checkpoint")
 
 
@@ -202,6 +206,47 @@ def completed_orders_stream_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_row(_streamed(spark, sf_dir, "both"))
 
 
+# Of the two announcements of an order the later one counts from its place on. The parts of an order that tell who ordered
+# are the same in both, so the number of products the order was emitted with is that of its moment.
+_ON_LATEST = """SELECT r.id, min(r.seq) AS eseq FROM r JOIN o ON o.id = r.id
+      WHERE (r.seq > oseq AND k = n) OR (r.seq BETWEEN first_seq AND oseq AND k = first_n) GROUP BY r.id"""
+
+
+def _in_slices(messages: DataFrame, bounds: list, path: str) -> None:
+    """Land messages as one file per stretch of the event order, in that order."""
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = messages
+        if low is not None:
+            part = part.where(F.col("seq") >= low)
+        if high is not None:
+            part = part.where(F.col("seq") < high)
+        part.coalesce(1).write.option("parquet.block.size", 4 << 20).mode("append").parquet(path)
+
+
+@query(_replay_sql(_ON_LATEST))
+def completion_from_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of all events folded as a batch; a stream starts from the state this leaves and takes the second
+    half in several micro-batches. Every order is announced with another size before it is updated."""
+    folder = scratch_dir(spark, "completion")
+    orders, details = samples.announced_twice(spark, sf_dir), samples.completion_details(spark, sf_dir)
+    shares = [k / 12 for k in range(6, 12)]
+    cut, *bounds = details.agg(F.percentile_approx("seq", shares, 10_000)).first()[0]  # six places
+    past = F.col("seq") < cut
+
+    before = orders.where(past), details.where(past)
+    emitted = completion.replay_completion(*before)
+    completion.open_orders(*before).write.parquet(f"{folder}/history")
+    _in_slices(samples.order_messages(spark, sf_dir, twice=True).where(~past), bounds, f"{folder}/orders")
+    _in_slices(samples.detail_messages(spark, sf_dir).where(~past), bounds, f"{folder}/details")
+    events = live.completion_events(
+        envelopes.order_events(landed_topic(spark, f"{folder}/orders", 1)),
+        envelopes.detail_events(landed_topic(spark, f"{folder}/details", 1)),
+    )
+    completed = live.completed_orders(events, life=REPLAY_LIFE, history=spark.read.parquet(f"{folder}/history"))
+    streamed = live.run_available(spark, completed, f"{folder}/out", f"{folder}/checkpoint")
+    return _as_row(emitted.unionByName(streamed))
+
+
 @query(
     f"""SELECT order_id AS "key", '{{"order_id":"' || order_id || '","customer_id":"' || customer_id
       || '","payment_method_id":"' || payment_method_id || '","product_ids":["'
@@ -212,7 +257,7 @@ def completed_order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completed orders as the JSON messages that are published."""
     orders = samples.completion_orders(spark, sf_dir)
     details = samples.completion_details(spark, sf_dir)
-    completed = completion.replay_completion(orders, details, large=completion.large_order_ids(details))
+    completed = completion.replay_completion(orders, details)
     return as_messages(completed, "order_id")
 
 
