@@ -55,8 +55,13 @@ def normalize(documents: DataFrame) -> DataFrame:
 
 
 def books_table(spark: SparkSession, path: str, **options) -> KeyedTable:
-    """The catalogue by work key; the manifest keeps the last id given."""
-    return KeyedTable(spark, path, schemas.BOOKS, "work_key", largest=("id",), **options)
+    """The catalogue by work key."""
+    return KeyedTable(spark, path, schemas.BOOKS, "work_key", **options)
+
+
+def last_id(books: DataFrame) -> int:
+    """The last id given; works are never taken out, so it is the largest one stored."""
+    return books.agg(F.max("id")).first()[0] or 0
 
 
 def collapse(batch: DataFrame) -> DataFrame:
@@ -77,12 +82,12 @@ def upsert_books(current: DataFrame, collapsed: DataFrame, last_id: int = 0, sta
     return upsert(current, incoming, "work_key", UPDATED_COLUMNS)
 
 
-def apply_pages(table: KeyedTable, pages: DataFrame, stream: str | None = None, batch: int | None = None) -> int:
-    """Upsert one batch of pages into the table."""
+def apply_pages(table: KeyedTable, pages: DataFrame, stream: str | None = None, batch: int | None = None) -> bool:
+    """Upsert one batch of pages into the table; False if that changed nothing."""
     collapsed = collapse(normalize(page_documents(pages.where("docs IS NOT NULL")))).persist()
     try:
         return table.change(
-            collapsed, lambda rows, was: upsert_books(rows, collapsed, was.largest.get("id", 0)), stream, batch
+            collapsed, lambda rows: upsert_books(rows, collapsed, last_id(table.read())), stream, batch
         )
     finally:
         collapsed.unpersist()
@@ -93,11 +98,10 @@ def set_aside(pages: DataFrame, path: str) -> None:
     unreadable_pages(pages).select("start", "_corrupt_record").drop("start").write.mode("overwrite").parquet(path)
 
 
-def run_books(table: KeyedTable, pages: DataFrame) -> int:
+def run_books(table: KeyedTable, pages: DataFrame) -> None:
     """Ingest pages, set unreadable ones aside, then fail if the table is empty."""
     load = uuid.uuid4().hex
     set_aside(pages, f"{table.dead_letters()}/load={load}")
-    version = apply_pages(table, pages)
+    changed = apply_pages(table, pages)
     expect_not_empty(table.read(), "books")
-    log.info("books: version %d", version)
-    return version
+    log.info("books: %s", "changed" if changed else "no page with works")

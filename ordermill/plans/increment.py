@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ordermill.operators.latest import latest_per_key
 from ordermill.plans import gold, silver
-from ordermill.sinks.datasets import write_dataset
+from ordermill.sinks.datasets import finish_replacement, replace_partitions, write_dataset
 from ordermill.sinks.keyed import KeyedTable
-from ordermill.sources.datasets import delete_folder, find_dataset
+from ordermill.sources.datasets import find_dataset
 
 Clean = Callable[[DataFrame, Column | None], DataFrame]
 
@@ -28,11 +28,11 @@ def silver_table(spark: SparkSession, path: str, rows: DataFrame, key: str = "or
     return KeyedTable(spark, path, schema, key, **options)
 
 
-def apply_load(table: KeyedTable, cleaned: DataFrame, keys: Sequence[str], ties: Sequence[str] = ()) -> int:
+def apply_load(table: KeyedTable, cleaned: DataFrame, keys: Sequence[str], ties: Sequence[str] = ()) -> bool:
     """Merge the cleaned rows of a load; of a key's rows the one of the newest load stays."""
     order = silver.newest_load_first(cleaned, ties)
 
-    def step(current: DataFrame, _) -> DataFrame:
+    def step(current: DataFrame) -> DataFrame:
         return latest_per_key(current.unionByName(cleaned), list(keys), order)
 
     return table.change(cleaned, step)
@@ -58,6 +58,7 @@ def refresh_fact_orders(
     Only the silver buckets of the changed orders are read, and of the fact only the days concerned.
     """
     spark = orders.spark
+    finish_replacement(spark, path)
     changed = changed.persist()
     try:
         mine = [t.read_for(changed).join(changed, "order_id", "left_semi") for t in (orders, details)]
@@ -70,12 +71,7 @@ def refresh_fact_orders(
         left = fact.select("order_id", DAY).join(changed, "order_id", "left_semi")
         days |= {r[0] for r in left.select(DAY).distinct().collect()}
         kept = fact.where(F.col(DAY).isin(*days)).join(changed, "order_id", "left_anti") if days else fact.limit(0)
-        rows = kept.select(*fresh.columns).unionByName(fresh).persist()
-        filled = {r[0] for r in rows.select(DAY).distinct().collect()}
-        write_dataset(rows, path, "overwrite", (DAY,), only_partitions=True)
-        for day in days - filled:  # its last order has moved to another day
-            delete_folder(spark, f"{path}/{DAY}={day}")
-        rows.unpersist()
+        replace_partitions(kept.select(*fresh.columns).unionByName(fresh), path, DAY, days)
         fresh.unpersist()
         return sorted(days)
     finally:

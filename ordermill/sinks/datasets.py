@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+import json
+import uuid
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ordermill.session import conf_scope
+from ordermill.sources.datasets import delete_folder, read_text, write_text
 
 YMD = ("year", "month", "day")
 
@@ -52,3 +57,39 @@ def write_measured(
     with conf_scope(frame.sparkSession, settings):
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return seen.get
+
+
+def replace_partitions(frame: DataFrame, path: str, column: str, replaced: Iterable[int]) -> None:
+    """Put the rows of ``frame`` in the place of the folders ``column=value`` for the values ``replaced``.
+
+    The frame may be built from what is below ``path``; all its rows have one of the values, and a value that
+    it has no row of loses its folder. The rows are written beside the dataset first and noted as due; a
+    writer that dies in the overwrite leaves that note, and ``finish_replacement`` does it again.
+    """
+    spark, staged = frame.sparkSession, f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    filled = set()
+    if write_dataset(frame, staged, partition_by=(column,)):
+        filled = {row[0] for row in spark.read.parquet(staged).select(column).distinct().collect()}  # folder names only
+    note = {"staged": staged if filled else None, "column": column, "emptied": sorted(set(replaced) - filled)}
+    write_text(spark, _due(path), json.dumps(note))
+    finish_replacement(spark, path)
+
+
+def finish_replacement(spark: SparkSession, path: str) -> None:
+    """Do a noted replacement, if there is one; again changes nothing."""
+    found = read_text(spark, _due(path))
+    if found is None:
+        return
+    note = json.loads(found)
+    if note["staged"]:  # its files hold one folder's rows each, so they are copied as they lie
+        rows = spark.read.parquet(note["staged"])
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(note["column"]).parquet(path)
+    for value in note["emptied"]:
+        delete_folder(spark, f"{path}/{note['column']}={value}")
+    delete_folder(spark, _due(path))
+    if note["staged"]:
+        delete_folder(spark, note["staged"])
+
+
+def _due(path: str) -> str:
+    return f"{path.rstrip('/')}-due"

@@ -1,174 +1,81 @@
-"""A Parquet table of rows by key, in hash buckets under a manifest.
+"""A Parquet table of rows by key, in folders of hash buckets.
 
-A change writes new files for the buckets that hold its keys, then publishes a manifest that
-names the files of every bucket. So one changed row costs its bucket, not the table; readers see a
-whole version or the one before; and a reader goes on reading the files it started
-with, since only ``vacuum`` removes any, and only such as no manifest of the last while names.
-
-A manifest also carries what must change together with the rows: the last batch that
-each stream has applied, and the largest value of chosen columns. Version numbers are the table's own
-and are never compared with batch numbers. One writer at a time; a second one that got the
-same version number fails instead of overwriting.
+A change reads the buckets that hold its keys and replaces them by dynamic partition overwrite, so one
+changed row costs its bucket, not the table. A stream notes its last batch beside the rows when they are in place, and
+a batch that comes again changes nothing. One writer at a time; a reader that must not see a change half done
+waits for the writer, as with any plain folder of files.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordermill.sources.datasets import read_text
+from ordermill.sinks.datasets import finish_replacement, replace_partitions
+from ordermill.sources.datasets import folder_exists, read_text, write_text
 
 #: Rows per bucket should stay in the millions; the number is fixed when a table is created.
 DEFAULT_BUCKETS = 256
-DEAD_LETTERS = "_dead_letters"
-
-
-@dataclass(frozen=True)
-class Manifest:
-    version: int = -1
-    bucket_count: int = DEFAULT_BUCKETS
-    buckets: dict[str, str] = field(default_factory=dict)  # bucket to the commit that wrote it
-    applied: dict[str, int] = field(default_factory=dict)  # stream to its last batch
-    largest: dict[str, int] = field(default_factory=dict)  # column to its largest value
+BUCKET = "_bucket"
 
 
 class KeyedTable:
-    """Versions of a table under ``path``; ``largest`` names integer columns whose maximum is kept in the manifest."""
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = DEFAULT_BUCKETS):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
+        self.rows = f"{self.path}/rows"
 
-    def __init__(
-        self,
-        spark: SparkSession,
-        path: str,
-        schema: str,
-        key: str,
-        buckets: int = DEFAULT_BUCKETS,
-        largest: tuple[str, ...] = (),
-    ):
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
-        self._new_count, self._largest = buckets, largest
-        self._fs = self._hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    # --- reading ---
-
-    def versions(self) -> list[int]:
-        """Published versions, oldest first."""
-        return sorted(int(n[:-5]) for n in self._names("_manifests") if n.endswith(".json"))
-
-    def manifest(self, version: int | None = None) -> Manifest:
-        found = self.versions()
-        if not found:
-            return Manifest(bucket_count=self._new_count)
-        name = f"{found[-1] if version is None else version:012d}.json"
-        return Manifest(**json.loads(read_text(self.spark, f"{self.path}/_manifests/{name}")))
-
-    def read(self, version: int | None = None) -> DataFrame:
-        manifest = self.manifest(version)
-        return self._of(manifest, manifest.buckets)
+    def read(self) -> DataFrame:
+        return self._stored().drop(BUCKET)
 
     def read_for(self, keys: DataFrame) -> DataFrame:
         """The rows of the buckets that hold some keys; the frame needs the key column."""
-        manifest = self.manifest()
-        touched = {str(r[0]) for r in keys.select(self._bucket(manifest.bucket_count)).distinct().collect()}
-        return self._of(manifest, [b for b in manifest.buckets if b in touched])
+        return self._in(self._touched(keys)).drop(BUCKET)
 
     def dead_letters(self) -> str:
         """Folder for input that could not be applied."""
-        return f"{self.path}/{DEAD_LETTERS}"
-
-    # --- writing ---
+        return f"{self.path}/_dead_letters"
 
     def change(
         self,
         changes: DataFrame,
-        step: Callable[[DataFrame, Manifest], DataFrame],
+        step: Callable[[DataFrame], DataFrame],
         stream: str | None = None,
         batch: int | None = None,
-    ) -> int:
-        """Replace the rows in the buckets of ``changes`` by ``step(rows, manifest)``; return the version.
+    ) -> bool:
+        """Replace the rows in the buckets of ``changes`` by ``step(rows)``; False if there was nothing to do.
 
         ``changes`` needs the key column and is read twice. With ``stream`` and ``batch`` a batch that
         the stream has applied before does nothing.
         """
-        old = self.manifest()
-        if stream is not None and batch <= old.applied.get(stream, -1):
-            return old.version
-        bucket = self._bucket(old.bucket_count)
-        touched = [str(r[0]) for r in changes.select(bucket).distinct().collect()]  # bounded: one row per bucket
-        buckets, largest = dict(old.buckets), dict(old.largest)
+        finish_replacement(self.spark, self.rows)
+        marker = f"{self.path}/_applied/{stream}"
+        if stream is not None and batch <= int(read_text(self.spark, marker) or -1):
+            return False
+        touched = self._touched(changes)
         if touched:
-            current = self._of(old, [b for b in touched if b in old.buckets])
-            commit = uuid.uuid4().hex
-            tops = self._write(step(current, old), f"{self.path}/data/{commit}", bucket)
-            written = {n.partition("=")[2] for n in self._names("data", commit) if n.startswith("_bucket=")}
-            for b in touched:  # a bucket whose last row went has no folder
-                buckets.pop(b, None)
-            buckets.update((b, commit) for b in written)
-            largest.update({c: max(v, largest.get(c, v)) for c, v in tops.items() if v is not None})
-        applied = {**old.applied, **({stream: batch} if stream is not None else {})}
-        return self._publish(Manifest(old.version + 1, old.bucket_count, buckets, applied, largest))
-
-    def vacuum(self, older_than_seconds: float = 7 * 86_400) -> None:
-        """Remove manifests, but for the newest, and files that have not been current for so long.
-
-        Must be longer than any reader takes.
-        """
-        now = self.spark._jvm.System.currentTimeMillis()
-        horizon = now - 1000 * older_than_seconds
-        found = self.versions()
-        # a version stops being current when the next one is published
-        ended = [self._modified("_manifests", f"{v:012d}.json") for v in found[1:]]
-        kept = [v for v, end in zip(found, ended) if end > horizon] + found[-1:]
-        named = {commit for v in kept for commit in self.manifest(v).buckets.values()}
-        for v in set(found) - set(kept):
-            self._fs.delete(self._hadoop(f"{self.path}/_manifests/{v:012d}.json"), False)
-        for commit in set(self._names("data")) - named:
-            if self._modified("data", commit) <= horizon:  # younger ones may be about to be published
-                self._fs.delete(self._hadoop(f"{self.path}/data/{commit}"), True)
-
-    def _bucket(self, count: int) -> Column:
-        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(count)).cast("int").alias("_bucket")
-
-    def _of(self, manifest: Manifest, buckets) -> DataFrame:
-        paths = [f"{self.path}/data/{manifest.buckets[b]}/_bucket={b}" for b in buckets]
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-    def _write(self, rows: DataFrame, folder: str, bucket: Column) -> dict[str, int]:
-        spread = rows.withColumn("_bucket", bucket).hint("rebalance", F.col("_bucket"))
-        seen = Observation()
-        tops = [F.max(c).cast("bigint").alias(c) for c in self._largest]
-        spread = spread.observe(seen, F.count(F.lit(1)).alias("rows"), *tops)
-        spread.write.partitionBy("_bucket").parquet(folder)
-        return {c: seen.get[c] for c in self._largest}
-
-    def _publish(self, manifest: Manifest) -> int:
-        name = f"{self.path}/_manifests/{manifest.version:012d}.json"
-        draft = self._hadoop(f"{self.path}/_manifests/.{uuid.uuid4().hex}")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps(manifest.__dict__).encode()))
-        out.close()
-        if self._fs.exists(self._hadoop(name)) or not self._fs.rename(draft, self._hadoop(name)):
-            self._fs.delete(draft, False)
-            raise RuntimeError(f"version {manifest.version} of {self.path} was published by another writer")
-        return manifest.version
-
-    def _hadoop(self, path: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _names(self, *parts: str) -> list[str]:
-        folder = self._hadoop("/".join((self.path, *parts)))
-        if not self._fs.exists(folder):
-            return []
-        return [entry.getPath().getName() for entry in self._fs.listStatus(folder)]
-
-    def _modified(self, *parts: str) -> int:
-        return self._fs.getFileStatus(self._hadoop("/".join((self.path, *parts)))).getModificationTime()
+            after = step(self._in(touched).drop(BUCKET)).withColumn(BUCKET, self._bucket())
+            replace_partitions(after, self.rows, BUCKET, touched)
+        if stream is not None:
+            write_text(self.spark, marker, str(batch))
+        return bool(touched)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int")
+
+    def _touched(self, keys: DataFrame) -> list[int]:
+        """Bounded: one number per bucket."""
+        return [r[0] for r in keys.select(self._bucket().alias(BUCKET)).distinct().collect()]
+
+    def _stored(self) -> DataFrame:
+        schema = f"{self.schema}, {BUCKET} INT"
+        if not folder_exists(self.spark, self.rows):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.rows)
+
+    def _in(self, buckets: list[int]) -> DataFrame:
+        return self._stored().where(F.col(BUCKET).isin(buckets))
 
 
 def stream_id(batch: DataFrame) -> str:

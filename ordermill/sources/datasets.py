@@ -67,6 +67,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"cannot write {path}")
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder, fs = _folder(spark, path)
+    return fs.exists(folder)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     folder, fs = _folder(spark, path)
     fs.delete(folder, True)

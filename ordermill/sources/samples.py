@@ -193,6 +193,62 @@ def later_change_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return late.unionByName(stale).unionByName(nameless).unionByName(torn)
 
 
+# Places per order in one log file; an order's own change is the first of them, its deletion the last.
+LOG_STRIDE = 10_000_000
+
+
+def joint_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log of three files over orders and lines: ``topic``, ``value``, ``seq``, ``partition``, ``log`` and ``pos``.
+
+    All orders are created, each followed by its lines (one per product, lines with one product added up); orders in status P are re-paid
+    and get one more of each product; orders in F go, after their lines. Lines are in two partitions by order.
+    """
+    heads = table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(
+        F.sum(F.col("l_quantity").cast("int")).cast("int").alias("n")
+    )
+    lines = lines.join(heads.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey")
+    of_order, of_line = F.col("o_orderkey") * LOG_STRIDE, F.col("l_orderkey") * LOG_STRIDE + 1 + F.col("l_partkey")
+
+    def line_image(quantity: Column) -> Column:
+        return F.struct(
+            F.col("l_orderkey").cast("string").alias("order_id"),
+            F.col("l_partkey").cast("int").alias("product_id"),
+            quantity.alias("quantity"),
+        )
+
+    order, repaid = _order_image(_payment_id()), _order_image(_payment_id() % 5 + 1)
+    line, more = line_image(F.col("n")), line_image(F.col("n") + 1)
+    no_order, no_line = F.when(F.lit(False), order), F.when(F.lit(False), line)
+    changed, gone = F.col("o_orderstatus") == "P", F.col("o_orderstatus") == "F"
+    steps = (
+        (heads, "orders", order, no_order, "c", 1, of_order),
+        (lines, "order_details", line, no_line, "c", 1, of_line),
+        (heads.where(changed), "orders", repaid, order, "u", 2, of_order),
+        (lines.where(changed), "order_details", more, line, "u", 2, of_line),
+        (lines.where(gone), "order_details", no_line, line, "d", 3, of_line),
+        (heads.where(gone), "orders", no_order, order, "d", 3, of_order + LOG_STRIDE - 1),
+    )
+    frames = []
+    for rows, topic, after, before, op, log, pos in steps:
+        partition = F.lit(0) if topic == "orders" else F.pmod("l_orderkey", F.lit(2))
+        text = _message(after, before, F.lit(op), F.lit(f"mysql-bin.{log:06d}"), pos, topic)
+        frames.append(
+            rows.select(
+                F.lit(topic).alias("topic"),
+                text.alias("value"),
+                pos.alias("seq"),
+                partition.cast("int").alias("partition"),
+                F.lit(log).cast("bigint").alias("log"),
+                pos.alias("pos"),
+            )
+        )
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
 def broken_order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Create events spoiled in one of four ways, or not at all, by priority."""
     heads = table(spark, sf_dir, "orders")

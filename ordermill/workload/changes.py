@@ -111,6 +111,70 @@ def replica_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(replica.dead_letters()).select("seq", "rejected")
 
 
+# How far each partition of the joint log has arrived: file and share of its orders. Details with odd order ids are last.
+_ARRIVED = {("orders", 0): (3, 1.0), ("order_details", 0): (3, 0.9), ("order_details", 1): (3, 0.6)}
+
+
+def _lagging(log: DataFrame, orders: int) -> DataFrame:
+    """What has arrived of a joint log."""
+    arrived = F.lit(False)
+    for (topic, partition), (file, share) in _ARRIVED.items():
+        within = F.struct("log", "pos") < F.struct(F.lit(file).cast("bigint"), F.lit(int(orders * share)).cast("bigint") * samples.LOG_STRIDE)
+        arrived = arrived | ((F.col("topic") == topic) & (F.col("partition") == partition) & within)
+    return log.where(arrived)
+
+
+def _land_joint_log(spark: SparkSession, sf_dir: str, folder: str, slices: int) -> None:
+    """One file per stretch of the log, in the order of the log; a topic's partitions arrive unevenly."""
+    orders = samples.table(spark, sf_dir, "orders").agg(F.max("o_orderkey") + 1).first()[0]
+    _lagging(samples.joint_log(spark, sf_dir), orders).write.parquet(f"{folder}/log")
+    log = spark.read.parquet(f"{folder}/log").repartitionByRange(slices, "log", "pos").sortWithinPartitions("log", "pos")
+    log.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{folder}/parts")
+    for part in range(slices):
+        rows = spark.read.parquet(f"{folder}/parts").where(F.col("part") == part)
+        rows.select("topic", "value", "seq", "partition").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+
+_JOINT_CUT = f"""WITH o AS (SELECT *, {m.PAYMENT_ID} AS pay, o_orderkey * {samples.LOG_STRIDE} AS pos FROM orders),
+    l AS (SELECT l_orderkey, l_partkey, CAST(sum(CAST(l_quantity AS INTEGER)) AS INTEGER) AS n, o_orderstatus,
+        l_orderkey * {samples.LOG_STRIDE} + 1 + l_partkey AS pos
+      FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
+    log AS (SELECT 'orders' AS topic, 0 AS part, 3 AS file, pos + {samples.LOG_STRIDE} - 1 AS pos FROM o WHERE o_orderstatus = 'F'
+      UNION ALL SELECT 'order_details', l_orderkey % 2, 3, pos FROM l WHERE o_orderstatus = 'F'),
+    lag AS (SELECT count(*) AS orders FROM orders),
+    arrived AS (SELECT topic, part, max(pos) AS pos FROM log, lag WHERE pos < {samples.LOG_STRIDE} * CAST(floor(orders * CASE
+        WHEN topic = 'orders' THEN 1.0 WHEN part = 0 THEN 0.9 ELSE 0.6 END) AS BIGINT) GROUP BY ALL),
+    cut AS (SELECT min(pos) AS pos FROM arrived)
+    SELECT 'orders' AS "table", CAST(o_orderkey AS VARCHAR) AS order_id, CAST(NULL AS INTEGER) AS product_id,
+      CASE o_orderstatus WHEN 'P' THEN pay % 5 + 1 ELSE pay END AS value
+    FROM o, cut WHERE o_orderstatus <> 'F' OR o.pos + {samples.LOG_STRIDE} - 1 > cut.pos
+    UNION ALL SELECT 'order_details', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS INTEGER),
+      CASE o_orderstatus WHEN 'P' THEN n + 1 ELSE n END
+    FROM l, cut WHERE o_orderstatus <> 'F' OR l.pos > cut.pos"""
+
+
+@query(_JOINT_CUT)
+def cdc_joint_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their lines replicated from two topics whose partitions have come unequally far along one log.
+
+    Both copies stand at the last place that all partitions have reached.
+    """
+    folder = scratch_dir(spark, "joint")
+    _land_joint_log(spark, sf_dir, folder, slices=4)
+    orders = _replica(spark, f"{folder}/orders")
+    details = KeyedTable(spark, f"{folder}/details", replication.replica_schema(schemas.DETAIL_IMAGE), "order_id", buckets=8)
+    members = replication.orders_and_details(orders, details, partitions=(1, 2))
+    messages = landed_topic(spark, f"{folder}/in", 1, more="topic STRING")
+    writer = replication.replicate_jointly(messages, members, f"{folder}/state", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    held = replication.live_rows(orders.read()).select(
+        F.lit("orders").alias("table"), F.col("id").alias("order_id"), F.lit(None).cast("int").alias("product_id"),
+        F.col("payment_method_id").alias("value"),
+    )
+    lines = replication.live_rows(details.read())
+    return held.unionByName(lines.select(F.lit("order_details").alias("table"), "order_id", "product_id", F.col("quantity").alias("value")))
+
+
 # --- completion -------------------------------------------------------------
 
 def _as_row(completed: DataFrame) -> DataFrame:

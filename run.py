@@ -10,9 +10,10 @@ import logging
 from datetime import date, timedelta
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ordermill import schemas
-from ordermill.config import CUSTOMERS, ORDERS_TOPIC, PAYMENT_METHOD, Layout
+from ordermill.config import CUSTOMERS, ORDER_DETAILS_TOPIC, ORDERS_TOPIC, PAYMENT_METHOD, Layout
 from ordermill.plans.books import books_table, run_books
 from ordermill.plans.bronze import load_csv, relational_reader, run_bronze
 from ordermill.plans.checks import run_checks
@@ -25,7 +26,7 @@ from ordermill.sources.pages import read_pages, stream_pages
 from ordermill.sources.relational import ReadSplit
 from ordermill.sources.topics import kafka_topic
 from ordermill.streaming.catalogue import ingest_pages
-from ordermill.streaming.replication import replica_schema, replicate
+from ordermill.streaming.replication import orders_and_details, replica_schema, replicate_jointly
 
 
 def split(text: str) -> tuple[str, ReadSplit]:
@@ -49,6 +50,8 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--csv", help="csv: file to load")
     parser.add_argument("--table", choices=tuple(CSV_TABLES), help="csv: table it belongs to")
     parser.add_argument("--single-line", action="store_true", help="csv: no quoted line breaks; files can be shared by tasks")
+    parser.add_argument("--topic-partitions", type=int, nargs=2, default=(1, 1), metavar=("ORDERS", "DETAILS"),
+                        help="replicate: partitions of the two topics")
     parser.add_argument("--trigger-on", choices=("detail", "both"), default="detail")
     return parser.parse_args(arguments)
 
@@ -85,8 +88,16 @@ def completion(spark: SparkSession, layout: Layout, options: argparse.Namespace)
 
 
 def replication(spark: SparkSession, layout: Layout, options: argparse.Namespace) -> None:
-    table = KeyedTable(spark, f"{layout.bronze}/replica/orders", replica_schema(schemas.ORDER_IMAGE), "id")
-    writer = replicate(kafka_topic(spark, ORDERS_TOPIC), table, schemas.ORDER_IMAGE, f"{layout.bronze}/checkpoints/replica")
+    """Orders and details, both at the place in the log that all partitions of their topics have reached."""
+    orders, details = (
+        KeyedTable(spark, f"{layout.bronze}/replica/{name}", replica_schema(image), key)
+        for name, image, key in (("orders", schemas.ORDER_IMAGE, "id"), ("order_details", schemas.DETAIL_IMAGE, "order_id"))
+    )
+    topics = (ORDERS_TOPIC, ORDER_DETAILS_TOPIC)
+    members = orders_and_details(orders, details, tuple(options.topic_partitions))
+    streams = [kafka_topic(spark, topic).withColumn("topic", F.lit(name)) for topic, name in zip(topics, members)]
+    state = f"{layout.bronze}/replica/_joint"
+    writer = replicate_jointly(streams[0].unionByName(streams[1]), members, state, f"{layout.bronze}/checkpoints/replica_joint")
     writer.trigger(processingTime="10 seconds").start().awaitTermination()
 
 

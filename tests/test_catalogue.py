@@ -111,9 +111,9 @@ def test_streamed_pages_resume_and_set_aside_unreadable_ones(spark, folder):
 
     write_pages(f"{folder}/pages", "1.json", {"start": 0, "docs": [doc("/works/A", "a")]}, "{broken")
     run()
-    version = table.versions()[-1]
+    before = table.read().inputFiles()
     run()
-    assert table.versions()[-1] == version
+    assert table.read().inputFiles() == before
     write_pages(f"{folder}/pages", "2.json", {"start": 100, "docs": [doc("/works/A", "a2"), doc("/works/B", "b")]})
     run()
     assert rows(table.read(), "work_key", "title") == [("A", "a2"), ("B", "b")]
