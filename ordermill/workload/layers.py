@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermill.config import CUSTOMERS, ORDER_DETAILS, ORDERS, PAYMENT_METHOD, Layout
-from ordermill.operators.ingest import ingest
-from ordermill.plans import bronze, gold, increment, pipeline, reports, silver
+from ordermill.operators.ingest import add_load_columns, ingest
+from ordermill.plans import bronze, gold, increment, maintained, pipeline, reports, silver
 from ordermill.session import scratch_dir
 from ordermill.sinks.datasets import write_dataset
 from ordermill.sinks.keyed import KeyedTable
@@ -436,6 +436,71 @@ def fact_orders_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/fact")
 
 
+# The second load of ``segment_months_maintained``: orders in P are 45 days later, those in O belong to the next customer, some have one
+# more line, and every tenth customer is in another segment.
+_MOVED_ORDERS = """moved AS (SELECT o_orderkey AS order_id,
+      CASE o_orderstatus WHEN 'P' THEN o_orderdate + INTERVAL 45 DAY ELSE o_orderdate END AS moment,
+      CASE o_orderstatus WHEN 'O' THEN o_custkey + 1 ELSE o_custkey END AS customer_id FROM orders),
+    sizes AS (SELECT l_orderkey AS order_id, count(DISTINCT l_partkey) + CASE l_orderkey % 7 WHEN 0 THEN 1 ELSE 0 END AS n
+      FROM lineitem GROUP BY l_orderkey)"""
+
+
+def _moved(orders: DataFrame) -> DataFrame:
+    later = F.timestamp_add("DAY", F.lit(45), F.col("timestamp"))
+    return orders.select(
+        *[
+            {
+                "timestamp": F.when(F.col("o_orderstatus") == "P", later).otherwise(F.col("timestamp")).alias("timestamp"),
+                "customer_id": F.when(F.col("o_orderstatus") == "O", F.col("customer_id") + 1).otherwise(F.col("customer_id")).alias("customer_id"),
+            }.get(c, F.col(c))
+            for c in orders.columns
+            if c != "o_orderstatus"
+        ]
+    )
+
+
+@query(
+    f"""WITH {m.SQL_CALENDAR}, {_MOVED_ORDERS}
+    SELECT d.year, d.month, CASE c_custkey % 10 WHEN 0 THEN 'MOVED' ELSE c_mktsegment END AS customer_segment,
+      count(*) AS order_count, CAST(sum(coalesce(n, 0)) AS BIGINT) AS product_count, CAST(sum(coalesce(n, 0)) AS BIGINT) AS quantity_ordered
+    FROM moved LEFT JOIN dim_date d ON d."date" = CAST(moment AS DATE)
+    LEFT JOIN customer ON c_custkey = customer_id LEFT JOIN sizes ON sizes.order_id = moved.order_id GROUP BY ALL"""
+)
+def segment_months_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders per month and segment after a first load, and after one that moves and changes orders and customers."""
+    folder = scratch_dir(spark, "maintained")
+    status = samples.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
+    first = samples.orders(spark, sf_dir)
+    second = _moved(first.join(status.where("o_orderstatus != 'F'"), "id"))
+    lines = samples.order_details(spark, sf_dir)
+    more = lines.where(F.col("order_id") % 7 == 0).dropDuplicates(["order_id"]).withColumn("product_id", F.lit(-1).cast("bigint"))
+    customers = gold.dim_customer(samples.customers(spark, sf_dir), m.at(m.STAMP))
+    tenth = F.when(F.col("customer_id") % 10 == 0, F.lit("MOVED")).otherwise(F.col("customer_segment"))
+    dimension = [customers.limit(0), customers, customers.withColumn("customer_segment", tenth)]
+
+    def landed(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    kept, orders, details = None, None, None
+    for load, (head_rows, line_rows, at) in enumerate(((first, lines, m.FIRST_LOAD), (second, more, m.SECOND_LOAD))):
+        heads = silver.clean_orders(add_load_columns(head_rows, ORDERS, m.at(at)), m.at(m.STAMP))
+        items = silver.clean_order_details(add_load_columns(line_rows, ORDER_DETAILS, m.at(at)), m.at(m.STAMP), ties=samples.DETAIL_TIES)
+        heads, items = landed(heads, f"heads-{load}"), landed(items, f"items-{load}")
+        if kept is None:
+            orders = increment.silver_table(spark, f"{folder}/orders", heads, buckets=8)
+            details = increment.silver_table(spark, f"{folder}/details", items, buckets=8)
+            kept = maintained.SegmentMonths(spark, f"{folder}/sums", gold.dim_date(spark, *m.CALENDAR), buckets=8)
+
+        def apply(heads: DataFrame = heads, items: DataFrame = items) -> None:
+            increment.apply_load(orders, heads, ["order_id"])
+            increment.apply_load(details, items, ["order_id", "product_id"], samples.DETAIL_TIES)
+
+        changed = increment.changed_orders([heads, items])
+        kept.follow(load, orders, details, changed, apply, dimension[load], dimension[load + 1])
+    return kept.read()
+
+
 # --- the whole pipeline -----------------------------------------------------
 
 @query(
