@@ -193,6 +193,30 @@ def later_change_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return late.unionByName(stale).unionByName(nameless).unionByName(torn)
 
 
+HOUR = 3_600_000_000
+
+
+def arrival_messages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders and lines by time: a line comes its number of hours after the order date; of the orders those in O come at that date, those in P
+    twelve hours later or, from priority 3 on, three days later, and those in F not at all."""
+    heads = table(spark, sf_dir, "orders")
+    delay = F.when(F.col("o_orderstatus") == "O", 0).when(_payment_id() < 3, 12).otherwise(72)
+    order = _order_image(_payment_id())
+    text = _message(order, F.when(F.lit(False), order), F.lit("c"), F.lit("mysql-bin.000001"), F.col("o_orderkey"), "orders")
+    orders = heads.where("o_orderstatus != 'F'").select(text.alias("value"), (_micros("o_orderdate") + delay * F.lit(HOUR)).alias("seq"))
+
+    lines = table(spark, sf_dir, "lineitem").join(
+        heads.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey"
+    )
+    line = F.struct(
+        F.col("l_orderkey").cast("string").alias("order_id"),
+        F.col("l_partkey").cast("int").alias("product_id"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+    )
+    text = _message(line, F.when(F.lit(False), line), F.lit("c"), F.lit("mysql-bin.000001"), F.col("l_orderkey"), "order_details")
+    return orders, lines.select(text.alias("value"), (_micros("o_orderdate") + F.col("l_linenumber") * F.lit(HOUR)).alias("seq"))
+
+
 # Places per order in one log file; an order's own change is the first of them, its deletion the last.
 LOG_STRIDE = 10_000_000
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ordermill.sinks.topics import as_messages
 from ordermill.sources import samples
 from ordermill.sources.pages import read_pages, stream_pages
 from ordermill.sources.topics import landed_topic
-from ordermill.streaming import catalogue, envelopes, replication
+from ordermill.streaming import catalogue, envelopes, orphans, replication
 from ordermill.streaming import completion as live
 from ordermill.workload import model as m
 from ordermill.workload.registry import query
@@ -325,6 +327,36 @@ def completed_order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_messages(completed, "order_id")
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderdate + INTERVAL 1 HOUR * (CASE WHEN o_orderstatus = 'O' THEN 0
+        WHEN substr(o_orderpriority, 1, 1) < '3' THEN 12 ELSE 72 END) AS ordered_at FROM orders WHERE o_orderstatus <> 'F'),
+    l AS (SELECT CAST(l_orderkey AS VARCHAR) AS order_id, l_orderkey, CAST(l_partkey AS INTEGER) AS product_id,
+        CAST(l_quantity AS INTEGER) AS quantity, o_orderdate + INTERVAL 1 HOUR * l_linenumber AS seen_at
+      FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+    SELECT order_id, product_id, quantity, seen_at FROM l LEFT JOIN o ON o_orderkey = l_orderkey
+      AND ordered_at BETWEEN seen_at - INTERVAL 1 DAY AND seen_at + INTERVAL 1 DAY WHERE o_orderkey IS NULL"""
+)
+def stream_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose order comes not within a day of them, found over several micro-batches; late orders within it are matched."""
+    folder = scratch_dir(spark, "orphans")
+    parts = dict(zip(("orders", "details"), samples.arrival_messages(spark, sf_dir)))
+    shares = [k / 4 for k in range(1, 4)]
+    bounds, last = parts["details"].agg(F.percentile_approx("seq", shares, 10_000), F.max("seq")).first()
+    for topic, messages in parts.items():
+        _in_slices(messages, bounds, f"{folder}/{topic}")
+        # What tells both topics that time has gone on: messages of no use, a year later.
+        beat = messages.limit(1).select("value", F.lit(last + 366 * 24 * samples.HOUR).alias("seq"))
+        beat.coalesce(1).write.mode("append").parquet(f"{folder}/{topic}")
+    judged = (
+        envelopes.order_events(landed_topic(spark, f"{folder}/orders", 1)),
+        envelopes.detail_events(landed_topic(spark, f"{folder}/details", 1)),
+    )
+    found = orphans.orphans(*judged, bound=timedelta(days=1), lateness=timedelta(days=1))
+    out = orphans.run_available(found, f"{folder}/out", f"{folder}/checkpoint")
+    # the last message of the lines has no order either, but its time has not passed
+    return out.withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
+
+
 # --- catalogue --------------------------------------------------------------
 
 _PRICE = "CAST(5 + (('0x' || substr(md5(work_key), 1, 8))::BIGINT % 4501) / 100.0 AS DOUBLE)"

@@ -1,0 +1,59 @@
+"""Lines without an order, as the two topics arrive."""
+
+from datetime import timedelta
+
+from conftest import rows
+from test_completion import item, land, order
+
+from ordermill.sources.topics import landed_topic
+from ordermill.streaming import envelopes, orphans
+
+SECOND = 1_000_000
+
+
+def at(second, event):
+    topic, _, message = event
+    return topic, second * SECOND, message
+
+
+def run(spark, folder, lateness=10):
+    judged = (
+        envelopes.order_events(landed_topic(spark, f"{folder}/orders", 1)),
+        envelopes.detail_events(landed_topic(spark, f"{folder}/details", 1)),
+    )
+    found = orphans.orphans(*judged, bound=timedelta(seconds=20), lateness=timedelta(seconds=lateness))
+    out = orphans.run_available(found, f"{folder}/out", f"{folder}/checkpoint")
+    return rows(out, "order_id", "product_id")
+
+
+def test_late_orders_match_and_orphans_come_out_once(spark, folder):
+    land(spark, folder, [at(100, item(0, "a", 1)), at(100, item(0, "b", 2)), at(100, item(0, "b", 2)), at(105, item(0, "c", 3)), at(80, order(0, "d", 1))])
+    assert run(spark, folder) == []
+    # a comes 20 s after its line, which is just within the bound; c's a second too late; d's line is late itself but not too late
+    land(spark, folder, [at(120, order(0, "a", 1)), at(126, order(0, "c", 1)), at(99, item(0, "d", 4)), at(101, item(0, "d", 5))])
+    assert run(spark, folder) == []
+    # time goes on in one topic only: nothing is known yet
+    land(spark, folder, [at(1_000, order(0, "z", 1)), at(125, item(0, "e", 6)), ("details", 130 * SECOND, "{torn")])
+    assert run(spark, folder) == []
+    land(spark, folder, [at(2_000, order(0, "z", 1)), at(2_000, item(0, "y", 7))])
+    found = [("b", 2), ("b", 2), ("c", 3), ("d", 5), ("e", 6)]
+    assert run(spark, folder) == found
+    land(spark, folder, [at(2_001, order(0, "z", 1)), at(2_001, item(0, "z", 8)), at(100, order(0, "b", 1))])
+    assert run(spark, folder) == found
+    land(spark, folder, [at(9_000, order(0, "x", 1)), at(9_000, item(0, "x", 8))])
+    assert run(spark, folder) == sorted([*found, ("y", 7)])
+
+
+def test_state_holds_the_bound_not_the_stream(spark, folder):
+    sizes = []
+    for stretch in range(4):
+        events = [at(1_000 * stretch + s, e) for s in range(0, 1_000, 5) for e in (order(0, f"{stretch}-{s}", 1), item(0, f"{stretch}-{s}", 1))]
+        land(spark, folder, events)
+        judged = (envelopes.order_events(landed_topic(spark, f"{folder}/orders")), envelopes.detail_events(landed_topic(spark, f"{folder}/details")))
+        found = orphans.orphans(*judged, bound=timedelta(seconds=20), lateness=timedelta(seconds=10))
+        query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        query = query.trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes.append(query.lastProgress.stateOperators[0].numRowsTotal)
+    assert spark.read.parquet(f"{folder}/out").count() == 0
+    assert max(sizes) <= sizes[0] + 10 <= 110
