@@ -15,6 +15,7 @@ from ordermill.sinks.keyed import KeyedTable
 from ordermill.sinks.topics import as_messages
 from ordermill.sources import samples
 from ordermill.sources.pages import read_pages, stream_pages
+from ordermill.sources.scan import scanned_pages
 from ordermill.sources.topics import landed_topic
 from ordermill.streaming import catalogue, envelopes, orphans, replication
 from ordermill.streaming import completion as live
@@ -494,6 +495,37 @@ def books_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _comparable(rows.drop("page_start", "position"))
 
 
+def _land_pages(documents: DataFrame, path: str) -> None:
+    """One folder per page offset."""
+    pages = samples.pages_of(documents).select("start", F.to_json(F.struct("start", "docs")).alias("value"))
+    pages.repartition("start").write.mode("append").partitionBy("start").text(path)
+
+
+@query(f"WITH {_PART_BOOKS} SELECT * FROM part_books")
+def catalogue_scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue read by ranges of offsets, one task each."""
+    folder = scratch_dir(spark, "scan")
+    _land_pages(samples.part_documents(spark, sf_dir), folder)
+    rows = books.normalize(books.page_documents(scanned_pages(spark, folder, pages_per_range=4)))
+    return _comparable(rows.drop("page_start", "position"))
+
+
+@query(f"WITH {_PART_BOOKS} SELECT * FROM part_books")
+def catalogue_scan_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream that is stopped after half of the pages and started again when all have landed."""
+    folder = scratch_dir(spark, "scan")
+    documents = samples.part_documents(spark, sf_dir)
+    middle = documents.agg(F.max("page_start")).first()[0] / 2
+    table = books.books_table(spark, f"{folder}/table", buckets=8)
+    for half in (F.col("page_start") < middle, F.col("page_start") >= middle):
+        _land_pages(documents.where(half), f"{folder}/pages")
+        pages = scanned_pages(spark, f"{folder}/pages", stream=True, pages_per_range=4, pages_per_batch=60, progress=f"{folder}/progress")
+        running = catalogue.ingest_pages(pages, table, f"{folder}/checkpoint").trigger(processingTime="0 seconds").start()
+        running.processAllAvailable()
+        running.stop()
+    return _comparable(table.read().drop("id", "created_at"))
+
+
 # --- quality ----------------------------------------------------------------
 
 @query(
