@@ -5,10 +5,11 @@ cut at safe boundaries into units of bounded size and the units are encoded in
 batches of about equal bytes, so neither a very long text nor a batch of many long
 ones needs much memory.
 
-A boundary is safe at a single space between two other characters: the model's
+A boundary is safe at a single space between two plain characters: the model's
 pieces hold the space mark at their start only, so no merge crosses the cut, and
 the mark that the model puts before every unit stands for the space that was cut out.
-The model is asked for that property first; without it texts stay whole.
+Plain is what the model's normaliser turns neither into a space nor into nothing, and not the space mark itself: visible ASCII,
+and letters and digits of any script. The model is asked for the property of its pieces first; without it texts stay whole.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows are
 counted each; an empty table gives no rows; other columns are ignored.
@@ -16,6 +17,7 @@ counted each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,6 +54,19 @@ def load(path: str):
     return model, apart and prefixed
 
 
+def plain(char: str) -> bool:
+    if char.isascii():
+        return " " < char < "\x7f"
+    return unicodedata.normalize("NFKC", char).isalnum()
+
+
+def safe_cut(text: bytes, at: int) -> bool:
+    """Whether the space at a place stands between two plain characters, of up to four bytes each."""
+    before = text[max(at - 4, 0) : at].decode("utf-8", "ignore")
+    after = text[at + 1 : at + 5].decode("utf-8", "ignore")
+    return bool(before and after) and plain(before[-1]) and plain(after[0])
+
+
 def units(text: bytes, limit: int = UNIT_BYTES) -> Iterator[bytes]:
     """Cut a text at single spaces into units of at most ``limit`` bytes where such spaces exist.
 
@@ -62,11 +77,11 @@ def units(text: bytes, limit: int = UNIT_BYTES) -> Iterator[bytes]:
         cut = start + limit
         while True:
             cut = text.rfind(b" ", start + 1, cut)
-            if cut < 0 or (text[cut - 1] != 32 and text[cut + 1 : cut + 2] not in (b" ", b"")):
+            if cut < 0 or safe_cut(text, cut):
                 break
         if cut < 0:  # no safe boundary below the limit: the next one above it
             cut = text.find(b" ", start + limit)
-            while cut >= 0 and (text[cut - 1] == 32 or text[cut + 1 : cut + 2] in (b" ", b"")):
+            while cut >= 0 and not safe_cut(text, cut):
                 cut = text.find(b" ", cut + 1)
             if cut < 0:
                 break

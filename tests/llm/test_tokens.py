@@ -42,8 +42,12 @@ def test_no_documents(spark):
     assert packing.pack(helpers.none(spark)).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["a", "bc", " ", "  ", "\n", " the", "é", "日本", "\t", "<s>"]), max_size=60), st.integers(1, 20))
+#: The space mark, and what the normaliser turns into a space, into nothing or into several characters.
+MARKS = ["▁", "▁ ", " ▁", "\u00a0", "\u3000", "\u200b", "\u00ad", "\u0301", "\ufeff", "\x00", "\x85", "ﬁ", "①", "½", "\u2028", "\u115f", "ﷺ"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bc", " ", " ", "  ", "\n", " the", "é", "日本", "Я", "\t", "<s>", *MARKS]), max_size=60), st.integers(1, 20))
 def test_units_count_as_the_whole(parts, limit):
     model, safe = token_count.load(token_count.model_path())
     text = "".join(parts)
@@ -52,6 +56,12 @@ def test_units_count_as_the_whole(parts, limit):
     assert sum(len(model.encode(u.decode("utf-8", "replace"))) for u in units) == len(model.encode(text))
 
 
+def test_a_cut_beside_the_space_mark(pieces):
+    text = "word " * 3274 + "▁ " * 20 + "x y z " * 10
+    path = token_count.model_path()
+    assert token_count.count_batch([text.encode()], path) == [len(pieces.encode(text))] == [3308]
+
+
 ODD = ["the", "THE", "é", "É", "ß", "İ", "Σ", "'s", "don't", "a.b", ".", ",", "1", "x1", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", " ", "\x85", "👍", "ﬁ"]
 
 
