@@ -49,6 +49,21 @@ def sales_by_weekday_payment(orders: DataFrame, methods: DataFrame, dates: DataF
     )
 
 
+def quarter_sales(orders: DataFrame, dates: DataFrame, year: int, quarter: int) -> DataFrame:
+    """Orders and quantities of one quarter per month and payment method.
+
+    The fact is partitioned by day. The quarter is a filter on the calendar, which is broadcast (one row per day); its days prune the
+    fact's folders while the query runs, so other quarters are not opened.
+    """
+    days = dates.where((F.col("year") == year) & (F.col("quarter") == quarter))
+    days = days.select(F.col("date_id").alias("order_date_id"), "month", "month_name")
+    return (
+        orders.join(F.broadcast(days), "order_date_id")
+        .groupBy("month", "month_name", "payment_method_id")
+        .agg(F.count(F.lit(1)).alias("order_count"), F.sum("quantity_ordered").alias("quantity_ordered"))
+    )
+
+
 def product_sales(lines: DataFrame, products: DataFrame) -> DataFrame:
     """Lines and quantity per product, summed before the dimension is joined."""
     sums = lines.groupBy("product_id").agg(

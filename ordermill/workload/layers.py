@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ordermill.config import CUSTOMERS, ORDER_DETAILS, ORDERS, PAYMENT_METHOD, Layout
 from ordermill.operators.ingest import add_load_columns, ingest
-from ordermill.plans import bronze, gold, increment, maintained, pipeline, reports, silver
+from ordermill.plans import bronze, bucketed, gold, increment, maintained, pipeline, reports, silver
 from ordermill.session import scratch_dir
 from ordermill.sinks.datasets import write_dataset
 from ordermill.sinks.keyed import KeyedTable
@@ -384,6 +384,36 @@ def sellable_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("unit_price", F.col("unit_price").cast("double"))
 
 
+# --- the stored star ---
+
+_MONTHLY_FACT = m.SQL_FACT_ORDERS.replace("silver_orders o", "monthly o")
+
+
+@query(
+    f"""WITH {m.SQL_SILVER_ORDERS}, {m.sql_silver_details()}, {m.SQL_CALENDAR},
+    monthly AS (SELECT * REPLACE (date_trunc('month', "timestamp") AS "timestamp") FROM silver_orders), {_MONTHLY_FACT}
+    SELECT month, month_name, payment_method_id, count(*) AS order_count, CAST(sum(quantity_ordered) AS BIGINT) AS quantity_ordered
+    FROM fact_orders JOIN dim_date ON date_id = order_date_id WHERE year = 1998 AND quarter = 3 GROUP BY ALL"""
+)
+def quarter_sales_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One quarter of the stored fact; the orders of a month share its first day here, so that the folders are few."""
+    folder = scratch_dir(spark, "star")
+    month = F.date_trunc("month", "timestamp").cast("timestamp_ntz")
+    monthly = gold.fact_orders(m.silver_orders(spark, sf_dir).withColumn("timestamp", month), m.silver_details(spark, sf_dir), m.at(m.STAMP))
+    write_dataset(monthly, f"{folder}/fact", "overwrite", ("order_date_id",))
+    write_dataset(gold.dim_date(spark, *m.CALENDAR), f"{folder}/dates")
+    return reports.quarter_sales(spark.read.parquet(f"{folder}/fact"), spark.read.parquet(f"{folder}/dates"), 1998, 3)
+
+
+@query(f"{_FACT} SELECT * FROM fact_orders")
+def fact_orders_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact over bronze tables that lie in buckets by order: no line is shuffled after it was stored."""
+    folder = scratch_dir(spark, "bucketed")
+    orders = bucketed.store_by_order(m.bronze_orders(spark, sf_dir), f"{folder}/orders", "id", buckets=16)
+    details = bucketed.store_by_order(m.bronze_order_details(spark, sf_dir), f"{folder}/details", "order_id", 16, ("product_id",))
+    return bucketed.fact_orders(orders, details, m.at(m.STAMP), samples.DETAIL_TIES)
+
+
 # --- increments ---
 
 def _order_loads(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
