@@ -12,6 +12,7 @@ from pyspark.sql.types import DataType, TimestampType
 
 from ordermill.config import TableSpec
 from ordermill.functions.calendar import ymd_columns
+from ordermill.operators.drift import keep_schema, kept_schema, read_loads, reconciled
 from ordermill.sinks.datasets import YMD, write_measured
 from ordermill.sources.datasets import find_dataset, holds_files, newest_partitions, read_text, write_text
 
@@ -104,7 +105,7 @@ def ingest(
 
     Missing target, or one without any mark value: full load. Source with a mark
     column: append the rows above the target's largest mark. Source without one:
-    reload everything.
+    reload everything. A load may bring new columns, lack old ones or widen some (``drift``).
     """
     spark = source.sparkSession
     load_time = F.current_timestamp() if load_time is None else load_time
@@ -120,12 +121,16 @@ def ingest(
             rows, action = newer_than(source, mark, value, overlap), "increment"
 
     loaded = add_load_columns(rows, spec, load_time)
+    # Refuses a load that does not fit before anything is written.
+    schema = loaded.schema if action in ("full", "reload") else reconciled(kept_schema(spark, path), loaded.schema)
     mode = "append" if action == "increment" else "overwrite"
     measures = {} if mark is None else {"mark": _text(F.max(mark), source.schema[mark].dataType)}
     # Partitioned by the load time, all rows of a load fall into one folder.
     one_folder = first_present(source, spec.partition_candidates) is None
     # An empty increment adds no file, so the source is not probed before the write.
     seen = write_measured(loaded, path, mode, YMD, one_folder, **measures)
+    if action != "increment" or seen["rows"]:
+        keep_schema(spark, path, schema)
     if mark is not None:
         # Only a finished write moves the mark: a load that dies half-way is read again from the old one,
         # and what it has left twice is one row per key again in silver.
@@ -136,7 +141,6 @@ def ingest(
 
     def read() -> DataFrame:
         # Read back: the caller's next step must not run the source query again.
-        written = find_dataset(spark, path)
-        return loaded.limit(0) if written is None else written
+        return loaded.limit(0) if find_dataset(spark, path) is None else read_loads(spark, path)
 
     return IngestResult(action, seen["rows"], read)

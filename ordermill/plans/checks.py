@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 
 from ordermill.config import Layout
-from ordermill.operators import quality
+from ordermill.operators import profile, quality
 from ordermill.sinks.datasets import write_dataset
 from ordermill.sources.datasets import read_dataset
 
@@ -36,11 +36,13 @@ def model_checks(
 
 
 def run_checks(spark: SparkSession, layout: Layout) -> int:
-    """Write the report of the silver tables; return the number of violations found."""
+    """Write the report and the profiles of the silver tables; return the number of violations found."""
     tables = {n: read_dataset(spark, layout.silver_table(n)) for n in ("orders", "order_details", "customers", "payment_method")}
     found = model_checks(tables["orders"], tables["order_details"], tables["customers"], tables["payment_method"])
     target = f"{layout.silver}/_quality"
     write_dataset(found, target)
+    for name, table in tables.items():
+        write_dataset(profile.profile(table, table.columns), f"{layout.silver}/_profiles/{name}")
     violations = 0
     for row in read_dataset(spark, target).collect():  # one row per check
         violations += row["violations"]

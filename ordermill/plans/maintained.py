@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ordermill.operators.maintained import accumulated, differences, totals
 from ordermill.plans import gold
 from ordermill.sinks.keyed import KeyedTable
-from ordermill.sources.datasets import folder_exists
+from ordermill.sources.datasets import delete_folder, folder_exists
 
 MEASURES = ("order_count", "product_count", "quantity_ordered")
 CUSTOMER_MONTH = ("customer_id", "year", "month")
@@ -57,6 +57,10 @@ class SegmentMonths:
     def read(self) -> DataFrame:
         return self.segments.read().drop("month_id")
 
+    def ids_of(self, load: int, changed: DataFrame) -> DataFrame:
+        """The orders of a load, as they were when it was first tried."""
+        return self._kept(load, "ids", lambda: changed)
+
     def follow(
         self,
         load: int,
@@ -70,12 +74,13 @@ class SegmentMonths:
         """Let ``apply`` bring a load into silver and the sums follow.
 
         ``changed`` has the ids of the orders in the load; the customer frames are the dimension before and after it. Loads are
-        numbered in rising order; the same load may be repeated until it has gone through.
+        numbered one by one; the same load may be repeated until it has gone through.
         """
         def contributions() -> DataFrame:
             mine = [t.read_for(changed).join(changed, "order_id", "left_semi") for t in (orders, details)]
             return customer_months(gold.fact_orders(*mine), self.dates)
 
+        delete_folder(self.spark, f"{self.path}/_loads/{load - 1}")
         changed = changed.persist()
         before = self._kept(load, "before", contributions)
         apply()

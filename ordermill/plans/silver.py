@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermill.config import Layout
+from ordermill.operators.drift import read_loads
 from ordermill.operators.latest import latest_per_key
 from ordermill.sinks.datasets import write_dataset
-from ordermill.sources.datasets import read_dataset
 
 log = logging.getLogger(__name__)
 
@@ -75,7 +75,7 @@ def run_silver(
     detail_ties: Sequence[str] = ("id",),
 ) -> dict[str, int]:
     def bronze(name: str) -> DataFrame:
-        return read_dataset(spark, layout.bronze_table(name))
+        return read_loads(spark, layout.bronze_table(name))
 
     tables = {
         "orders": lambda: clean_orders(bronze("orders"), stamp),

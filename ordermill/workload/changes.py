@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermill import schemas
-from ordermill.operators import completion, quality
+from ordermill.operators import completion, conversions, profile, quality
 from ordermill.plans import books, checks
 from ordermill.session import scratch_dir
 from ordermill.sinks.keyed import KeyedTable
@@ -17,7 +17,7 @@ from ordermill.sources import samples
 from ordermill.sources.pages import read_pages, stream_pages
 from ordermill.sources.scan import scanned_pages
 from ordermill.sources.topics import landed_topic
-from ordermill.streaming import catalogue, envelopes, orphans, replication
+from ordermill.streaming import catalogue, envelopes, inspection, orphans, repeats, replication
 from ordermill.streaming import completion as live
 from ordermill.workload import model as m
 from ordermill.workload.registry import query
@@ -328,6 +328,59 @@ def completed_order_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_messages(completed, "order_id")
 
 
+@query(
+    f"""WITH completed AS ({_replay_sql(_ON_DETAIL)}),
+    messages AS (SELECT order_id AS "key", '{{"order_id":"' || order_id || '","customer_id":"' || customer_id
+      || '","payment_method_id":"' || payment_method_id || '","product_ids":["'
+      || replace(product_ids, ',', '","') || '"]}}' AS "value" FROM completed)
+    SELECT "key", "value", wave FROM messages, (VALUES (0), (1)) AS w(wave)"""
+)
+def completed_messages_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published messages of a replay, each repeated after 100 seconds; a year later all come again, with a repeat after 200."""
+    folder = scratch_dir(spark, "repeats")
+    completed = completion.replay_completion(samples.completion_orders(spark, sf_dir), samples.completion_details(spark, sf_dir))
+    second, year = 1_000_000, 366 * 24 * samples.HOUR
+    own = as_messages(completed, "order_id").withColumn("seq", F.col("key").cast("bigint") * second)
+    own.write.parquet(f"{folder}/messages")
+    own = spark.read.parquet(f"{folder}/messages")
+    for start, repeat in ((0, 100), (year, 200)):
+        first = own.withColumn("seq", F.col("seq") + start)
+        both = first.unionByName(first.withColumn("seq", F.col("seq") + repeat * second))
+        bounds = both.agg(F.percentile_approx("seq", [0.5], 10_000)).first()[0] or []
+        _in_slices(both, bounds, f"{folder}/in")
+        for hours in (4_000, 4_001):  # time goes on before the next year's messages
+            beat = own.limit(1).select(F.lit(None).cast("string").alias("key"), "value", F.lit(start + hours * samples.HOUR).alias("seq"))
+            beat.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    published = landed_topic(spark, f"{folder}/in", 1, more="key STRING")
+    out = repeats.once(published).where("key IS NOT NULL").select("key", "value", (F.col("seq") >= year).cast("int").alias("wave"))
+    writer = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query(
+    _replay_sql(_ON_DETAIL).split("SELECT CAST(o.id AS VARCHAR) AS order_id")[0]
+    + """ SELECT CAST(o.id AS VARCHAR) AS order_id, CAST(any_value(customer_id) AS VARCHAR) AS customer_id,
+      CAST(any_value(n) AS VARCHAR) AS payment_method_id, any_value(n) AS num_products,
+      array_to_string(list_sort(list(DISTINCT CAST(product_id AS VARCHAR)) FILTER (product_id IS NOT NULL)), ',') AS product_ids
+    FROM o LEFT JOIN d ON d.id = o.id WHERE o.id NOT IN (SELECT id FROM e) GROUP BY o.id"""
+)
+def open_orders_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that are not complete, read from the checkpoint of a stream that was stopped in the middle and started again."""
+    folder = scratch_dir(spark, "completion")
+    topics = {"orders": samples.order_messages(spark, sf_dir), "details": samples.detail_messages(spark, sf_dir)}
+    middle = samples.completion_details(spark, sf_dir).agg(F.percentile_approx("seq", 0.5, 10_000)).first()[0]
+    for half in (F.col("seq") < middle, F.col("seq") >= middle):
+        for name, messages in topics.items():
+            messages.where(half).write.option("parquet.block.size", 4 << 20).mode("append").parquet(f"{folder}/{name}")
+        events = live.completion_events(
+            envelopes.order_events(landed_topic(spark, f"{folder}/orders")),
+            envelopes.detail_events(landed_topic(spark, f"{folder}/details")),
+        )
+        live.run_available(spark, live.completed_orders(events, life=REPLAY_LIFE), f"{folder}/out", f"{folder}/checkpoint")
+    return _as_row(inspection.open_orders(spark, f"{folder}/checkpoint"))
+
+
 @query(
     """WITH o AS (SELECT o_orderkey, o_orderdate + INTERVAL 1 HOUR * (CASE WHEN o_orderstatus = 'O' THEN 0
         WHEN substr(o_orderpriority, 1, 1) < '3' THEN 12 ELSE 72 END) AS ordered_at FROM orders WHERE o_orderstatus <> 'F'),
@@ -579,3 +632,67 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             "payment_method": samples.payment_method(spark, sf_dir),
         }
     )
+
+
+_PROFILED = ("id", "timestamp", "customer_id", "payment_method_id", "num_products", "bronze_source")
+_NUMBERS = ("id", "customer_id", "payment_method_id", "num_products")
+
+
+@query(
+    f"""WITH {m.SQL_ORDERS}, loads AS (SELECT * FROM src_orders UNION ALL
+      SELECT id, "timestamp", customer_id, payment_method_id % 5 + 1, num_products FROM src_orders WHERE "timestamp" >= TIMESTAMP '2000-01-01 00:00:00'),
+    counted AS (SELECT 'id' AS "column", count(*) AS rows, count(*) - count(id) AS nulls, count(DISTINCT id) AS n FROM loads
+      UNION ALL SELECT 'timestamp', count(*), count(*) - count("timestamp"), count(DISTINCT "timestamp") FROM loads
+      UNION ALL SELECT 'customer_id', count(*), count(*) - count(customer_id), count(DISTINCT customer_id) FROM loads
+      UNION ALL SELECT 'payment_method_id', count(*), count(*) - count(payment_method_id), count(DISTINCT payment_method_id) FROM loads
+      UNION ALL SELECT 'num_products', count(*), count(*) - count(num_products), count(DISTINCT num_products) FROM loads
+      UNION ALL SELECT 'bronze_source', count(*), 0, CASE WHEN count(*) = 0 THEN 0 ELSE 1 END FROM loads)
+    SELECT "column", rows, nulls, n AS distinct_count, true AS distinct_close,
+      CASE WHEN "column" IN ('timestamp', 'bronze_source') THEN NULL ELSE true END AS median_close FROM counted"""
+)
+def dq_profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of two loads, merged without reading them again; exact counts beside the estimates, which lie within their bounds."""
+    folder = scratch_dir(spark, "profiles")
+    loads = m.bronze_orders(spark, sf_dir)
+    for number, moment in enumerate((m.FIRST_LOAD, m.SECOND_LOAD)):
+        one = loads.where(F.col("bronze_ingestion_time") == m.at(moment))
+        profile.profile(one, _PROFILED).write.parquet(f"{folder}/load={number}")
+    found = profile.summary(profile.merged(spark.read.parquet(folder).drop("load")), [0.5])
+
+    medians = {r["column"]: r["quantiles"][0] for r in found.where("quantiles IS NOT NULL").collect()}  # one row per column
+    bound = F.lit(profile.RANK_BOUND)
+    exact = loads.agg(
+        *[F.count_distinct(c).alias(c) for c in _PROFILED],
+        *[
+            ((F.avg((F.col(c) < medians[c]).cast("int")) <= 0.5 + bound) & (F.avg((F.col(c) <= medians[c]).cast("int")) >= 0.5 - bound)).alias(f"{c}_close")
+            for c in _NUMBERS
+        ],
+    )
+    facts = [
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("n"), (F.col(f"{c}_close") if c in _NUMBERS else F.lit(None).cast("boolean")).alias("median_close"))
+        for c in _PROFILED
+    ]
+    beside = exact.select(F.explode(F.array(*facts)).alias("f")).select("f.*")
+    close = F.abs(F.col("distinct_estimate") - F.col("n")) <= F.ceil(F.col("n") * profile.DISTINCT_BOUND)
+    return found.join(beside, "column").select(
+        "column", "rows", "nulls", F.col("n").alias("distinct_count"), close.alias("distinct_close"), "median_close"
+    )
+
+
+@query(
+    """SELECT c_name AS name, 'id' AS "column", CAST(c_custkey AS VARCHAR) || 'x' AS "text" FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT c_name, 'updated_at', '2024-13-' || CAST(c_custkey % 28 + 1 AS VARCHAR) FROM customer WHERE c_custkey % 5 = 0
+    UNION ALL SELECT c_name, 'balance', 'n/a' FROM customer WHERE c_custkey % 7 = 0"""
+)
+def dq_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of customers that are no id, time or amount, with their column; a missing text is no failure."""
+    key = F.col("c_custkey")
+    day = (key % 28 + 1).cast("string")
+    text = samples.table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("name"),
+        F.when(key % 3 == 0, F.concat(key.cast("string"), F.lit("x"))).otherwise(key.cast("string")).alias("id"),
+        F.when(key % 5 == 0, F.concat(F.lit("2024-13-"), day)).otherwise(F.concat(F.lit("2024-12-"), day)).alias("updated_at"),
+        F.when(key % 7 == 0, F.lit("n/a")).when(key % 11 == 0, F.lit(" ")).otherwise(F.col("c_acctbal").cast("string")).alias("balance"),
+    )
+    judged = conversions.converted(text, {"id": "int", "updated_at": "timestamp", "balance": "decimal(12,2)"})
+    return conversions.failures(judged, ["name"])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermill.config import CUSTOMERS, ORDER_DETAILS, ORDERS, PAYMENT_METHOD, Layout
+from ordermill.operators import members
+from ordermill.operators.drift import NarrowingError
 from ordermill.operators.ingest import add_load_columns, ingest
 from ordermill.plans import bronze, bucketed, gold, increment, maintained, pipeline, reports, silver
 from ordermill.session import scratch_dir
@@ -142,6 +144,37 @@ def csv_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(bronze.csv_dead_letters(layout, CUSTOMERS)).select("value")
 
 
+def _customer_loads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as the source had them first, and after its columns changed: wider ids, no phone, a new column."""
+    first = samples.customers(spark, sf_dir).withColumn("id", F.col("id").cast("int"))
+    later = samples.customers(spark, sf_dir).drop("phone_number").withColumns(
+        {"id": F.col("id") + 3_000_000_000, "email": F.concat("name", F.lit("@example.com")), "updated_at": F.timestamp_add("DAY", F.lit(30), F.col("updated_at"))}
+    )
+    return first, later
+
+
+@query(
+    f"""WITH {m.SQL_CUSTOMERS}, loads AS (
+      SELECT id, name, phone_number, tier, updated_at, CAST(NULL AS VARCHAR) AS email, TIMESTAMP '{m.FIRST_LOAD}' AS loaded FROM src_customers
+      UNION ALL SELECT id + 3000000000, name, NULL, tier, updated_at + INTERVAL 30 DAY, name || '@example.com', TIMESTAMP '{m.SECOND_LOAD}'
+      FROM src_customers)
+    SELECT id, name, phone_number, tier, updated_at, email, loaded AS bronze_ingestion_time,
+      'mysql.project_db.customers' AS bronze_source, {m.ymd("loaded")} FROM loads"""
+)
+def bronze_schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads read together: the second has wider ids, a column less and a column more; one with narrower ids is refused."""
+    target = scratch_dir(spark, "bronze-drift")
+    first, later = _customer_loads(spark, sf_dir)
+    ingest(first, target, CUSTOMERS, m.at(m.FIRST_LOAD))
+    found = ingest(later, target, CUSTOMERS, m.at(m.SECOND_LOAD))
+    late = first.withColumn("updated_at", F.timestamp_add("DAY", F.lit(90), F.col("updated_at")))
+    try:
+        ingest(late, target, CUSTOMERS, m.at(m.STAMP))
+    except NarrowingError:
+        return found.frame
+    raise AssertionError("a narrowing was not refused")
+
+
 # --- silver -----------------------------------------------------------------
 
 @query(f"WITH {m.SQL_SILVER_ORDERS} SELECT * FROM silver_orders")
@@ -414,6 +447,31 @@ def fact_orders_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucketed.fact_orders(orders, details, m.at(m.STAMP), samples.DETAIL_TIES)
 
 
+_REFRESHED = """TIMESTAMP '2024-02-01 00:00:00' AS dim_created_at, CASE WHEN c_custkey % 10 = 0 THEN TIMESTAMP '2024-02-02 00:00:00'
+      ELSE TIMESTAMP '2024-02-01 00:00:00' END AS dim_updated_at"""
+
+
+@query(
+    f"""WITH {m.SQL_CUSTOMERS}
+    SELECT id AS customer_id, name AS customer_name, phone_number AS phone,
+      CASE WHEN id % 10 = 0 THEN 'MOVED' ELSE tier END AS customer_segment, updated_at, {_REFRESHED.replace("c_custkey", "id")}
+    FROM src_customers WHERE id % 13 <> 0
+    UNION ALL SELECT id + 1000000, name, phone_number, tier, updated_at, TIMESTAMP '2024-02-02 00:00:00', TIMESTAMP '2024-02-02 00:00:00'
+    FROM src_customers WHERE id % 17 = 0"""
+)
+def dim_customer_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer dimension after two loads, the second with changed, vanished and new members, and a third without changes."""
+    first = gold.dim_customer(samples.customers(spark, sf_dir), m.at(m.FIRST_LOAD))
+    tenth = F.when(F.col("customer_id") % 10 == 0, F.lit("MOVED")).otherwise(F.col("customer_segment"))
+    second = first.where("customer_id % 13 != 0").withColumn("customer_segment", tenth).unionByName(
+        first.where("customer_id % 17 = 0").withColumn("customer_id", F.col("customer_id") + 1_000_000)
+    )
+    table = members.dimension(spark, scratch_dir(spark, "dim-customer"), first, "customer_id", buckets=16)
+    for incoming, at in ((first, m.FIRST_LOAD), (second, m.SECOND_LOAD), (second, m.STAMP)):
+        members.refresh(table, incoming, m.at(at))
+    return members.members(table)
+
+
 # --- increments ---
 
 def _order_loads(spark: SparkSession, sf_dir: str) -> list[DataFrame]:

@@ -1,6 +1,6 @@
 """Job entry point: ``spark-submit run.py <job> --root <uri>``.
 
-Jobs: bronze, silver, gold, all, pricing, quality, completion, replicate, books, books-stream, csv.
+Jobs: bronze, silver, gold, all, refresh, pricing, quality, completion, replicate, books, books-stream, csv.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from ordermill.plans.bronze import load_csv, relational_reader, run_bronze
 from ordermill.plans.checks import run_checks
 from ordermill.plans.gold import CALENDAR_END, CALENDAR_START, run_gold, run_pricing
 from ordermill.plans.realtime import run_completion
+from ordermill.plans.refresh import run_refresh
 from ordermill.plans.silver import run_silver
 from ordermill.session import build_session
 from ordermill.sinks.keyed import KeyedTable
@@ -42,10 +43,10 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--split", type=split, action="append", default=[], metavar="TABLE:COLUMN:LOWER:UPPER:PARTITIONS",
                         help="bronze, all: read a table through several connections; LOWER and UPPER without colons")
     parser.add_argument("--overlap-minutes", type=float, help="bronze, all: read this much below the mark again")
-    parser.add_argument("--quantity", choices=("constant", "preserve"), default="constant", help="silver, all")
+    parser.add_argument("--quantity", choices=("constant", "preserve"), default="constant", help="silver, all, refresh")
     parser.add_argument("--normalize-payments", action="store_true", help="gold, all: payment types whatever their case")
     parser.add_argument("--calendar", nargs=2, type=date.fromisoformat, default=(CALENDAR_START, CALENDAR_END),
-                        metavar=("FIRST", "LAST"), help="gold, all")
+                        metavar=("FIRST", "LAST"), help="gold, all, refresh")
     parser.add_argument("--pages", help="books, books-stream: folder of landed catalogue pages")
     parser.add_argument("--csv", help="csv: file to load")
     parser.add_argument("--table", choices=tuple(CSV_TABLES), help="csv: table it belongs to")
@@ -74,6 +75,11 @@ def everything(spark: SparkSession, layout: Layout, options: argparse.Namespace)
         job(spark, layout, options)
 
 
+def refresh(spark: SparkSession, layout: Layout, options: argparse.Namespace) -> None:
+    """What changed since the last run, instead of silver and gold anew."""
+    run_refresh(spark, layout, calendar=tuple(options.calendar), quantity_policy=options.quantity)
+
+
 def pricing(spark: SparkSession, layout: Layout, options: argparse.Namespace) -> None:
     run_pricing(spark, layout, catalogue(spark, layout).read())
 
@@ -126,6 +132,7 @@ JOBS = {
     "silver": silver,
     "gold": gold,
     "all": everything,
+    "refresh": refresh,
     "pricing": pricing,
     "quality": quality,
     "completion": completion,
