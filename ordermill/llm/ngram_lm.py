@@ -63,9 +63,65 @@ TAG_BITS = 24
 MARKS = np.array([xxhash.xxh64_intdigest(mark) for mark in (b" start", b" begin", b" end")], dtype=np.uint64)
 
 
+#: Bytes of text hashed at once. A word hash is a polynomial over random values of its bytes, upper case taken as lower.
+CHUNK_BYTES = 1 << 16
+ODD = 0x9E3779B97F4A7C15
+_RANDOM = np.array([xxhash.xxh64_intdigest(bytes([b]).lower()) for b in range(256)], dtype=np.uint64)
+_GAP = np.array([bytes([b]).isspace() for b in range(256)])  # of bytes: the six of ASCII
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, size: int) -> np.ndarray:
+    """``base`` to the powers from 0, modulo 2^64, for a chunk or as many as are asked for."""
+    size = max(size, CHUNK_BYTES + 1)
+    if size > CHUNK_BYTES + 1 or base not in _POWERS:
+        steps = np.full(size, base, dtype=np.uint64)
+        steps[0] = 1
+        found = np.cumprod(steps)
+        if size > CHUNK_BYTES + 1:
+            return found
+        _POWERS[base] = found
+    return _POWERS[base]
+
+
+def word_spans(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words of a buffer begin and end; a word ends where a text does. ``first``: where texts begin."""
+    word = ~_GAP[data]
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[first] = True
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1] | cut[1:-1]
+    ends[:-1] &= ~word[1:] | cut[1:-1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def chunks(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of words within a chunk of bytes, or one longer word."""
+    at = 0
+    while at < len(begins):
+        upto = max(at + 1, int(np.searchsorted(ends, begins[at] + CHUNK_BYTES, side="right")))
+        yield at, upto
+        at = upto
+
+
+def hashed_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a buffer of texts in order, and how many there are before each text and in all."""
+    begins, ends = word_spans(data, first)
+    out = np.empty(len(begins), dtype=np.uint64)
+    for a, b in chunks(data, begins, ends):
+        low, high = int(begins[a]), int(ends[b - 1])
+        sums = np.zeros(high - low + 1, dtype=np.uint64)
+        np.cumsum(_RANDOM[data[low:high]] * powers(ODD, high - low)[: high - low], out=sums[1:])
+        start, end = begins[a:b] - low, ends[a:b] - low
+        out[a:b] = (sums[end] - sums[start]) * powers(pow(ODD, -1, 1 << 64), high - low)[start]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out, np.append(np.searchsorted(begins, first), len(begins))
+
+
 def word_hashes(text: bytes) -> np.ndarray:
-    words = text.lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return hashed_words(np.frombuffer(text, dtype=np.uint8), np.zeros(1, dtype=np.int64))[0]
 
 
 def found_in(values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +156,8 @@ class LowerOrders:
 
 def lower_orders(heads: list[tuple[int, int]], tokens: int, types: int, ends: int, pairs: np.ndarray, counts: np.ndarray) -> LowerOrders:
     """``heads``: (hash, count) of the hot words; ``pairs``: sorted keys of pairs of classes with their training counts."""
+    if FIRST_HEAD + len(heads) > CLASSES:  # their pairs would no longer have keys of their own
+        raise ValueError(f"more than {CLASSES - FIRST_HEAD} words begin {HOT_TOKENS} paths: raise SHARD_TOKENS")
     hashes = np.concatenate((MARKS[:2], np.array([h for h, _ in heads], dtype=np.int64).view(np.uint64)))
     number = np.concatenate(([END, BEGIN], np.arange(FIRST_HEAD, FIRST_HEAD + len(heads))))
     count = np.concatenate(([ends, ends], np.array([n for _, n in heads], dtype=np.int64)))
@@ -205,8 +263,13 @@ class ShardTrie:
 
 def split_documents(rows: pa.RecordBatch) -> Iterator[tuple]:
     """(doc_id, train, hashes of the words) of each row; columns doc_id, text, train."""
-    for doc_id, text, train in zip(*(c.to_pylist() for c in rows.columns)):
-        yield doc_id, train, word_hashes(text)
+    texts = rows.column(1)
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32, count=texts.offset + len(texts) + 1)[texts.offset :].astype(np.int64)
+    held = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data else np.zeros(0, dtype=np.uint8)
+    hashes, cuts = hashed_words(held, at[:-1] - at[0])
+    for k, (doc_id, train) in enumerate(zip(rows.column(0).to_pylist(), rows.column(2).to_pylist())):
+        yield doc_id, train, hashes[cuts[k] : cuts[k + 1]]
 
 
 def sequences(classes: list[np.ndarray]) -> np.ndarray:

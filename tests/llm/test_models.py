@@ -212,6 +212,39 @@ def held(doc_id):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
 
 
+BYTES = [b"a", b"B", b" ", b"\n", b"\x0b", "é".encode(), b"\x85", b"\xa0", b"Z", b"\x00", b"\x1c", b"wordy"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(BYTES), max_size=12), min_size=1, max_size=5), st.sampled_from([1, 2, 7, 1 << 16]), st.integers(0, 1))
+def test_words_have_one_hash_wherever_they_stand(texts, chunk, skipped):
+    texts, was = [b"".join(t) for t in texts], ngram_lm.CHUNK_BYTES
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary()), pa.array([True] * len(texts))], names=["i", "text", "train"])
+    ngram_lm.CHUNK_BYTES = chunk
+    ngram_lm._POWERS.clear()
+    try:
+        got = [h.tolist() for *_, h in ngram_lm.split_documents(rows.slice(skipped))]
+    finally:
+        ngram_lm.CHUNK_BYTES = was
+        ngram_lm._POWERS.clear()
+    assert got == [[int(ngram_lm.word_hashes(w)[0]) for w in t.lower().split()] for t in texts[skipped:]]
+
+
+def test_different_words_have_different_hashes():
+    words = {w for t in helpers.texts(SF1).values() for w in (t or "").lower().encode().split()}
+    words |= {b"%d" % k for k in range(200_000)} | {b"a" * k for k in range(1, 300)} | {b"ab" * k for k in range(1, 300)}
+    assert len({int(ngram_lm.word_hashes(w)[0]) for w in words}) == len({w.lower() for w in words})
+    assert not set(ngram_lm.MARKS.tolist()) & {int(ngram_lm.word_hashes(w)[0]) for w in words}
+
+
+def test_more_hot_words_than_numbers_are_refused(monkeypatch):
+    monkeypatch.setattr(ngram_lm, "CLASSES", 5)
+    none = np.zeros(0, int)
+    ngram_lm.lower_orders([(1, 9), (2, 9)], 18, 2, 1, none, none)
+    with pytest.raises(ValueError):
+        ngram_lm.lower_orders([(1, 9), (2, 9), (3, 9)], 27, 3, 1, none, none)
+
+
 def test_scores_of_the_sample(spark):
     documents = [(i, t, not held(i)) for i, t in helpers.texts(SF1).items()]
     frame = ngram_lm.op10_ngram_lm(spark, SF1).cache()
