@@ -13,6 +13,11 @@ import numpy as np
 _BYTES = np.arange(256, dtype=np.uint8)[:, None] >> np.arange(8, dtype=np.uint8) & 1
 #: Place of the k-th one in a byte, by byte and k.
 _SELECT = np.argsort(1 - _BYTES, axis=1, kind="stable").astype(np.uint8)
+_U = np.uint64
+#: A one in each byte, and the top bit of each.
+_EACH, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+#: Ones in a row that a window of eight bytes surely shows.
+_SHOWN = 56
 
 
 class MappedFile:
@@ -56,23 +61,38 @@ class EliasFano:
         highs = (values >> np.uint64(low)).astype(np.int64)
         bits = np.zeros(-(-(self.size + (top >> low) + 1) // 64) * 64, dtype=bool)
         bits[highs + np.arange(self.size)] = True
-        self.high = store.put(np.packbits(bits, bitorder="little"))
-        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(self.high.view(np.uint64)), dtype=np.int64)))
+        packed_high = np.packbits(bits, bitorder="little")
+        self.high = store.put(np.concatenate((packed_high, np.zeros(8, dtype=np.uint8))))
+        self.words = self.high[: len(packed_high)].view("<u8")
+        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)))
         self.ones = store.put(ones)
         self.zeros = store.put(64 * np.arange(len(ones)) - ones)
 
-    def _select(self, rank: np.ndarray, directory: np.ndarray, flip: int) -> np.ndarray:
-        """Place of the one (or with flip 255 the zero) that has ``rank`` others before it."""
-        word = np.searchsorted(directory, rank, side="right") - 1
-        left = rank - directory[word]
-        byte = word * 8
-        open_ = np.ones(len(rank), dtype=bool)
-        for _ in range(7):
-            here = np.bitwise_count(self.high[byte] ^ np.uint8(flip)).astype(np.int64)
-            open_ &= left >= here
-            left = np.where(open_, left - here, left)
-            byte = byte + open_
-        return byte * 8 + _SELECT[self.high[byte] ^ np.uint8(flip), left]
+    def _select(self, rank: np.ndarray, directory: np.ndarray, flip: bool) -> np.ndarray:
+        """Place of the one (or, flipped, the zero) that has ``rank`` others before it.
+
+        Within a word of 64 bits, the ones up to each byte are counted in the bytes of another word.
+        """
+        at = np.searchsorted(directory, rank, side="right") - 1
+        left = (rank - directory[at]).astype(np.uint64)
+        word = self.words[at]
+        if flip:
+            word = ~word
+        upto = word - ((word >> _U(1)) & _U(0x5555555555555555))
+        upto = (upto & _U(0x3333333333333333)) + ((upto >> _U(2)) & _U(0x3333333333333333))
+        upto = ((upto + (upto >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _EACH
+        passed = np.bitwise_count(((left * _EACH | _TOPS) - upto) & _TOPS).astype(np.uint64)  # bytes that end before the place
+        byte = passed << _U(3)
+        left -= ((upto << _U(8)) >> byte) & _U(255)
+        return at * 64 + byte.astype(np.int64) + _SELECT[(word >> byte) & _U(255), left]
+
+    def _ones_from(self, place: np.ndarray) -> np.ndarray:
+        """How many ones stand in a row from a place on."""
+        byte, shift = place >> 3, (place & 7).astype(np.uint64)
+        window = np.ndarray((len(self.high) - 7,), dtype="<u8", buffer=self.high.data, strides=(1,))
+        bits = window[byte] >> shift
+        row = np.bitwise_count(bits ^ (bits + _U(1))).astype(np.int64) - 1
+        return row
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -84,7 +104,7 @@ class EliasFano:
     def access(self, i: np.ndarray) -> np.ndarray:
         """The numbers at these places."""
         i = np.asarray(i, dtype=np.int64)
-        high = self._select(i, self.ones, 0) - i
+        high = self._select(i, self.ones, False) - i
         return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,11 +112,15 @@ class EliasFano:
         x = np.asarray(x, dtype=np.uint64)
         high = (x >> np.uint64(self.low_bits)).astype(np.int64)
         last = int(self.zeros[-1]) - 1
-        inside = high <= last - 1
+        inside = high <= last
         bounded = np.minimum(high, last)
         # elements with this high part stand between two zeros of the bit vector
-        lo = np.where(bounded > 0, self._select(np.maximum(bounded - 1, 0), self.zeros, 255) - (bounded - 1), 0)
-        hi = self._select(bounded, self.zeros, 255) - bounded
+        before = np.maximum(bounded - 1, 0)
+        start = np.where(bounded > 0, self._select(before, self.zeros, True) + 1, 0)
+        lo = start - bounded
+        hi = lo + self._ones_from(start)
+        long = np.flatnonzero(hi - lo >= _SHOWN)
+        hi[long] = self._select(bounded[long], self.zeros, True) - bounded[long]
         lo, hi = np.where(inside, lo, self.size), np.where(inside, hi, self.size)
         end, target = hi.copy(), x & self.mask
         while (open_ := np.flatnonzero(lo < hi)).size:

@@ -200,7 +200,7 @@ class Paths:
         parted = np.flatnonzero(hot[self.pair_of])
         key[parted] = mixed(key[parted]) ^ tags[self.third[parted]]
         shard = spread(key, shards)
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(narrow(shard), kind="stable")  # short numbers are sorted by their digits
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
         self.parts = [order[a:b] for a, b in zip(cuts, cuts[1:])]
 

@@ -158,6 +158,19 @@ def test_elias_fano(values, asked):
     assert equal.tolist() == np.isin(asked, values).tolist()
 
 
+@pytest.mark.parametrize("repeats", [1, 40, 70, 300])
+def test_elias_fano_at_every_length(repeats):
+    """Bit vectors that fill their last word, and numbers that occur very often."""
+    for size in range(1, 200):
+        values = np.sort(np.concatenate((np.arange(size) * 3, np.full(repeats, size // 2 * 3)))).astype(np.uint64)
+        sequence = eliasfano.EliasFano(values, eliasfano.MappedFile())
+        asked = np.arange(3 * size + 5, dtype=np.uint64)
+        place, equal = sequence.successor(asked)
+        assert place.tolist() == np.searchsorted(values, asked).tolist()
+        assert equal.tolist() == np.isin(asked, values).tolist()
+        assert sequence.access(np.arange(len(values))).tolist() == values.tolist()
+
+
 def slow_scores(documents):
     """n_tokens, n_known, train_tokens, base and model score of (id, text, train) by plain dictionaries."""
     tokens = [helpers.lower_ascii(t).encode().split() for _, t, _ in documents]
