@@ -12,10 +12,11 @@ and on all bits, block of rows by block of rows.
 
 Groups: a shard emits a spanning forest of its links, never its pairs, so thousands of copies
 cost as many rows. Components over all shards come from alternating large-star and small-star
-steps, written between rounds.
+steps, written between rounds; the edges of a node with a large share of them are spread over salted cells.
 
-Only distinct fingerprints are compared, so exact copies are one entry however many there are. Fingerprints that share a block's bits and are
-near each other are few (some 10^5 within four bits of a centre), which bounds a shard.
+Only distinct fingerprints are compared, so exact copies are one entry however many there are. Many fingerprints may share the bits of a block,
+and no tree over that block can part them. Such a shard is cut into stripes, and every pair of stripes is a cell of its own: a task
+holds one cell, whatever the size of the shard. The comparisons within such a shard still grow with the square of its distinct fingerprints.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; a text of fewer words than
 a shingle is one shingle; repeated rows each get a row; a null doc_id never names a component (a component
@@ -47,6 +48,10 @@ SAMPLE = 30_000
 LEAF = 1_024
 MAX_LEAVES = 1 << 16
 COMPARE_ROWS = 256
+#: Rows of a shard that are compared in one task; a longer shard is cut into stripes of about as many.
+STRIPE_ROWS = 1 << 14
+#: A node with more than one of so many parts of all edges has its edges spread; there are fewer than twice as many such nodes.
+HUBS = 1 << 12
 
 LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -186,13 +191,13 @@ def forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, high[apart], low[apart])
 
 
-def shard_links(home: np.ndarray, visiting: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as (member, root), of the links that touch a resident of the shard."""
-    everyone = np.concatenate((np.sort(home), visiting))
+def shard_links(home: np.ndarray, other: np.ndarray, radius: int, inner: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as (member, root), of the links between ``home`` and ``other`` and, if ``inner``, within ``home``."""
+    everyone = np.concatenate((np.sort(home), other))
     parent = np.arange(len(everyone))
     for at in range(0, len(home), COMPARE_ROWS):
-        rows = everyone[at : at + COMPARE_ROWS, None]
-        for start in range(at, len(everyone), 1 << 16):
+        rows = everyone[at : min(at + COMPARE_ROWS, len(home)), None]
+        for start in range(at if inner else len(home), len(everyone), 1 << 16):
             near = np.bitwise_count(rows ^ everyone[None, start : start + (1 << 16)]) <= radius
             a, b = np.nonzero(near)
             forest(parent, a + at, b + start)
@@ -200,6 +205,29 @@ def shard_links(home: np.ndarray, visiting: np.ndarray, radius: int) -> tuple[np
     return everyone[member], everyone[parent[member]]
 
 
+def cell_links(values: np.ndarray, own: np.ndarray, first: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of one cell: within its only stripe, or between the rows of its ``first`` stripe and those of the other."""
+    if first.all():
+        return shard_links(values[own], values[~own], radius)
+    parts = (
+        shard_links(values[first & own], values[~first], radius, inner=False),
+        shard_links(values[~first & own], values[first & ~own], radius, inner=False),
+    )
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def cells(shards: DataFrame) -> DataFrame:
+    """Rows of shards (``shard``, ``fp``, ``home``) by cell: the pair of stripes ``low`` and ``high``, and whether the row is of the low one."""
+    sizes = shards.groupBy("shard").count().where(F.col("count") > STRIPE_ROWS)
+    stripes = F.ceil(F.col("count") / STRIPE_ROWS).cast("int")
+    long = F.broadcast(sizes.select(F.col("shard").alias("_long"), stripes.alias("_stripes")))  # at most BLOCKS * MAX_LEAVES rows
+    known = shards.join(long, F.col("shard") == F.col("_long"), "left").withColumn("_stripes", F.coalesce("_stripes", F.lit(1)))
+    striped = known.withColumn("_stripe", F.pmod(F.xxhash64("fp"), "_stripes").cast("int"))
+    met = striped.withColumn("_met", F.explode(F.sequence(F.lit(0), F.col("_stripes") - 1)))
+    low = F.least("_stripe", "_met")
+    return met.select("shard", low.alias("low"), F.greatest("_stripe", "_met").alias("high"), "fp", "home", (F.col("_stripe") == low).alias("first"))
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Links between distinct fingerprints (column ``fp``) that have the components of all pairs within ``radius``."""
     spark = distinct.sparkSession
@@ -220,12 +248,24 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Da
 
     def linked(group: pa.Table) -> pa.Table:
         values = group.column("fp").to_numpy().view(np.uint64)
-        own = group.column("home").to_numpy()
-        u, v = shard_links(values[own], values[~own], radius)
+        own, first = (group.column(name).to_numpy() for name in ("home", "first"))
+        u, v = cell_links(values, own, first, radius)
         return pa.Table.from_batches([batch(LINKS, u.view(np.int64), v.view(np.int64))], schema=LINKS)
 
-    shards = distinct.select("fp").mapInArrow(routed, "shard long, fp long, home boolean")
-    return shards.groupBy("shard").applyInArrow(linked, "u long, v long").distinct()
+    shards = written(distinct.select("fp").mapInArrow(routed, "shard long, fp long, home boolean"), "simhash-shards")
+    return cells(shards).groupBy("shard", "low", "high").applyInArrow(linked, "u long, v long").distinct()
+
+
+def beside_least(pairs: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """Every pair (u, v) with ``m``, the least neighbour of u; ``least`` also holds the number ``d`` of u's pairs, ``edges`` is a share's whole.
+
+    A hub's pairs are dealt over cells by v, and its row of ``least`` is repeated once per cell.
+    """
+    parts = F.ceil(F.col("d") * HUBS / F.lit(edges)).cast("int")
+    hubs = F.broadcast(least.where(parts > 1).select(F.col("u").alias("_hub"), parts.alias("_parts")))  # at most 2 * HUBS rows
+    part = F.pmod(F.xxhash64("v"), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = pairs.join(hubs, F.col("u") == F.col("_hub"), "left").select("u", "v", part.alias("_part"))
+    return dealt.join(least.select("u", "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part")), ["u", "_part"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,10 +278,10 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = tuple(state)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("d"))
+        large = beside_least(both.where("v > u"), least, state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+        small = beside_least(large, least, state[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         edges = written(small, "links")
 

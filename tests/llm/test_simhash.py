@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ordermill.llm import simhash
 
@@ -113,3 +114,46 @@ def test_components_of_long_chains(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{k: 0 for k in range(1, 41)}, 101: 100, 103: 100}
+
+
+def test_a_shard_with_a_shared_block_is_cut_into_cells(spark, monkeypatch):
+    """Half of all fingerprints share the bits of one block: no cell is long, and no link is lost."""
+    monkeypatch.setattr(simhash, "STRIPE_ROWS", 128)
+    random = np.random.default_rng(5)
+    mask = np.uint64(simhash.block_masks()[0])
+    values = random.integers(0, 2**63, 3_000).astype(np.uint64)
+    values[:1_500] &= ~mask
+    near = values[:1_500:3] ^ (np.uint64(1) << random.integers(30, 60, 500).astype(np.uint64))
+    values = np.unique(np.concatenate((values, near)))
+    frame = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    sizes = []
+    whole = simhash.cells
+
+    def counted(shards):
+        out = whole(shards)
+        sizes.extend(r["count"] for r in out.groupBy("shard", "low", "high").count().collect())
+        return out
+
+    monkeypatch.setattr(simhash, "cells", counted)
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(frame)).collect()}
+    assert max(sizes) < 4 * 128
+    a, b = np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values[None, :]) <= simhash.RADIUS, 1))
+    parent = np.arange(len(values))
+    simhash.forest(parent, a, b)
+    groups, expected = {}, {}
+    for k, v in enumerate(values.view(np.int64).tolist()):
+        groups.setdefault(found.get(v, v), set()).add(v)
+        expected.setdefault(int(parent[k]), set()).add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_the_edges_of_a_hub_are_spread(spark):
+    """Every second edge is one of node 0; its rows meet in many cells of the join, in one component."""
+    edges = [(0, k) for k in range(1, 2_001)] + [(k, k + 1) for k in range(10_000, 12_000)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    least = frame.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+    met = simhash.beside_least(frame, least, len(edges))
+    assert sorted((r["u"], r["v"]) for r in met.collect()) == sorted(edges)
+    assert met.where("u = 0").select("_part").distinct().count() > 1_000
+    found = {r["node"]: r["root"] for r in simhash.components(frame).collect()}
+    assert found == {**{k: 0 for k in range(1, 2_001)}, **{k: 10_000 for k in range(10_001, 12_001)}}
