@@ -5,9 +5,10 @@ are a weighted sample without replacement. A source whose target is
 above its size gives whole epochs first; the rest of its target is filled in key order, up
 to the document whose middle the budget passes, so the sum ends within half a document of it.
 
-Prefix sums take two levels: sums per (source, slice of the key range), then rows
-within a slice. No task sees a whole source, however large. The draw is a digest of doc_id,
-so reruns and retried tasks agree.
+Prefix sums take two levels: all rows are sorted by source and key over range partitions and cut into slices of SLICE_ROWS rows;
+sums per slice are added up first, then rows within a slice. No task sees a whole source, however large, and no slice
+holds more than another, whatever the keys. Rows that agree in all that the plan looks at are one row with their number, so a
+third of all rows may share one id and size. The draw is a digest of doc_id, so reruns and retried tasks agree.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; an
 unlabelled document has the middle weight; rows that share a doc_id are drawn each (equal key, ordered
@@ -32,8 +33,8 @@ QUALITY_WEIGHT = {1: 1.0, 0: 0.25}
 UNLABELLED = 0.5
 #: Equal rows that one task writes out.
 PIECE_ROWS = 10_000
-#: Slices of the key range per source. A slice of a source with 10^10 rows holds some 10^6.
-SLICES = 8_192
+#: Rows of a slice. The sums of a source's slices meet in one task: 10^10 rows are some 10^6 of them.
+SLICE_ROWS = 1 << 12
 
 
 def uniform(key: Column) -> Column:
@@ -82,23 +83,41 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS
     )
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """The plan of a mix: per document its size, its source's size and target, and ``times`` and words taken.
+def in_slices(frame: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """The frame with ``_slice``: runs of at most SLICE_ROWS rows, numbered along the order, which must be a total one."""
+    ordered = frame.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the id counts the rows of a partition from a multiple of 2^33, so no slice spans two partitions
+    return ordered.withColumn("_slice", F.floor(F.monotonically_increasing_id() / SLICE_ROWS))
 
-    ``quality`` holds (doc_id, _weight); ``keep`` names further columns to carry along.
-    """
+
+def copies_within(rest: Column, before: Column, size: Column, count: Column) -> Column:
+    """How many of ``count`` equal rows, the first of which starts at ``before``, have their middle within the rest."""
+
+    def fits(number: Column) -> Column:
+        return before + number * size - size / 2 <= rest
+
+    near = F.floor((rest - before) / size + 0.5)  # off by one at most, for rounding
+    number = F.when(fits(near + 1), near + 1).when(fits(near), near).otherwise(near - 1)
+    some = F.when(size > 0, F.greatest(F.lit(0), F.least(count, number))).when(before <= rest, count).otherwise(0)
+    return F.when(rest > 0, some).otherwise(0).cast("long")
+
+
+def planned(docs: DataFrame, quality: DataFrame | None = None, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """The plan by groups of rows equal in id, source, size and ``keep``: their number ``_rows``, whole ``epochs``, and how many get one ``_more``."""
     sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), *keep)
     if quality is not None:
         sized = sized.join(quality, "doc_id", "left")
     else:
         sized = sized.withColumn("_weight", F.lit(None).cast("double"))
     draw = -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = sized.withColumn("_key", draw / F.coalesce("_weight", F.lit(UNLABELLED))).drop("_weight")
-    slice_ = F.floor((1 - F.exp(-F.col("_key"))) * SLICES).cast("int")
-    keyed = written(keyed.withColumn("_slice", slice_), "mixing-sizes")
-
-    targets = source_targets(keyed, **options)
-    sums = keyed.groupBy("source", "_slice").agg(F.sum("size").alias("_sum"))
+    key = draw / F.coalesce("_weight", F.lit(UNLABELLED))
+    order = ("source", "_key", "doc_id", "size", *keep)
+    equal = written(sized.withColumn("_key", key).groupBy(*order).agg(F.count("*").alias("_rows")), "mixing-sizes")
+    keyed = written(in_slices(equal, order), "mixing-slices")
+
+    words_of = (F.col("size") * F.col("_rows")).alias("size")
+    targets = source_targets(equal.select("source", words_of), **options)
+    sums = keyed.select("source", "_slice", words_of).groupBy("source", "_slice").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
         F.col("source").alias("_source"),
@@ -109,10 +128,23 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, keep: tuple[str, ...]
     starts = starts.join(targets, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
 
     rows = keyed.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_slice") == F.col("_in")))
-    within = Window.partitionBy("source", "_slice").orderBy("_key", "doc_id", "size")
-    end = F.col("_before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    more = (F.col("rest") > 0) & (end - F.col("size") / 2 <= F.col("rest"))
-    times = F.col("epochs") + more.cast("long")
+    within = Window.partitionBy("source", "_slice").orderBy("_key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("_before") + F.coalesce(F.sum(F.col("size") * F.col("_rows")).over(within), F.lit(0))
+    placed = rows.withColumn("_ahead", ahead)
+    more = copies_within(F.col("rest"), F.col("_ahead"), F.col("size"), F.col("_rows"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "_rows", "epochs", more.alias("_more"), *keep)
+
+
+def mix(docs: DataFrame, quality: DataFrame | None = None, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """The plan of a mix: per document its size, its source's size and target, and ``times`` and words taken.
+
+    ``quality`` holds (doc_id, _weight); ``keep`` names further columns to carry along.
+    """
+    groups = planned(docs, quality, keep, **options)
+    pieces = groups.withColumn("_piece", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_rows") / PIECE_ROWS))))
+    upto = F.least(F.col("_rows"), F.col("_piece") * PIECE_ROWS)
+    rows = pieces.withColumn("_copy", F.explode(F.sequence((F.col("_piece") - 1) * PIECE_ROWS + 1, upto)))
+    times = F.col("epochs") + (F.col("_copy") <= F.col("_more")).cast("long")
     return rows.select(
         "doc_id", "source", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"), *keep
     )
@@ -125,9 +157,10 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, **options
     out in pieces, as many as there are equal rows for: no task gets more of them than PIECE_ROWS.
     """
     tagged = docs.select("doc_id", "source", "text", digest(docs).alias("_tag"))
-    plan = mix(tagged, quality, keep=("_tag",), **options)
+    plan = planned(tagged, quality, keep=("_tag",), **options)
     piece = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_rows") / PIECE_ROWS).cast("int"))).alias("_piece")
-    sums = plan.groupBy(F.col("doc_id").alias("_id"), "_tag").agg(F.sum("times").alias("_sum"), F.count("*").alias("_rows"))
+    times = F.sum(F.col("epochs") * F.col("_rows") + F.col("_more"))
+    sums = plan.groupBy(F.col("doc_id").alias("_id"), "_tag").agg(times.alias("_sum"), F.sum("_rows").alias("_rows"))
     pieces = F.ceil(F.col("_rows") / PIECE_ROWS)
     parts = sums.where("_sum > 0").select("_id", "_tag", "_sum", pieces.alias("_pieces"), piece)
     until = [F.floor(F.col("_sum") * upto / F.col("_pieces")) for upto in (F.col("_piece"), F.col("_piece") - 1)]
@@ -171,7 +204,7 @@ with recursive sized as (
            sum(k.size) over (partition by k.source order by k.k, k.doc_id, k.size rows unbounded preceding) as upto
     from keyed k join targets t on k.source is not distinct from t.source
 )
-select doc_id, size, s::bigint as source_size, round(target, 3) as target,
+select doc_id, size, s::bigint as source_size, target,
        ((epochs + case when rest > 0 and upto - size / 2.0 <= rest then 1 else 0 end) * size)::bigint as taken
 from run
 """
@@ -179,6 +212,5 @@ from run
 
 @query(SQL)
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets are rounded to a thousandth of a word, so that the order of a sum does not show."""
     plan = mix(table(spark, sf_dir, "documents"), quality_weights(table(spark, sf_dir, "labels")))
-    return plan.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return plan.select("doc_id", "size", "source_size", "target", "taken")

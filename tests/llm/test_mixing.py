@@ -1,8 +1,10 @@
 """The mix against SQL, and its materialised documents against its plan."""
 
+import math
 from collections import Counter, defaultdict
 
 import helpers
+from pyspark.sql import functions as F
 
 from ordermill.llm import mixing, queries
 
@@ -79,3 +81,47 @@ def test_many_equal_rows_are_counted_and_dealt_out_in_pieces(spark, monkeypatch)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(n > 0 for n in sizes) > 1
+
+
+def slow_times(rows, rest):
+    """Times beyond whole epochs, row by row in the order of the plan."""
+    run, out = 0, []
+    for size in rows:
+        run += size
+        out.append(int(rest > 0 and run - size / 2 <= rest))
+    return out
+
+
+def test_equal_rows_are_taken_as_if_one_by_one(spark):
+    cases = [(rest, before, size, n) for rest in (0.0, 0.5, 7.0, 7.5, 10.25, 100.0) for before in (0, 3, 9) for size in (0, 1, 3, 7) for n in (1, 2, 9)]
+    frame = spark.createDataFrame(cases, "rest double, before long, size long, n long")
+    got = frame.select("*", mixing.copies_within(*(frame[c] for c in frame.columns)).alias("m")).collect()
+    for r in got:
+        expected = sum(r["rest"] > 0 and r["before"] + (j + 1) * r["size"] - r["size"] / 2 <= r["rest"] for j in range(r["n"]))
+        assert r["m"] == expected, r
+
+
+def test_slices_are_even_whatever_the_keys(spark, monkeypatch):
+    """Half of the rows share one id: slices stay short, and the takes are those of one sorted run."""
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 64)
+    rows = [(None, "w " * (k % 90), "en", "a") for k in range(3_000)] + [(k, "w " * (k % 37), "en", "a" if k % 3 else "b") for k in range(3_000)]
+    docs = helpers.frame(spark, rows)
+    seen = []
+    whole = mixing.in_slices
+
+    def counted(frame, order):
+        out = whole(frame, order)
+        seen.extend(r["count"] for r in out.groupBy("_slice").count().collect())
+        return out
+
+    monkeypatch.setattr(mixing, "in_slices", counted)
+    got = mixing.mix(docs).collect()
+    assert max(seen) <= 64 and len(seen) > 40
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((i, s, len(helpers.words(t))) for i, t, _, s in rows)
+    draws = {r[0]: r[1] for r in docs.select("doc_id", mixing.uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).distinct().collect()}
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        epochs = min(2, int(own[0].target // own[0].source_size))
+        order = sorted(own, key=lambda r: (-math.log(draws[r.doc_id]) / 0.5, r.doc_id if r.doc_id is not None else -1, r.size, -r.times))
+        slow = slow_times([r.size for r in order], own[0].target - epochs * own[0].source_size)
+        assert [r.times - epochs for r in order if r.size] == [t for t, r in zip(slow, order) if r.size]
