@@ -79,6 +79,11 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def one_text(rows: DataFrame, *carried: str) -> DataFrame:
+    """One row per doc_id and ``carried`` columns, with the text of the least digest: repeated ids bring no more rows, and reruns agree."""
+    return rows.groupBy("doc_id", *carried).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 def crc32_mod(column: str, modulus: int) -> Column:
     """CRC-32 of an id written as text, modulo; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import one_text, table, words
 from .registry import query
 
 WINDOW_WORDS = 8
@@ -205,11 +205,11 @@ def verdict(rules: list[list[Condition]]) -> Column:
 
 
 def learned_rules(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
-    """A list from a bounded sample of labelled documents: of either kind, the ids that come first by a hash."""
+    """A list from a bounded sample of labelled documents: of either kind, the ids that come first by a hash, one text of each."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.max("quality") < 1).alias("bad"))
     parts = [known.where(want).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_EACH) for want in (F.col("bad"), ~F.col("bad"))]
     ids = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * SAMPLE_EACH rows
-    sample = with_statistics(docs.select("doc_id", "text").join(ids, "doc_id"))
+    sample = with_statistics(one_text(docs.select("doc_id", "text").join(ids, "doc_id"), "bad"))
     features = [make().alias(name) for name, make in FEATURES.items()]
     rows = sample.select("doc_id", "bad", base_failed().alias("failed"), *features).collect()
     # rules are for what the base rule lets through; a filter in the plan would repeat the statistics inside it

@@ -112,3 +112,14 @@ def test_both_run_without_python_workers(spark):
     for frame in (quality.judge(docs, []), licenses.scan(docs)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Exchange"))
+
+
+def test_repeated_ids_bring_one_row_to_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "learn_list", lambda rows: seen.append(rows) or [])
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, f"{text} {k % 4}", "en", "a") for k in range(500)] + [(2, text, "en", "a"), (None, text, "en", "a")]
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 0, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    quality.learned_rules(helpers.frame(spark, rows), labels)
+    quality.learned_rules(helpers.frame(spark, rows[::-1]).repartition(7), labels)
+    assert seen[0] == seen[1] and [(r["doc_id"], r["bad"]) for r in seen[0]] == [(1, False), (2, True)]
