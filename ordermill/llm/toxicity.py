@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, bounded_batches, crc32_mod, document_text, filtered, table
+from .common import batch, bounded_batches, crc32_mod, document_text, filtered, one_text, table
 from .registry import query
 
 #: Documents of either label that a model is fitted on, and the longest of them in bytes.
@@ -254,7 +254,7 @@ def logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, allowed) -> tuple[list[bytes], list[int]]:
-    """A bounded sample of labelled texts: of either label, the ids that come first by a hash."""
+    """A bounded sample of labelled texts: of either label, the ids that come first by a hash, one text of each."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & allowed)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     parts = [
@@ -263,7 +263,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, allowed) -> tuple[list[b
     ]
     ids = F.broadcast(parts[0].unionByName(parts[1]))  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
     fair = docs.where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = document_text(fair).join(ids, "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = one_text(document_text(fair).join(ids, "doc_id"), "_toxic").collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [bytes(r["text"]) for r in rows], [int(r["_toxic"]) for r in rows]
 
@@ -289,8 +289,10 @@ def without_toxic(docs: DataFrame, model: Toxicity) -> DataFrame:
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
+    memo: dict[bytes, float] = {}  # a task's own, kept from batch to batch
+
     def clean(texts: pa.Array) -> list[bool]:
-        return [s < THRESHOLD for s in shared.value.scores(texts.to_pylist(), {})]
+        return [s < THRESHOLD for s in shared.value.scores(texts.to_pylist(), memo)]
 
     return filtered(docs, clean, F.coalesce("text", F.lit("")).cast("binary"))
 
