@@ -7,7 +7,8 @@ frozen, so the exact code length of a text is a sum over its bytes of a function
 three before it. That function is tabulated, and texts are scored whole, by array look-ups.
 
 Texts are taken in lower case; every ASCII byte other than a letter counts as one gap symbol.
-Counts come from a bounded sample of documents per language, summed by Spark.
+Counts come from a bounded sample per language of distinct pieces of texts (a text up to the length of a piece is one), summed by Spark;
+of a long text any piece may be drawn.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or if nothing was learned;
 equal code lengths go to the language first in code-point order; repeated rows are scored each; an
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import batch, bounded_batches, crc32_mod, filtered, table
 from .registry import query
 
-#: Expected documents per language in the sample that is learned from, and the longest of them in bytes.
-SAMPLE_DOCUMENTS = 1_500
-SAMPLE_BYTES = 20_000
+#: Expected pieces of texts per language in the sample that is learned from, and the longest of them in characters.
+SAMPLE_PIECES = 1_500
+PIECE_CHARACTERS = 20_000
 UNDETERMINED = "und"
 #: A text counts as at most so many independent bytes when code lengths become a score.
 EVIDENCE_BYTES = 64
@@ -177,17 +178,26 @@ def has_letter() -> Column:
     return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
+def labelled_pieces(docs: DataFrame, allowed) -> DataFrame:
+    """``lang`` and ``text`` of every piece of the texts that may be learned from."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & allowed)
+    cut = F.regexp_extract_all("text", F.lit(r"(?s).{1,%d}" % PIECE_CHARACTERS), F.lit(0))
+    whole = F.octet_length("text") <= PIECE_CHARACTERS
+    return known.select("lang", F.explode(F.when(whole, F.array("text")).otherwise(cut)).alias("text"))
+
+
 def learn(docs: DataFrame, allowed) -> ContextTrees:
-    """Count byte 4-grams per language over a hash sample of about SAMPLE_DOCUMENTS documents each."""
+    """Count byte 4-grams per language over a hash sample of about SAMPLE_PIECES distinct pieces each."""
     bounded_batches(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES) & allowed)
-    sizes = known.groupBy("lang").count()
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    pieces = labelled_pieces(docs, allowed)
+    sizes = pieces.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("count"))
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     languages = sorted((r["lang"], r["count"]) for r in sizes.collect())
     share = F.lit(0.0)
     for name, count in languages:
-        share = F.when(F.col("lang") == name, F.lit(SAMPLE_DOCUMENTS / count)).otherwise(share)
-    sample = known.where(draw < share).select("lang", lower_text().alias("text"))
+        share = F.when(F.col("lang") == name, F.lit(SAMPLE_PIECES / count)).otherwise(share)
+    # equal pieces have one draw and are learned once
+    sample = pieces.where(draw < share).distinct().select("lang", lower_text().alias("text"))
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,6 +83,26 @@ def test_language_of_odd_documents(spark):
     assert language.identify(helpers.none(spark), model).count() == 0
 
 
+def test_language_of_long_and_repeated_training_texts(spark, monkeypatch):
+    """A language with only texts longer than a piece is learned; a text that repeats counts once, whatever its ids."""
+    monkeypatch.setattr(language, "PIECE_CHARACTERS", 300)
+    greek = "\u03b7 \u03b3\u03bb\u03ce\u03c3\u03c3\u03b1 \u03bc\u03b1\u03c2 \u03b5\u03af\u03bd\u03b1\u03b9 \u03bc\u03b5\u03b3\u03ac\u03bb\u03b7\n"
+    rows = [(1, greek * 400, "el", "a"), (2, "plain words of the other language", "en", "a")]
+    model = language.learn(helpers.frame(spark, rows), F.lit(True))
+    assert model.languages == ["el", "en"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(helpers.frame(spark, rows), model).collect()}
+    assert got == {1: "el", 2: "en"}
+    pieces = language.labelled_pieces(helpers.frame(spark, rows[:1]), F.lit(True)).collect()
+    assert "".join(r["text"] for r in pieces) == rows[0][1] and max(len(r["text"]) for r in pieces) == 300
+    more = rows + [(None, rows[0][1], "el", "b")] * 50 + [(k, rows[1][1], "en", "b") for k in range(9, 60)]
+    again = language.learn(helpers.frame(spark, more).repartition(5), F.lit(True))
+    assert again.languages == model.languages
+    text = [rows[0][1].lower().encode(), rows[1][1].encode()]
+    letters = pa.array([True, True])
+    both = [[list(x) for x in m.predictions(pa.array(text), letters)] for m in (again, model)]
+    assert both[0] == both[1]
+
+
 SLURS = ("gromble", "vexnog", "snarkitty", "blorptard")
 
 
@@ -140,6 +160,46 @@ def test_toxicity_without_both_labels(spark):
     assert all(r["score"] > 0.99 for r in toxicity.score(helpers.edge(spark), model).collect())
 
 
+def plain_score(model, text):
+    """One text's score, n-gram by n-gram in whole numbers."""
+    words = []
+    for word in text.lower().split():
+        word = word.strip(b".,;:!?\"'()[]") or word
+        if not words or words[-1] != word:
+            words.append(word)
+
+    def value(word):
+        marked, found = b"<" + word + b">", []
+        for n in range(3, 6):
+            for at in range(len(marked) - n + 1):
+                h = 0
+                for byte in marked[at : at + n]:
+                    h = (h * 1_099_511_628_211 + byte + 1) % 2**64
+                found.append(model.weights[(h * 0x9E3779B97F4A7C15) % 2**64 >> (64 - 17)])
+        return sum(found) / len(found)
+
+    known = {w: value(w) for w in set(words)}
+    margin = model.bias
+    if words:
+        margin += max(sum(known[w] for w in words[at : at + 16]) / 16 for at in range(0, max(1, len(words) - 8), 8))
+    return 1 / (1 + math.exp(-min(40, max(-40, model.slope * margin + model.shift))))
+
+
+def test_toxicity_query_against_a_plain_computation(spark):
+    docs, labels = (spark.read.parquet(f"{helpers.SF}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fitted(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.op9_toxicity(spark, helpers.SF).collect()}
+    assert got == pytest.approx({i: plain_score(model, (t or "").encode()) for i, t in helpers.texts().items()}, abs=1e-9)
+
+
+def test_toxicity_learns_one_text_of_an_id(spark):
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = [(1, f"text {k % 3}", "en", "a") for k in range(300)] + [(2, "plain", "en", "a"), (2, None, "en", "a")]
+    one = toxicity.training_sample(helpers.frame(spark, rows), labels, F.lit(True))
+    assert len(one[0]) == 2 and one[1] == [1, 0]
+    assert toxicity.training_sample(helpers.frame(spark, rows[::-1]).repartition(7), labels, F.lit(True)) == one
+
+
 def test_toxicity_query(spark):
     rows = toxicity.op9_toxicity(spark, helpers.SF).collect()
     assert {r["doc_id"] for r in rows} == set(helpers.texts())
