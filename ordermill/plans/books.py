@@ -12,7 +12,7 @@ from ordermill import schemas
 from ordermill.functions.catalogue import joined_head, steady_price, work_key
 from ordermill.operators.quality import expect_not_empty
 from ordermill.operators.upsert import collapse_batch, number_rows, upsert
-from ordermill.sinks.keyed import KeyedTable
+from ordermill.sinks.keyed import KeyedTable, settings_for, tasks_for
 
 log = logging.getLogger(__name__)
 
@@ -59,11 +59,6 @@ def books_table(spark: SparkSession, path: str, **options) -> KeyedTable:
     return KeyedTable(spark, path, schemas.BOOKS, "work_key", **options)
 
 
-def last_id(books: DataFrame) -> int:
-    """The last id given; works are never taken out, so it is the largest one stored."""
-    return books.agg(F.max("id")).first()[0] or 0
-
-
 def collapse(batch: DataFrame) -> DataFrame:
     """One row per work of a batch, as inserting its rows in page order would leave it."""
     places = [F.col("page_start"), F.col("position")]
@@ -73,7 +68,8 @@ def collapse(batch: DataFrame) -> DataFrame:
 def upsert_books(current: DataFrame, collapsed: DataFrame, last_id: int = 0, stamp: Column | None = None) -> DataFrame:
     """``current`` after a collapsed batch; ids of new works go on from ``last_id``.
 
-    New works get an id and a creation time; known ones change four columns only.
+    New works get an id and a creation time; known ones change four columns only. ``current`` needs no other works
+    than those of the batch.
     """
     fresh = collapsed.select("work_key").join(current.select("work_key"), "work_key", "left_anti")
     ids = number_rows(fresh, "work_key", "id", last_id)
@@ -84,13 +80,17 @@ def upsert_books(current: DataFrame, collapsed: DataFrame, last_id: int = 0, sta
 
 def apply_pages(table: KeyedTable, pages: DataFrame, stream: str | None = None, batch: int | None = None) -> bool:
     """Upsert one batch of pages into the table; False if that changed nothing."""
-    collapsed = collapse(normalize(page_documents(pages.where("docs IS NOT NULL")))).persist()
-    try:
-        return table.change(
-            collapsed, lambda rows: upsert_books(rows, collapsed, last_id(table.read())), stream, batch
-        )
-    finally:
-        collapsed.unpersist()
+    readable = pages.where("docs IS NOT NULL")
+    # With one task's worth of documents nothing below is shuffled.
+    found = readable.agg(F.sum(F.size("docs"))).first()[0] or 0
+    with settings_for(found, table.spark, pages.sparkSession):
+        collapsed = collapse(normalize(page_documents(readable).coalesce(tasks_for(found)))).persist()
+        try:
+            return table.amend(
+                collapsed, lambda rows: upsert_books(rows, collapsed, table.largest("id") or 0), stream, batch, watched="id"
+            )
+        finally:
+            collapsed.unpersist()
 
 
 def set_aside(pages: DataFrame, path: str) -> None:

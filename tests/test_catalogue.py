@@ -149,3 +149,35 @@ def test_empty_catalogue_fails(spark, folder):
     write_pages(f"{folder}/pages", "1.json", {"start": 0, "docs": []})
     with pytest.raises(EmptyTableError):
         books.run_books(books.books_table(spark, f"{folder}/table", buckets=4), read_pages(spark, f"{folder}/pages"))
+
+
+def test_a_small_batch_is_written_beside_the_buckets(spark, folder, monkeypatch):
+    """A batch writes its own works, not the buckets they are in; in time the buckets take them in."""
+    import os
+
+    from ordermill.sinks import keyed
+
+    def crawl(*titles):
+        docs = [doc(f"/works/W{n}", title, isbn=[title]) for n, title in titles]
+        path = f"{folder}/pages{titles[0][1]}"
+        os.mkdir(path)
+        write_pages(path, "1.json", {"start": 0, "docs": docs})
+        return read_pages(spark, path)
+
+    monkeypatch.setattr(keyed, "SETTLE_AFTER", 3)
+    table = books.books_table(spark, f"{folder}/table", buckets=2)
+    books.apply_pages(table, crawl(*[(n, "a") for n in range(40)]))
+    table.settle()
+    settled = set(spark.read.parquet(table.rows).inputFiles())
+    assert books.apply_pages(table, crawl((3, "b"), (40, "b")), "s", 0)
+    assert books.apply_pages(table, crawl((3, "c"), (41, "c")), "s", 1)
+    assert not books.apply_pages(table, crawl((3, "d")), "s", 1)  # this batch again
+    assert settled < set(table.read().inputFiles())
+    expected = sorted([(f"W{n}", "a", "a") for n in range(40) if n != 3] + [("W3", "c", "a"), ("W40", "b", "b"), ("W41", "c", "c")])
+    assert rows(table.read(), "work_key", "title", "isbn") == expected
+    assert rows(table.read_for(spark.createDataFrame([("W3",)], "work_key STRING")).where("work_key = 'W3'"), "title") == [("c",)]
+    assert sorted(r.id for r in table.read().collect()) == list(range(1, 43)) and table.largest("id") == 42
+    books.apply_pages(table, crawl((40, "e")))
+    assert settled - set(table.read().inputFiles()) and not os.listdir(table.recent)
+    assert rows(table.read(), "work_key", "title", "isbn") == sorted(("W40", "e", "b") if r[0] == "W40" else r for r in expected)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
