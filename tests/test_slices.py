@@ -62,3 +62,14 @@ def test_places_in_cells_are_compared_without_a_lambda(spark):
     plan = replay_completion(orders, details)
     assert "lambdafunction" not in plan._jdf.queryExecution().optimizedPlan().toString()
     assert rows(plan, "order_id", "product_ids") == [("a", ["4"])]
+
+
+def test_landed_messages_are_small_on_disk(spark, folder):
+    import glob
+
+    from pyarrow.parquet import ParquetFile
+
+    messages = spark.range(0, 1000, 1, 2).select(F.col("id").cast("string").alias("value"), F.col("id").alias("seq"))
+    _in_turn(spark, [{f"{folder}/in": part} for part in _in_slices(messages, [500], f"{folder}/slices")], lambda: None)
+    files = glob.glob(f"{folder}/in/*.parquet") + glob.glob(f"{folder}/slices/*.parquet")
+    assert files and {ParquetFile(f).metadata.row_group(0).column(0).compression for f in files if ParquetFile(f).metadata.num_row_groups} == {"ZSTD"}
